@@ -16,7 +16,7 @@ def _month_partitions(shop, name, df, timestamp, identifier):
     path = layout.written_once(
         shop.spark, shop.sf_dir, name, lambda p: layout.partition_by_month(df, timestamp, identifier, p)
     )
-    schema = df.schema.add("ym", "int")
+    schema = df.withColumn("ym", F.lit(0)).schema
     return shop.spark.read.schema(schema).parquet(path)
 
 
