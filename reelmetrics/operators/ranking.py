@@ -38,9 +38,11 @@ def top(
 
 
 def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool) -> DataFrame:
-    """One row per (by, value): rows in it, rows before it, distinct values before it."""
-    values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    rows = with_slices(values, by, number_slice(value), counted="__n")
+    """One row per (by, value): rows in it, rows before it, distinct values before it.
+
+    ``by`` has few groups, each of any size, so every group is cut into slices of its value range.
+    """
+    values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn(SLICE, number_slice(value))
 
     def ordered(column):
         return F.col(column).desc() if descending else F.col(column).asc()
@@ -48,43 +50,40 @@ def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool)
     before = (Window.unboundedPreceding, -1)
     local = Window.partitionBy(*by, SLICE).orderBy(ordered(value))
     across = Window.partitionBy(*by).orderBy(ordered(SLICE)).rowsBetween(*before)
+    zero = F.lit(0)
     carry = (
-        rows.filter(is_hot())
-        .groupBy(*by, SLICE)
-        .agg(F.sum("__n").alias("__slice_rows"), F.count(F.lit(1)).alias("__slice_values"))
+        values.groupBy(*by, SLICE)
+        .agg(F.sum("__n").alias("__slice_rows"), F.count("__n").alias("__slice_values"))
         .select(
             *by,
             SLICE,
-            F.sum("__slice_rows").over(across).alias("__rows_carry"),
-            F.sum("__slice_values").over(across).alias("__values_carry"),
+            F.coalesce(F.sum("__slice_rows").over(across), zero).alias("__rows_carry"),
+            F.coalesce(F.sum("__slice_values").over(across), zero).alias("__values_carry"),
         )
     )
-    zero = F.lit(0)
     return (
-        rows.withColumn("__rows_local", F.sum("__n").over(local.rowsBetween(*before)))
+        values.withColumn("__rows_local", F.coalesce(F.sum("__n").over(local.rowsBetween(*before)), zero))
         .withColumn("__values_local", F.row_number().over(local) - 1)
-        .join(carry, [*by, SLICE], "left")
+        .join(carry, [*by, SLICE])
         .select(
             *by,
             value,
             "__n",
-            (F.coalesce("__rows_local", zero) + F.coalesce("__rows_carry", zero)).alias("__rows_before"),
-            (F.col("__values_local") + F.coalesce("__values_carry", zero)).alias("__values_before"),
+            (F.col("__rows_local") + F.col("__rows_carry")).alias("__rows_before"),
+            (F.col("__values_local") + F.col("__values_carry")).alias("__values_before"),
         )
     )
 
 
-def _with_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool, counts: bool = False):
+def _with_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool, counts: bool) -> DataFrame:
     """Rows joined with their value's position. An empty ``by`` means one group over everything.
 
-    ``counts`` says that ``value`` counts fact rows and ``by`` has few groups. Different counts that
-    add up to N rows number at most sqrt(2N) per group, about 1.4 million for 10^12 rows, so their
-    positions are safe to broadcast and the ranked rows are not shuffled again.
+    ``counts`` says that ``value`` counts fact rows. Different counts that add up to N rows number
+    at most sqrt(2N) per group, about 1.4 million for 10^12 rows, so their positions are safe to
+    broadcast and the ranked rows are not shuffled again.
     """
-    keyed = df if by else df.withColumn("__all", F.lit(0))
-    keys = list(by) or ["__all"]
-    positions = _value_positions(keyed, keys, value, descending)
-    return keyed.join(F.broadcast(positions) if counts else positions, [*keys, value]), positions, keys
+    positions = _value_positions(df, list(by), value, descending)
+    return df.join(F.broadcast(positions) if counts else positions, [*by, value])
 
 
 def ranked(
@@ -97,10 +96,10 @@ def ranked(
     counts: bool = False,
 ) -> DataFrame:
     """Add RANK or DENSE_RANK of ``value`` to every row; no group is held in one task."""
-    joined, _, _ = _with_positions(df, by, value, descending, counts)
+    joined = _with_positions(df, by, value, descending, counts)
     before = {"rank": "__rows_before", "dense": "__values_before"}[kind]
     return joined.withColumn(name, (F.col(before) + 1).cast("long")).drop(
-        "__all", "__n", "__rows_before", "__values_before"
+        "__n", "__rows_before", "__values_before"
     )
 
 
@@ -133,11 +132,11 @@ def numbered(
     counts: bool = False,
 ) -> DataFrame:
     """ROW_NUMBER by ``value``, ties in the order of a unique ``identifier``."""
-    joined, _, keys = _with_positions(df, by, value, descending, counts)
+    joined = _with_positions(df, by, value, descending, counts)
     return (
-        _number_ties(joined, [*keys, value], identifier)
+        _number_ties(joined, [*by, value], identifier)
         .withColumn(name, (F.col("__rows_before") + F.col("__tie")).cast("long"))
-        .drop("__all", "__n", "__rows_before", "__values_before", "__tie")
+        .drop("__n", "__rows_before", "__values_before", "__tie")
     )
 
 
@@ -159,15 +158,18 @@ def tiled(
     A value whose first and last row fall in the same tile decides the tile of all its rows. Only
     the few values that straddle a tile border need their rows numbered.
     """
-    joined, positions, keys = _with_positions(df, [], value, descending)
-    total = positions.agg(F.sum("__n").alias("__total")).scalar()
-    marked = (
-        joined.withColumn("__total", total)
-        .withColumn(name, _tile(F.col("__rows_before") + 1, F.col("__total"), tiles).cast("long"))
-        .withColumn("__last", _tile(F.col("__rows_before") + F.col("__n"), F.col("__total"), tiles))
+    positions = _value_positions(df, [], value, descending)
+    total = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).agg(F.sum("__n")).scalar()
+    first = _tile(F.col("__rows_before") + 1, F.col("__total"), tiles)
+    last = _tile(F.col("__rows_before") + F.col("__n"), F.col("__total"), tiles)
+    decided = (
+        positions.withColumn("__total", total)
+        .withColumn(name, F.when(first == last, first))
+        .select(value, "__rows_before", "__total", name)
     )
-    inside = marked.filter(F.col(name) == F.col("__last"))
-    border = _number_ties(marked.filter(F.col(name) != F.col("__last")), [*keys, value], identifier)
+    marked = df.join(decided, value)
+    inside = marked.filter(F.col(name).isNotNull())
+    border = _number_ties(marked.filter(F.col(name).isNull()), [value], identifier)
     border = border.withColumn(
         name, _tile(F.col("__rows_before") + F.col("__tie"), F.col("__total"), tiles).cast("long")
     )
@@ -181,9 +183,12 @@ def first_against_second(
     """Best rows per group beside the runners-up; ties on either side multiply rows.
 
     ``first`` and ``second`` map input columns to output names. A group without a runner-up stays.
+    The ranks are part of the join key, so it is an equi-join even over a single group.
     """
     by = list(by)
     best = top(df, by, [F.col(value).desc()], 2, "dense", "__rank")
-    a = best.filter(F.col("__rank") == 1).select(*by, *[F.col(c).alias(n) for c, n in first.items()])
-    b = best.filter(F.col("__rank") == 2).select(*by, *[F.col(c).alias(n) for c, n in second.items()])
-    return a.join(b, by, "left").withColumn(difference, F.col(first[value]) - F.col(second[value]))
+    a = best.filter(F.col("__rank") == 1).select(*by, "__rank", *[F.col(c).alias(n) for c, n in first.items()])
+    above = (F.col("__rank") - 1).alias("__rank")
+    b = best.select(*by, above, *[F.col(c).alias(n) for c, n in second.items()])
+    pairs = a.join(b, [*by, "__rank"], "left").drop("__rank")
+    return pairs.withColumn(difference, F.col(first[value]) - F.col(second[value]))

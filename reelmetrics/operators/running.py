@@ -18,7 +18,6 @@ def running_total(
     name: str,
     weights: DataFrame | None = None,
     weight_keys: Sequence[str] | None = None,
-    counted: str | None = None,
 ) -> DataFrame:
     """Total of ``value`` up to and including the current ``order`` moment, per key.
 
@@ -26,7 +25,12 @@ def running_total(
     carried total of the days before.
     """
     keys = list(keys)
-    rows = with_slices(df.withColumn("__v", value), keys, day_slice(order), weights, weight_keys, counted)
+    rows = with_slices(df.withColumn("__v", value), keys, day_slice(order), weights, weight_keys)
+    return _carried_total(rows, keys, order, name)
+
+
+def _carried_total(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Running total of ``__v`` over rows that have their slice."""
     local = F.sum("__v").over(Window.partitionBy(*keys, SLICE).orderBy(order))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -50,8 +54,8 @@ def running_total_few_keys(
     is split by the skew join, and a small table of totals is broadcast by its run-time size.
     """
     keys = list(keys)
-    moments = df.groupBy(*keys, order).agg(F.sum(value).alias("__sum"))
-    totals = running_total(moments, keys, order, F.col("__sum"), name, counted="__sum")
+    moments = df.groupBy(*keys, order).agg(F.sum(value).alias("__v")).withColumn(SLICE, day_slice(order))
+    totals = _carried_total(moments, keys, order, name)
     return df.join(totals.select(*keys, order, name), [*keys, order])
 
 

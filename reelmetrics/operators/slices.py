@@ -23,16 +23,11 @@ SLICE = "__slice"
 MAX_HOT_KEYS = 4096
 
 
-def hot_keys(weights: DataFrame, keys: Sequence[str], counted: str | None = None) -> DataFrame:
-    """The largest groups with more rows than the session's limit, at most MAX_HOT_KEYS of them.
-
-    ``counted`` names a non-null column to count instead of rows, which keeps that column in the
-    plan so that the exchange below can be shared with the caller's own branch.
-    """
-    rows = F.count(F.col(counted) if counted else F.lit(1))
+def hot_keys(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The largest groups with more rows than the session's limit, at most MAX_HOT_KEYS of them."""
     return (
         weights.groupBy(*keys)
-        .agg(rows.alias("__rows"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
         .filter(F.col("__rows") > hot_rows(weights.sparkSession))
         .orderBy(F.col("__rows").desc(), *keys)
         .limit(MAX_HOT_KEYS)
@@ -45,16 +40,18 @@ def with_slices(
     slice_of: Column,
     weights: DataFrame | None = None,
     weight_keys: Sequence[str] | None = None,
-    counted: str | None = None,
 ) -> DataFrame:
     """Add the slice column: ``slice_of`` for rows of hot keys, NULL otherwise.
 
+    For keys with few distinct values (stores, categories, months, or no key at all) skip the
+    search for hot ones and set the column SLICE for every row instead.
+
     ``weights`` may be a cheaper frame to count (a base table instead of a join) with
     ``weight_keys``, a subset of ``keys``. The choice moves work between tasks only; results are
     the same for every list of hot keys.
     """
     by = list(weight_keys or keys)
-    hot = hot_keys(df if weights is None else weights, by, counted)
+    hot = hot_keys(df if weights is None else weights, by)
     hot = hot.select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(by)], F.lit(True).alias("__hot"))
     same = None
     for i, k in enumerate(by):
