@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, day_slice, is_hot, with_slices
+from reelmetrics.operators.slices import SLICE, day_slice, hot_slices, is_hot
 
 
 def neighbours(
@@ -21,11 +21,14 @@ def neighbours(
 ) -> DataFrame:
     """The ``order`` value before and after each row of the same key.
 
-    One shuffle by (key, slice); the first and last row of a hot key's slice take their neighbour
-    from a table with one row per (hot key, day).
+    One shuffle of the rows. The first and last row of a hot key's slice take their neighbour from
+    a table with one row per (hot key, day).
     """
     keys = list(keys)
-    rows = with_slices(df, keys, day_slice(order), weights, weight_keys)
+    rows = hot_slices(df, keys, day_slice(order), weights, weight_keys)
+    if rows is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.withColumn(previous, F.lag(order).over(w)).withColumn(following, F.lead(order).over(w))
     w = Window.partitionBy(*keys, SLICE).orderBy(order)
     by_slice = Window.partitionBy(*keys).orderBy(SLICE)
     edges = (

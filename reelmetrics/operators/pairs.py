@@ -16,7 +16,8 @@ def frequent_pairs(
     must then occur in at least one other basket, so the pairs listed there contain every answer,
     and the baskets set aside only have to be probed for those candidates.
     """
-    items = df.select(basket, item).distinct()
+    # Filtering NULL here, once, lets all branches below share the shuffles of this frame.
+    items = df.select(basket, item).dropna().distinct()
     # An item in fewer baskets than the support cannot be part of a frequent pair.
     common = items.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_support)
     items = items.join(common.select(item), item, "left_semi")
@@ -29,28 +30,29 @@ def frequent_pairs(
         .limit(min_support - 1)
         .select(basket)
     )
-    listed = items.join(F.broadcast(large), basket, "left_anti")
-    probed = items.join(F.broadcast(large), basket, "left_semi")
-
-    a = listed.select(basket, F.col(item).alias("item_a"))
-    b = listed.select(basket, F.col(item).alias("item_b"))
-    # Large baskets may add at most min_support - 1, so one listed occurrence keeps a candidate.
-    candidates = (
-        a.join(b, basket)
-        .filter(F.col("item_a") < F.col("item_b"))
-        .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("__listed"))
-    )
-    extra = (
-        candidates.select("item_a", "item_b")
-        .join(probed.select(F.col(item).alias("item_a"), basket), "item_a")
-        .join(probed.select(F.col(item).alias("item_b"), basket), ["item_b", basket])
-        .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("__probed"))
-    )
-    support = F.col("__listed") + F.coalesce("__probed", F.lit(0))
+    found = large.collect()  # at most min_support - 1 keys
+    if not found:
+        return _listed_pairs(items, basket, item).filter(F.col("support") >= min_support)
+
+    aside = F.broadcast(df.sparkSession.createDataFrame(found, large.schema))
+    listed = _listed_pairs(items.join(aside, basket, "left_anti"), basket, item)
+    # Each basket set aside can add one, so candidates need the rest from the listed ones.
+    candidates = listed.filter(F.col("support") >= min_support - len(found))
+    probed = items.join(aside, basket, "left_semi")
+    with_a = probed.select(F.col(item).alias("item_a"), F.col(basket).alias("__basket"))
+    with_b = probed.select(F.col(item).alias("item_b"), F.col(basket).alias("__basket"), F.lit(1).alias("__both"))
+    support = F.max("support") + F.count("__both")
     return (
-        candidates.join(extra, ["item_a", "item_b"], "left")
-        .select("item_a", "item_b", support.alias("support"))
+        candidates.join(with_a, "item_a", "left")
+        .join(with_b, ["item_b", "__basket"], "left")
+        .groupBy("item_a", "item_b")
+        .agg(support.alias("support"))
         .filter(F.col("support") >= min_support)
     )
+
+
+def _listed_pairs(items: DataFrame, basket: str, item: str) -> DataFrame:
+    a = items.select(basket, F.col(item).alias("item_a"))
+    b = items.select(basket, F.col(item).alias("item_b"))
+    pairs = a.join(b, basket).filter(F.col("item_a") < F.col("item_b"))
+    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("support"))

@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, id_slice, is_hot, number_slice, with_slices
+from reelmetrics.operators.slices import SLICE, id_slice, is_hot, join_null_safe, number_slice
+from reelmetrics.session import hot_rows
 
 KINDS = {"rank": F.rank, "dense": F.dense_rank, "row": F.row_number}
 
@@ -61,17 +62,15 @@ def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool)
             F.coalesce(F.sum("__slice_values").over(across), zero).alias("__values_carry"),
         )
     )
-    return (
-        values.withColumn("__rows_local", F.coalesce(F.sum("__n").over(local.rowsBetween(*before)), zero))
-        .withColumn("__values_local", F.row_number().over(local) - 1)
-        .join(carry, [*by, SLICE])
-        .select(
-            *by,
-            value,
-            "__n",
-            (F.col("__rows_local") + F.col("__rows_carry")).alias("__rows_before"),
-            (F.col("__values_local") + F.col("__values_carry")).alias("__values_before"),
-        )
+    placed = values.withColumn(
+        "__rows_local", F.coalesce(F.sum("__n").over(local.rowsBetween(*before)), zero)
+    ).withColumn("__values_local", F.row_number().over(local) - 1)
+    return join_null_safe(placed, carry, [*by, SLICE]).select(
+        *by,
+        value,
+        "__n",
+        (F.col("__rows_local") + F.col("__rows_carry")).alias("__rows_before"),
+        (F.col("__values_local") + F.col("__values_carry")).alias("__values_before"),
     )
 
 
@@ -83,7 +82,7 @@ def _with_positions(df: DataFrame, by: Sequence[str], value: str, descending: bo
     broadcast and the ranked rows are not shuffled again.
     """
     positions = _value_positions(df, list(by), value, descending)
-    return df.join(F.broadcast(positions) if counts else positions, [*by, value])
+    return join_null_safe(df, F.broadcast(positions) if counts else positions, [*by, value])
 
 
 def ranked(
@@ -104,8 +103,12 @@ def ranked(
 
 
 def _number_ties(df: DataFrame, keys: list[str], identifier: str) -> DataFrame:
-    """Position of each row among the rows of its key, ordered by a unique identifier."""
-    rows = with_slices(df, keys, id_slice(identifier))
+    """Position of each row among the ``__n`` rows of its key, ordered by a unique identifier.
+
+    Long ties are cut into ranges of the identifier.
+    """
+    long = F.col("__n") > hot_rows(df.sparkSession)
+    rows = df.withColumn(SLICE, F.when(long, id_slice(identifier)))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.filter(is_hot())
@@ -115,8 +118,7 @@ def _number_ties(df: DataFrame, keys: list[str], identifier: str) -> DataFrame:
     )
     local = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(identifier))
     return (
-        rows.withColumn("__tie", local)
-        .join(carry, [*keys, SLICE], "left")
+        join_null_safe(rows.withColumn("__tie", local), carry, [*keys, SLICE], "left")
         .withColumn("__tie", F.col("__tie") + F.coalesce("__carry", F.lit(0)))
         .drop(SLICE, "__carry")
     )
@@ -165,9 +167,9 @@ def tiled(
     decided = (
         positions.withColumn("__total", total)
         .withColumn(name, F.when(first == last, first))
-        .select(value, "__rows_before", "__total", name)
+        .select(value, "__n", "__rows_before", "__total", name)
     )
-    marked = df.join(decided, value)
+    marked = join_null_safe(df, decided, [value])
     inside = marked.filter(F.col(name).isNotNull())
     border = _number_ties(marked.filter(F.col(name).isNull()), [value], identifier)
     border = border.withColumn(

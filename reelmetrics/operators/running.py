@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, day_slice, is_hot, with_slices
+from reelmetrics.operators.slices import SLICE, day_slice, hot_slices, is_hot, join_null_safe
+
+BEFORE = (Window.unboundedPreceding, -1)
 
 
 def running_total(
@@ -21,27 +23,28 @@ def running_total(
 ) -> DataFrame:
     """Total of ``value`` up to and including the current ``order`` moment, per key.
 
-    One shuffle of the rows by (key, slice). Hot keys are cut by day and each day starts from the
-    carried total of the days before.
+    For many keys: one shuffle of the rows. Hot keys are cut by day and each day starts from the
+    carried total of the days before; the small carry joins on the window's own partitioning.
     """
     keys = list(keys)
-    rows = with_slices(df.withColumn("__v", value), keys, day_slice(order), weights, weight_keys)
-    return _carried_total(rows, keys, order, name)
-
-
-def _carried_total(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """Running total of ``__v`` over rows that have their slice."""
+    rows = hot_slices(df.withColumn("__v", value), keys, day_slice(order), weights, weight_keys)
+    if rows is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(order)))
     local = F.sum("__v").over(Window.partitionBy(*keys, SLICE).orderBy(order))
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*BEFORE)
     carry = (
         rows.filter(is_hot())
         .groupBy(*keys, SLICE)
         .agg(F.sum("__v").alias("__day"))
-        .select(*keys, SLICE, F.sum("__day").over(before).alias("__carry"))
+        .select(*keys, SLICE, F.sum("__day").over(across).alias("__carry"))
     )
     out = rows.withColumn(name, local).join(carry, [*keys, SLICE], "left")
-    zero = F.lit(0)
-    return out.withColumn(name, F.coalesce(name, zero) + F.coalesce("__carry", zero)).drop(SLICE, "__v", "__carry")
+    return out.withColumn(name, _add(name, "__carry")).drop(SLICE, "__v", "__carry")
+
+
+def _add(a: str, b: str) -> Column:
+    """Sum that skips NULL, and is NULL if both are, like SUM itself."""
+    return F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b))
 
 
 def running_total_few_keys(
@@ -55,8 +58,16 @@ def running_total_few_keys(
     """
     keys = list(keys)
     moments = df.groupBy(*keys, order).agg(F.sum(value).alias("__v")).withColumn(SLICE, day_slice(order))
-    totals = _carried_total(moments, keys, order, name)
-    return df.join(totals.select(*keys, order, name), [*keys, order])
+    local = F.sum("__v").over(Window.partitionBy(*keys, SLICE).orderBy(order))
+    across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*BEFORE)
+    carry = (
+        moments.groupBy(*keys, SLICE)
+        .agg(F.sum("__v").alias("__day"))
+        .select(*keys, SLICE, F.sum("__day").over(across).alias("__carry"))
+    )
+    totals = join_null_safe(moments.withColumn(name, local), carry, [*keys, SLICE])
+    totals = totals.select(*keys, order, _add(name, "__carry").alias(name))
+    return join_null_safe(df, totals, [*keys, order])
 
 
 def running_total_with_reset(
@@ -70,45 +81,48 @@ def running_total_with_reset(
 ) -> DataFrame:
     """Running total that starts again where ``breaks(previous, current)`` is true.
 
-    All windows share one shuffle by (key, slice). For hot keys three facts cross a slice border:
+    All windows share one shuffle by key. For hot keys, cut by day, two facts cross a slice border:
     the last moment before it, and the open total if no reset has happened since.
     """
     keys = list(keys)
-    rows = with_slices(df.withColumn("__v", value), keys, day_slice(order), weights)
+    df = df.withColumn("__v", value)
+    rows = hot_slices(df, keys, day_slice(order), weights)
+    hot = rows is not None
+    rows = rows if hot else df.withColumn(SLICE, F.lit(None).cast("long"))
+    part = [*keys, SLICE] if hot else keys
     by_slice = Window.partitionBy(*keys).orderBy(SLICE)
-    last = (
-        rows.filter(is_hot())
-        .groupBy(*keys, SLICE)
-        .agg(F.max(order).alias("__last"))
-        .select(*keys, SLICE, F.lag("__last").over(by_slice).alias("__before"))
-    )
-    w = Window.partitionBy(*keys, SLICE).orderBy(order)
-    previous = F.coalesce(F.col("__prev"), F.col("__before"))
-    marked = (
-        rows.withColumn("__prev", F.lag(order).over(w))
-        .join(last, [*keys, SLICE], "left")
-        .withColumn("__reset", F.coalesce(breaks(previous, F.col(order)), F.lit(False)).cast("long"))
-        .withColumn("__group", F.sum("__reset").over(w))
-    )
-    local = F.sum("__v").over(Window.partitionBy(*keys, SLICE, "__group").orderBy(order))
-
+    w = Window.partitionBy(*part).orderBy(order)
+
+    marked = rows.withColumn("__prev", F.lag(order).over(w))
+    if hot:
+        last = (
+            rows.filter(is_hot())
+            .groupBy(*part)
+            .agg(F.max(order).alias("__last"))
+            .select(*part, F.lag("__last").over(by_slice).alias("__before"))
+        )
+        marked = marked.join(last, part, "left").withColumn("__prev", F.coalesce("__prev", "__before"))
+    reset = F.coalesce(breaks(F.col("__prev"), F.col(order)), F.lit(False)).cast("long")
+    marked = marked.withColumn("__reset", reset).withColumn("__group", F.sum("__reset").over(w))
+    local = F.sum("__v").over(Window.partitionBy(*part, "__group").orderBy(order))
+    out = marked.withColumn(name, local)
+    if hot:
+        carry = _open_totals(marked.filter(is_hot()), keys, by_slice)
+        carried = F.when(F.col("__group") == 0, F.col("__carry"))
+        out = out.join(carry, part, "left").withColumn("__carry", carried).withColumn(name, _add(name, "__carry"))
+    return out.drop(SLICE, "__v", "__prev", "__before", "__reset", "__group", "__carry")
+
+
+def _open_totals(marked: DataFrame, keys: list[str], by_slice) -> DataFrame:
+    """Per slice of a hot key: the running total its first rows continue from."""
     ends = (
-        marked.filter(is_hot())
-        .groupBy(*keys, SLICE, "__group")
+        marked.groupBy(*keys, SLICE, "__group")
         .agg(F.sum("__v").alias("__sum"))
         .groupBy(*keys, SLICE)
         .agg(F.max("__group").alias("__resets"), F.max_by("__sum", "__group").alias("__tail"))
         .withColumn("__run", F.sum(F.when(F.col("__resets") > 0, 1).otherwise(0)).over(by_slice))
     )
     open_total = F.sum("__tail").over(Window.partitionBy(*keys, "__run").orderBy(SLICE))
-    carry = (
-        ends.withColumn("__open", open_total)
-        .select(*keys, SLICE, F.lag("__open").over(by_slice).alias("__carry"))
-    )
-    carried = F.when(F.col("__group") == 0, F.coalesce(F.col("__carry"), F.lit(0))).otherwise(F.lit(0))
-    return (
-        marked.withColumn(name, local)
-        .join(carry, [*keys, SLICE], "left")
-        .withColumn(name, F.col(name) + carried)
-        .drop(SLICE, "__v", "__prev", "__before", "__reset", "__group", "__carry")
+    return ends.withColumn("__open", open_total).select(
+        *keys, SLICE, F.lag("__open").over(by_slice).alias("__carry")
     )

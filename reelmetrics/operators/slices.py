@@ -1,10 +1,14 @@
 """Cutting hot window groups into ordered slices.
 
 A window function runs one group in one task. When one key holds a large share of the rows that
-task never ends. The operators in this package therefore put a ``slice`` column beside the key: it
-is NULL for ordinary keys and an order-preserving function of the sort column for hot keys. The
-window runs per (key, slice), and a small per-slice table carries the value across slice borders.
-Ordinary keys keep the plain one-shuffle window.
+task never ends. The operators in this package therefore put a slice beside the key: an
+order-preserving function of the sort column. The window runs per (key, slice), and a small table
+with one row per slice carries the value across slice borders. Two situations:
+
+* few keys, each with any number of rows (stores, categories, months, or no key): every key is
+  sliced;
+* many keys: only the hot ones are sliced, and a table without hot keys keeps the plain window
+  with its single shuffle.
 """
 
 from __future__ import annotations
@@ -18,48 +22,60 @@ from reelmetrics.session import hot_rows
 
 SLICE = "__slice"
 
-# Size bound of the broadcast list of hot keys. A key outside the list has at most 1/4097 of the
-# rows, because 4,096 larger ones exist; it stays in an ordinary window, nothing is dropped.
+# Size bound of the list of hot keys. When more keys pass the limit, each one left out has at most
+# 1/4097 of the rows; it stays in an ordinary window that spills, and nothing is dropped.
 MAX_HOT_KEYS = 4096
 
+# Rows of a key at the limit that the estimate below looks at.
+LOOKED_AT = 2000
 
-def hot_keys(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The largest groups with more rows than the session's limit, at most MAX_HOT_KEYS of them."""
-    return (
-        weights.groupBy(*keys)
+
+def hot_keys(weights: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more rows than the session's limit, or None.
+
+    The estimate reads only the key columns and shuffles a small part of them. It decides where
+    work is split and nothing else: the results are exact for every list of keys. The list is
+    fixed here, once, so that all branches of a plan cut the same groups.
+    """
+    keys = list(keys)
+    spark = weights.sparkSession
+    limit = hot_rows(spark)
+    fraction = min(1.0, LOOKED_AT / limit)
+    column = weights.select(*keys).dropna()
+    found = (
+        (column if fraction == 1.0 else column.sample(fraction, seed=7))
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > hot_rows(weights.sparkSession))
-        .orderBy(F.col("__rows").desc(), *keys)
+        .filter(F.col("__rows") > limit * fraction)
+        .orderBy(F.col("__rows").desc())
         .limit(MAX_HOT_KEYS)
+        .select(*keys)
     )
+    rows = found.collect()
+    return spark.createDataFrame(rows, found.schema) if rows else None
 
 
-def with_slices(
+def hot_slices(
     df: DataFrame,
     keys: Sequence[str],
     slice_of: Column,
     weights: DataFrame | None = None,
     weight_keys: Sequence[str] | None = None,
-) -> DataFrame:
-    """Add the slice column: ``slice_of`` for rows of hot keys, NULL otherwise.
+) -> DataFrame | None:
+    """``df`` with the slice of every row of a hot key and NULL for others; None without hot keys.
 
-    For keys with few distinct values (stores, categories, months, or no key at all) skip the
-    search for hot ones and set the column SLICE for every row instead.
-
-    ``weights`` may be a cheaper frame to count (a base table instead of a join) with
-    ``weight_keys``, a subset of ``keys``. The choice moves work between tasks only; results are
-    the same for every list of hot keys.
+    ``weights`` may be a cheaper frame to look at (a base table instead of a join) with
+    ``weight_keys``, a subset of ``keys``.
     """
     by = list(weight_keys or keys)
     hot = hot_keys(df if weights is None else weights, by)
-    hot = hot.select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(by)], F.lit(True).alias("__hot"))
-    same = None
-    for i, k in enumerate(by):
-        eq = F.col(k) == F.col(f"__hot_{i}")
-        same = eq if same is None else same & eq
-    joined = df.join(F.broadcast(hot), same, "left")
-    return joined.withColumn(SLICE, F.when(F.col("__hot"), slice_of)).drop(
-        "__hot", *[f"__hot_{i}" for i in range(len(by))]
+    if hot is None:
+        return None
+    hot = hot.withColumn("__hot", F.lit(True))
+    return (
+        df.join(F.broadcast(hot), by, "left")
+        .withColumn(SLICE, F.when(F.col("__hot"), slice_of))
+        .drop("__hot")
     )
 
 
@@ -68,7 +84,9 @@ def is_hot() -> Column:
 
 
 def day_slice(order: str) -> Column:
-    return F.datediff(F.col(order), F.lit("1970-01-01").cast("date")).cast("long")
+    """Days since 1970; rows without a moment come before all others, as in the sort order."""
+    day = F.datediff(F.col(order), F.lit("1970-01-01").cast("date")).cast("long")
+    return F.coalesce(day, F.lit(-(2**40)))
 
 
 def number_slice(value: str) -> Column:
@@ -79,3 +97,18 @@ def number_slice(value: str) -> Column:
 
 def id_slice(identifier: str) -> Column:
     return F.floor(F.col(identifier) / 1_000_000).cast("long")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that matches NULL with NULL, as window partitions do.
+
+    It also keeps Catalyst from adding not-null filters to one of several branches over the same
+    rows, so the branches can share their shuffles.
+    """
+    names = {c: f"__right_{i}" for i, c in enumerate(on)}
+    renamed = right.withColumnsRenamed(names)
+    same = None
+    for c, n in names.items():
+        eq = F.col(c).eqNullSafe(F.col(n))
+        same = eq if same is None else same & eq
+    return left.join(renamed, same, how).drop(*names.values())
