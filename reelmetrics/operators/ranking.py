@@ -1,9 +1,11 @@
 """Ranks, row numbers and tiles.
 
-Two situations, two plans:
+Three situations, three plans:
 
-* only the best few are kept: a plain rank window plus filter, which Catalyst turns into a
-  ``WindowGroupLimit`` on the map side (:func:`top`);
+* the best few, where ties are rare or the groups small: a plain rank window plus filter, which
+  Catalyst turns into a ``WindowGroupLimit`` on the map side (:func:`top`);
+* the best few by a count, where very many rows may tie: the best distinct values are found first
+  and the rows that have them are kept (:func:`top_by_value`);
 * every row gets a rank: ties share it, so the rank is computed once per distinct value, over
   slices of the value range, and joined back (:func:`ranked`, :func:`numbered`, :func:`tiled`).
 """
@@ -38,6 +40,33 @@ def top(
     return df.withColumn(name, small_rank(by, order, kind)).filter(F.col(name) <= n)
 
 
+def top_by_value(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    n: int = 1,
+    kind: str = "rank",
+    name: str = "rank",
+    descending: bool = True,
+    few_groups: bool = True,
+) -> DataFrame:
+    """As :func:`top`, but no task holds the rows that tie: the windows see distinct values only.
+
+    A rank of at most ``n`` needs at most the first ``n`` values of a group, so with few groups the
+    values are safe to broadcast.
+    """
+    by = list(by)
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    w = Window.partitionBy(*by).orderBy(order)
+    values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    best = values.withColumn(name, F.dense_rank().over(w).cast("long")).filter(F.col(name) <= n)
+    if kind == "rank":
+        before = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        best = best.withColumn(name, F.coalesce(before, F.lit(0)) + 1).filter(F.col(name) <= n)
+    best = best.drop("__n")
+    return join_null_safe(df, F.broadcast(best) if few_groups else best, [*by, value])
+
+
 def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool) -> DataFrame:
     """One row per (by, value): rows in it, rows before it, distinct values before it.
 
@@ -188,7 +217,7 @@ def first_against_second(
     The ranks are part of the join key, so it is an equi-join even over a single group.
     """
     by = list(by)
-    best = top(df, by, [F.col(value).desc()], 2, "dense", "__rank")
+    best = top_by_value(df, by, value, 2, "dense", "__rank")
     a = best.filter(F.col("__rank") == 1).select(*by, "__rank", *[F.col(c).alias(n) for c, n in first.items()])
     above = (F.col("__rank") - 1).alias("__rank")
     b = best.select(*by, above, *[F.col(c).alias(n) for c, n in second.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelmetrics.functions import dates as d
 from reelmetrics.operators.pairs import frequent_pairs
-from reelmetrics.operators.ranking import ranked, small_rank, top
+from reelmetrics.operators.ranking import ranked, small_rank, top, top_by_value
 from reelmetrics.plans.rankings import film_counts, with_titles
 from reelmetrics.plans.registry import query
 
@@ -41,7 +41,7 @@ SELECT shelf_id AS store_id, film_id, title, count(*) AS rental_count, count(DIS
 FROM rented JOIN film USING (film_id) GROUP BY shelf_id, film_id, title QUALIFY rank <= 5""")
 def scarce_films_per_store(shop, n=5):
     demand = _demand(shop.shelf_copies, "store_id", "film_id")
-    best = top(demand, ["store_id"], [F.col("rentals_per_copy").desc()], n)
+    best = top_by_value(demand, ["store_id"], "rentals_per_copy", n)
     return with_titles(best, shop).select(
         "store_id", "film_id", "title", "rental_count", "copies", "rentals_per_copy", "rank"
     )
@@ -53,7 +53,7 @@ SELECT film_id, title, count(*) AS rental_count, count(DISTINCT copy_id) AS copi
        rank() OVER (ORDER BY count(*)::DOUBLE / count(DISTINCT copy_id) DESC) AS rank
 FROM rented JOIN film USING (film_id) GROUP BY film_id, title QUALIFY rank <= 10""")
 def scarce_films(shop, n=10):
-    best = top(_demand(shop.copies, "film_id"), [], [F.col("rentals_per_copy").desc()], n)
+    best = top_by_value(_demand(shop.copies, "film_id"), [], "rentals_per_copy", n)
     return with_titles(best, shop).select("film_id", "title", "rental_count", "copies", "rentals_per_copy", "rank")
 
 
@@ -96,7 +96,7 @@ FROM l JOIN film_actor USING (film_id) GROUP BY ALL""")
 def films_most_often_late(shop, n=10):
     late = _with_allowance(shop.rented, shop).filter(is_late())
     counts = late.groupBy("film_id").agg(F.count("*").alias("late_returns"))
-    best = with_titles(top(counts, [], [F.col("late_returns").desc()], n), shop, "category_id")
+    best = with_titles(top_by_value(counts, [], "late_returns", n), shop, "category_id")
     columns = ["film_id", "title", "category_id", "late_returns", "rank"]
     # The cast of one film is a short list, bounded by the film and not by the rentals.
     cast = F.concat_ws(", ", F.sort_array(F.collect_set("actor")))
@@ -150,7 +150,7 @@ FROM rented JOIN film USING (film_id) JOIN film_actor USING (film_id)
 GROUP BY actor, film_id, title QUALIFY rank <= 5""")
 def top_films_per_actor(shop, n=5):
     counts = film_counts(shop.copies).join(shop.film_actor, "film_id")
-    best = top(counts, ["actor"], [F.col("rental_count").desc()], n)
+    best = top_by_value(counts, ["actor"], "rental_count", n, few_groups=False)
     return with_titles(best, shop).select("actor", "film_id", "title", "rental_count", "rank")
 
 
@@ -160,7 +160,7 @@ QUALIFY rank() OVER (ORDER BY count(DISTINCT film_id) DESC) = 1""")
 def actor_in_most_rented_films(shop):
     seen = film_counts(shop.copies).select("film_id")
     films = shop.film_actor.join(seen, "film_id", "left_semi").groupBy("actor").agg(F.count("*").alias("rented_films"))
-    return top(films, [], [F.col("rented_films").desc()]).drop("rank")
+    return top_by_value(films, [], "rented_films").drop("rank")
 
 
 @query("q59", """
@@ -180,7 +180,7 @@ def films_of_least_rented_actors(shop, months=12):
         .groupBy("actor")
         .agg(F.sum(F.coalesce("n", F.lit(0))).alias("rental_count"))
     )
-    least = top(actors, [], [F.col("rental_count").asc()]).drop("rank")
+    least = top_by_value(actors, [], "rental_count", descending=False).drop("rank")
     # One row per film instead of a list: an actor's list has no size bound.
     return with_titles(least.join(shop.film_actor, "actor"), shop).select("actor", "rental_count", "film_id", "title")
 
@@ -191,7 +191,7 @@ QUALIFY rank() OVER (ORDER BY count(DISTINCT category_id) DESC) = 1""")
 def actors_across_most_categories(shop):
     pairs = shop.film_actor.join(shop.film_category, "film_id").select("actor", "category_id").distinct()
     counts = pairs.groupBy("actor").agg(F.count("*").alias("categories"))
-    return top(counts, [], [F.col("categories").desc()]).drop("rank")
+    return top_by_value(counts, [], "categories").drop("rank")
 
 
 @query("q99", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reelmetrics.functions import dates as d
 from reelmetrics.operators import period
 from reelmetrics.operators.gaps import latest, neighbours
-from reelmetrics.operators.ranking import top
+from reelmetrics.operators.ranking import top, top_by_value
 from reelmetrics.plans.periods import mean_days
 from reelmetrics.plans.rankings import film_counts, with_titles
 from reelmetrics.plans.registry import query
@@ -244,7 +244,7 @@ def largest_jump_between_months(shop):
         .withColumn("difference", F.col("rental_count") - F.col("prev_month_count"))
         .filter(F.col("difference").isNotNull())
     )
-    best = top(jumps, [], [F.col("difference").desc()])
+    best = top_by_value(jumps, [], "difference")
     return with_titles(best, shop).select(
         "film_id", "title", d.year_month(d.index_month("i")).alias("year_month"),
         "rental_count", "prev_month_count", "difference",

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from reelmetrics.functions import dates as d
-from reelmetrics.operators.ranking import top
+from reelmetrics.operators.ranking import top_by_value
 from reelmetrics.plans.registry import query
 from reelmetrics.sources import layout
 
@@ -89,7 +89,7 @@ def most_rented_films_bucketed(shop, n=10):
         .groupBy("film_id")
         .agg(F.sum("rentals").alias("rental_count"))
     )
-    return top(counts, [], [F.col("rental_count").desc()], n).select("film_id", "rental_count", "rank")
+    return top_by_value(counts, [], "rental_count", n).select("film_id", "rental_count", "rank")
 
 
 @query("q85", """
