@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, id_slice, is_hot, join_null_safe, number_slice
+from reelmetrics.operators.slices import SLICE, id_slice, join_null_safe, number_slice
 from reelmetrics.session import hot_rows
 
 KINDS = {"rank": F.rank, "dense": F.dense_rank, "row": F.row_number}
@@ -140,7 +140,7 @@ def _number_ties(df: DataFrame, keys: list[str], identifier: str) -> DataFrame:
     rows = df.withColumn(SLICE, F.when(long, id_slice(identifier)))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        rows.filter(is_hot())
+        rows.filter(F.col(SLICE).isNotNull())
         .groupBy(*keys, SLICE)
         .agg(F.count(F.lit(1)).alias("__slice_rows"))
         .select(*keys, SLICE, F.sum("__slice_rows").over(before).alias("__carry"))

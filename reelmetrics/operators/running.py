@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, day_slice, hot_slices, is_hot, join_null_safe
+from reelmetrics.operators.slices import SLICE, day_slice, join_null_safe, split_hot
 
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -23,28 +23,12 @@ def running_total(
 ) -> DataFrame:
     """Total of ``value`` up to and including the current ``order`` moment, per key.
 
-    For many keys: one shuffle of the rows. Hot keys are cut by day and each day starts from the
-    carried total of the days before; the small carry joins on the window's own partitioning.
+    For many keys: a plain window with one shuffle. Rows of hot keys, if any, take the other way.
     """
-    keys = list(keys)
-    rows = hot_slices(df.withColumn("__v", value), keys, day_slice(order), weights, weight_keys)
-    if rows is None:
-        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(order)))
-    local = F.sum("__v").over(Window.partitionBy(*keys, SLICE).orderBy(order))
-    across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*BEFORE)
-    carry = (
-        rows.filter(is_hot())
-        .groupBy(*keys, SLICE)
-        .agg(F.sum("__v").alias("__day"))
-        .select(*keys, SLICE, F.sum("__day").over(across).alias("__carry"))
-    )
-    out = rows.withColumn(name, local).join(carry, [*keys, SLICE], "left")
-    return out.withColumn(name, _add(name, "__carry")).drop(SLICE, "__v", "__carry")
-
-
-def _add(a: str, b: str) -> Column:
-    """Sum that skips NULL, and is NULL if both are, like SUM itself."""
-    return F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b))
+    ordinary, hot = split_hot(df, keys, weights, weight_keys)
+    total = F.sum(value).over(Window.partitionBy(*keys).orderBy(order))
+    out = ordinary.withColumn(name, total)
+    return out if hot is None else out.unionByName(running_total_few_keys(hot, keys, order, value, name))
 
 
 def running_total_few_keys(
@@ -52,9 +36,10 @@ def running_total_few_keys(
 ) -> DataFrame:
     """The same for a handful of huge keys (stores, staff, categories).
 
-    Peers share a value, so the window runs over one row per (key, moment) and the rows pick their
-    total up by an equi-join: no window ever sees the raw rows, a moment shared by very many rows
-    is split by the skew join, and a small table of totals is broadcast by its run-time size.
+    Peers share a value, so the window runs over one row per (key, moment), cut by day, and the
+    rows pick their total up by an equi-join: no window ever sees the raw rows, a moment shared by
+    very many rows is split by the skew join, and a small table of totals is broadcast by its
+    run-time size.
     """
     keys = list(keys)
     moments = df.groupBy(*keys, order).agg(F.sum(value).alias("__v")).withColumn(SLICE, day_slice(order))
@@ -70,59 +55,78 @@ def running_total_few_keys(
     return join_null_safe(df, totals, [*keys, order])
 
 
+def _add(a: str, b: str) -> Column:
+    """Sum that skips NULL, and is NULL if both are, like SUM itself."""
+    return F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b))
+
+
+Breaks = Callable[[Column, Column], Column]
+
+
 def running_total_with_reset(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     value: Column,
-    breaks: Callable[[Column, Column], Column],
+    breaks: Breaks,
     name: str,
     weights: DataFrame | None = None,
 ) -> DataFrame:
     """Running total that starts again where ``breaks(previous, current)`` is true.
 
-    All windows share one shuffle by key. For hot keys, cut by day, two facts cross a slice border:
-    the last moment before it, and the open total if no reset has happened since.
+    All windows of an ordinary key share one shuffle.
     """
     keys = list(keys)
-    df = df.withColumn("__v", value)
-    rows = hot_slices(df, keys, day_slice(order), weights)
-    hot = rows is not None
-    rows = rows if hot else df.withColumn(SLICE, F.lit(None).cast("long"))
-    part = [*keys, SLICE] if hot else keys
-    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
-    w = Window.partitionBy(*part).orderBy(order)
+    ordinary, hot = split_hot(df, keys, weights)
+    w = Window.partitionBy(*keys).orderBy(order)
+    previous = F.lag(order).over(w)
+    out = (
+        ordinary.withColumn("__reset", _flag(breaks(previous, F.col(order))))
+        .withColumn("__group", F.sum("__reset").over(w))
+        .withColumn(name, F.sum(value).over(Window.partitionBy(*keys, "__group").orderBy(order)))
+        .drop("__reset", "__group")
+    )
+    return out if hot is None else out.unionByName(_reset_few_keys(hot, keys, order, value, breaks, name))
 
-    marked = rows.withColumn("__prev", F.lag(order).over(w))
-    if hot:
-        last = (
-            rows.filter(is_hot())
-            .groupBy(*part)
-            .agg(F.max(order).alias("__last"))
-            .select(*part, F.lag("__last").over(by_slice).alias("__before"))
-        )
-        marked = marked.join(last, part, "left").withColumn("__prev", F.coalesce("__prev", "__before"))
-    reset = F.coalesce(breaks(F.col("__prev"), F.col(order)), F.lit(False)).cast("long")
-    marked = marked.withColumn("__reset", reset).withColumn("__group", F.sum("__reset").over(w))
-    local = F.sum("__v").over(Window.partitionBy(*part, "__group").orderBy(order))
-    out = marked.withColumn(name, local)
-    if hot:
-        carry = _open_totals(marked.filter(is_hot()), keys, by_slice)
-        carried = F.when(F.col("__group") == 0, F.col("__carry"))
-        out = out.join(carry, part, "left").withColumn("__carry", carried).withColumn(name, _add(name, "__carry"))
-    return out.drop(SLICE, "__v", "__prev", "__before", "__reset", "__group", "__carry")
 
+def _flag(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("long")
 
-def _open_totals(marked: DataFrame, keys: list[str], by_slice) -> DataFrame:
-    """Per slice of a hot key: the running total its first rows continue from."""
+
+def _reset_few_keys(
+    df: DataFrame, keys: list[str], order: str, value: Column, breaks: Breaks, name: str
+) -> DataFrame:
+    """The reset chain over one row per (key, moment), cut by day.
+
+    Two facts cross a day border: the last moment before it, and the running total if no reset
+    has happened since.
+    """
+    part = [*keys, SLICE]
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    w = Window.partitionBy(*part).orderBy(order)
+    moments = df.groupBy(*keys, order).agg(F.sum(value).alias("__v")).withColumn(SLICE, day_slice(order))
+    last = (
+        moments.groupBy(*part)
+        .agg(F.max(order).alias("__last"))
+        .select(*part, F.lag("__last").over(by_slice).alias("__before"))
+    )
+    marked = (
+        join_null_safe(moments.withColumn("__prev", F.lag(order).over(w)), last, part)
+        .withColumn("__reset", _flag(breaks(F.coalesce("__prev", "__before"), F.col(order))))
+        .withColumn("__group", F.sum("__reset").over(w))
+    )
     ends = (
-        marked.groupBy(*keys, SLICE, "__group")
+        marked.groupBy(*part, "__group")
         .agg(F.sum("__v").alias("__sum"))
-        .groupBy(*keys, SLICE)
+        .groupBy(*part)
         .agg(F.max("__group").alias("__resets"), F.max_by("__sum", "__group").alias("__tail"))
         .withColumn("__run", F.sum(F.when(F.col("__resets") > 0, 1).otherwise(0)).over(by_slice))
     )
     open_total = F.sum("__tail").over(Window.partitionBy(*keys, "__run").orderBy(SLICE))
-    return ends.withColumn("__open", open_total).select(
-        *keys, SLICE, F.lag("__open").over(by_slice).alias("__carry")
-    )
+    carry = ends.withColumn("__open", open_total).select(*part, F.lag("__open").over(by_slice).alias("__carry"))
+
+    local = F.sum("__v").over(Window.partitionBy(*part, "__group").orderBy(order))
+    totals = join_null_safe(marked.withColumn(name, local), carry, part)
+    carried = F.when(F.col("__group") == 0, F.col("__carry"))
+    totals = totals.withColumn("__carry", carried).select(*keys, order, _add(name, "__carry").alias(name))
+    return join_null_safe(df, totals, [*keys, order])

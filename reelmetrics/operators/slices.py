@@ -1,14 +1,13 @@
-"""Cutting hot window groups into ordered slices.
+"""Keeping window functions away from hot groups.
 
 A window function runs one group in one task. When one key holds a large share of the rows that
-task never ends. The operators in this package therefore put a slice beside the key: an
-order-preserving function of the sort column. The window runs per (key, slice), and a small table
-with one row per slice carries the value across slice borders. Two situations:
-
-* few keys, each with any number of rows (stores, categories, months, or no key): every key is
-  sliced;
-* many keys: only the hot ones are sliced, and a table without hot keys keeps the plain window
-  with its single shuffle.
+task never ends. Two tools prevent this:
+
+* :func:`split_hot` separates the rows of hot keys, so that ordinary keys keep the plain window
+  with its single shuffle and a table without hot keys pays nothing;
+* a *slice* is an order-preserving function of the sort column. A window per (key, slice) plus a
+  small table with one row per slice, which carries the value across slice borders, gives the same
+  result as one window per key.
 """
 
 from __future__ import annotations
@@ -55,14 +54,13 @@ def hot_keys(weights: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return spark.createDataFrame(rows, found.schema) if rows else None
 
 
-def hot_slices(
+def split_hot(
     df: DataFrame,
     keys: Sequence[str],
-    slice_of: Column,
     weights: DataFrame | None = None,
     weight_keys: Sequence[str] | None = None,
-) -> DataFrame | None:
-    """``df`` with the slice of every row of a hot key and NULL for others; None without hot keys.
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys and rows of hot keys; None when no key is hot.
 
     ``weights`` may be a cheaper frame to look at (a base table instead of a join) with
     ``weight_keys``, a subset of ``keys``.
@@ -70,17 +68,8 @@ def hot_slices(
     by = list(weight_keys or keys)
     hot = hot_keys(df if weights is None else weights, by)
     if hot is None:
-        return None
-    hot = hot.withColumn("__hot", F.lit(True))
-    return (
-        df.join(F.broadcast(hot), by, "left")
-        .withColumn(SLICE, F.when(F.col("__hot"), slice_of))
-        .drop("__hot")
-    )
-
-
-def is_hot() -> Column:
-    return F.col(SLICE).isNotNull()
+        return df, None
+    return df.join(F.broadcast(hot), by, "left_anti"), df.join(F.broadcast(hot), by, "left_semi")
 
 
 def day_slice(order: str) -> Column:
@@ -90,9 +79,9 @@ def day_slice(order: str) -> Column:
 
 
 def number_slice(value: str) -> Column:
-    """Monotone bins of relative width 1/512: no statistics needed, so every branch agrees."""
+    """Monotone bins of relative width 1/8192: no statistics needed, so every branch agrees."""
     v = F.col(value).cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 512).cast("long")
+    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 8192).cast("long")
 
 
 def id_slice(identifier: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelmetrics.functions import dates as d
 from reelmetrics.operators import period
-from reelmetrics.operators.gaps import latest, neighbours
+from reelmetrics.operators.gaps import latest, moment_neighbours, neighbours
 from reelmetrics.operators.ranking import top, top_by_value
 from reelmetrics.plans.periods import mean_days
 from reelmetrics.plans.rankings import film_counts, with_titles
@@ -61,8 +61,7 @@ def days_first_to_last_rental(shop):
 
 def _rental_neighbours(shop):
     return neighbours(
-        shop.rentals.select("customer_id", "rental_date"),
-        ["customer_id"], "rental_date", "prev_rental_date", "next_rental_date",
+        shop.rentals, ["customer_id"], "rental_date", "rental_id", "prev_rental_date", "next_rental_date"
     )
 
 
@@ -155,9 +154,8 @@ WITH l AS (SELECT customer_id, film_id, rental_date,
 SELECT *, trunc((epoch_us(rental_date) - epoch_us(prev_rental_date))::DOUBLE / 86400000000)::BIGINT AS days_between
 FROM l WHERE prev_rental_date IS NOT NULL""")
 def repeat_rentals_of_a_film(shop):
-    rows = shop.rented.select("customer_id", "film_id", "rental_date")
     out = neighbours(
-        rows, ["customer_id", "film_id"], "rental_date", "prev_rental_date",
+        shop.rented, ["customer_id", "film_id"], "rental_date", "rental_id", "prev_rental_date",
         weights=shop.rentals, weight_keys=["customer_id"],
     )
     return out.filter(F.col("prev_rental_date").isNotNull()).select(
@@ -256,10 +254,9 @@ SELECT film_id, shelf_id AS store_id, rental_date, lag(rental_date) OVER w AS pr
        lead(rental_date) OVER w AS next_rental_date
 FROM rented WINDOW w AS (PARTITION BY film_id, shelf_id ORDER BY rental_date)""")
 def previous_and_next_rental_per_film_and_store(shop):
-    rows = shop.shelf_rented.select("film_id", "store_id", "rental_date")
     return neighbours(
-        rows, ["film_id", "store_id"], "rental_date", "prev_rental_date", "next_rental_date",
-        weights=shop.copies, weight_keys=["film_id"],
+        shop.shelf_rented, ["film_id", "store_id"], "rental_date", "rental_id",
+        "prev_rental_date", "next_rental_date", weights=shop.copies, weight_keys=["film_id"],
     )
 
 
@@ -272,7 +269,7 @@ QUALIFY rank() OVER (ORDER BY max(gap) DESC) = 1""")
 def staff_with_longest_gap(shop):
     # Equal dates add no gap, so distinct moments are enough and far fewer.
     moments = shop.staffed_rentals.select("staff_id", "rental_date").distinct()
-    gaps = neighbours(moments, ["staff_id"], "rental_date", "prev").withColumn(
+    gaps = moment_neighbours(moments, ["staff_id"], "rental_date", "prev", "next").withColumn(
         "gap", d.days_between("rental_date", "prev")
     )
     longest = gaps.groupBy("staff_id").agg(F.max("gap").alias("longest_gap_days"))
