@@ -83,8 +83,8 @@ def _category_counts(shop, *extra):
 
 
 @query("q41", """
-SELECT customer_id FROM rented JOIN film USING (film_id) GROUP BY customer_id
-HAVING count(DISTINCT category_id) = (SELECT count(DISTINCT category_id) FROM film)""")
+SELECT customer_id FROM rented JOIN film_cat USING (film_id) GROUP BY customer_id
+HAVING count(DISTINCT category_id) = (SELECT count(DISTINCT category_id) FROM film_cat)""")
 def customers_of_every_category(shop):
     categories = shop.film_category.select("category_id").distinct()
     return cohort.covers_all(_category_counts(shop), ["customer_id"], categories).select("customer_id")
@@ -117,7 +117,7 @@ def customers_of_every_store(shop):
 
 @query("q48", """
 WITH c AS (SELECT customer_id, category_id, count(*) AS rental_count
-           FROM rented JOIN film USING (film_id) GROUP BY ALL)
+           FROM rented JOIN film_cat USING (film_id) GROUP BY ALL)
 SELECT * FROM c WHERE customer_id IN (SELECT customer_id FROM c GROUP BY ALL HAVING count(*) >= 3)""")
 def rentals_per_category_of_varied_customers(shop, at_least=3):
     # One row per (customer, category), so the window holds no more rows than there are categories.
@@ -136,7 +136,7 @@ WHERE NOT EXISTS (SELECT 1 FROM rented x JOIN cust USING (customer_id)
                   WHERE x.customer_id = rented.customer_id AND x.shelf_id = cust.store_id)""")
 def never_at_signup_store(shop):
     visited = shop.shelf_rented.select("customer_id", "store_id").distinct()
-    home = shop.customer_staff.select("customer_id", F.col("store_id").alias("home"))
+    home = shop.signup_stores.select("customer_id", F.col("store_id").alias("home"))
     return (
         visited.join(home, "customer_id")
         .groupBy("customer_id")
@@ -156,13 +156,14 @@ def customers_of_one_store(shop, since="2001-02-01"):
 
 
 @query("q64", """
-WITH c AS (SELECT store_id, customer_id, count(DISTINCT rental_id) AS rentals, sum(amount) AS revenue
-           FROM rented GROUP BY ALL),
+WITH c AS (SELECT renting_store_id AS store_id, renter_id, count(DISTINCT rental_id) AS rentals,
+                  sum(amount) AS revenue
+           FROM payment WHERE renting_store_id IS NOT NULL GROUP BY ALL),
 s AS (SELECT store_id, coalesce(sum(revenue) FILTER (rentals >= 2), 0)::DOUBLE / sum(revenue)::DOUBLE AS repeat_share
       FROM c GROUP BY store_id)
 SELECT * FROM s QUALIFY rank() OVER (ORDER BY repeat_share DESC) = 1""")
 def store_with_most_repeat_revenue(shop, repeat=2):
-    paid = shop.copies.groupBy("rental_id").agg(F.sum("amount").alias("paid"))
+    paid = shop.takings.groupBy("rental_id").agg(F.sum("amount").alias("paid"))
     per_customer = (
         shop.staffed_rentals.join(paid, "rental_id")
         .groupBy("store_id", "customer_id")
@@ -188,9 +189,9 @@ def customers_returning_to_an_actor(shop):
 
 
 @query("q67", """
-WITH stocked AS (SELECT shelf_id, count(DISTINCT category_id) AS n FROM rented JOIN film USING (film_id) GROUP BY ALL),
+WITH stocked AS (SELECT shelf_id, count(DISTINCT category_id) AS n FROM rented JOIN film_cat USING (film_id) GROUP BY ALL),
 c AS (SELECT shelf_id, customer_id, count(DISTINCT category_id) AS n
-      FROM rented JOIN film USING (film_id) GROUP BY ALL)
+      FROM rented JOIN film_cat USING (film_id) GROUP BY ALL)
 SELECT c.shelf_id AS store_id, customer_id, c.n AS categories
 FROM c JOIN stocked ON c.shelf_id = stocked.shelf_id AND c.n = stocked.n""")
 def customers_of_every_category_of_a_store(shop):

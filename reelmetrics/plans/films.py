@@ -12,11 +12,11 @@ from reelmetrics.plans.registry import query
 
 
 @query("q51", """
-SELECT shelf_id AS store_id, film_id FROM rented GROUP BY ALL HAVING NOT bool_or(was_rented)""")
+SELECT store_id, film_id FROM stock GROUP BY ALL HAVING NOT bool_or(rented)""")
 def stocked_but_never_rented(shop):
-    # Stock and rentals come from the same rows, so one aggregate replaces the anti-join.
+    # The stock view marks each copy's rentals, so one aggregate replaces the anti-join.
     return (
-        shop.shelf_copies.groupBy("store_id", "film_id")
+        shop.shelf_stock.groupBy("store_id", "film_id")
         .agg(F.max(F.col("rented").cast("int")).alias("rented"))
         .filter(F.col("rented") == 0)
         .select("store_id", "film_id")
@@ -27,7 +27,7 @@ def _demand(rows, *keys):
     """Rentals and distinct copies per key; counting per copy first keeps every shuffle partial."""
     return (
         rows.groupBy(*keys, "copy_id")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("rental_id").alias("n"))
         .groupBy(*keys)
         .agg(F.sum("n").alias("rental_count"), F.count("*").alias("copies"))
         .withColumn("rentals_per_copy", d.ratio(F.col("rental_count"), F.col("copies")))
@@ -35,12 +35,12 @@ def _demand(rows, *keys):
 
 
 @query("q52", """
-SELECT shelf_id AS store_id, film_id, title, count(*) AS rental_count, count(DISTINCT copy_id) AS copies,
-       count(*)::DOUBLE / count(DISTINCT copy_id) AS rentals_per_copy,
-       rank() OVER (PARTITION BY shelf_id ORDER BY count(*)::DOUBLE / count(DISTINCT copy_id) DESC) AS rank
-FROM rented JOIN film USING (film_id) GROUP BY shelf_id, film_id, title QUALIFY rank <= 5""")
+SELECT store_id, film_id, title, count(rental_id) AS rental_count, count(DISTINCT copy_id) AS copies,
+       count(rental_id)::DOUBLE / count(DISTINCT copy_id) AS rentals_per_copy,
+       rank() OVER (PARTITION BY store_id ORDER BY count(rental_id)::DOUBLE / count(DISTINCT copy_id) DESC) AS rank
+FROM stock JOIN film USING (film_id) GROUP BY store_id, film_id, title QUALIFY rank <= 5""")
 def scarce_films_per_store(shop, n=5):
-    demand = _demand(shop.shelf_copies, "store_id", "film_id")
+    demand = _demand(shop.shelf_stock, "store_id", "film_id")
     best = top_by_value(demand, ["store_id"], "rentals_per_copy", n)
     return with_titles(best, shop).select(
         "store_id", "film_id", "title", "rental_count", "copies", "rentals_per_copy", "rank"
@@ -48,24 +48,25 @@ def scarce_films_per_store(shop, n=5):
 
 
 @query("q101", """
-SELECT film_id, title, count(*) AS rental_count, count(DISTINCT copy_id) AS copies,
-       count(*)::DOUBLE / count(DISTINCT copy_id) AS rentals_per_copy,
-       rank() OVER (ORDER BY count(*)::DOUBLE / count(DISTINCT copy_id) DESC) AS rank
-FROM rented JOIN film USING (film_id) GROUP BY film_id, title QUALIFY rank <= 10""")
+SELECT film_id, title, count(rental_id) AS rental_count, count(DISTINCT copy_id) AS copies,
+       count(rental_id)::DOUBLE / count(DISTINCT copy_id) AS rentals_per_copy,
+       rank() OVER (ORDER BY count(rental_id)::DOUBLE / count(DISTINCT copy_id) DESC) AS rank
+FROM stock JOIN film USING (film_id) GROUP BY film_id, title QUALIFY rank <= 10""")
 def scarce_films(shop, n=10):
-    best = top_by_value(_demand(shop.copies, "film_id"), [], "rentals_per_copy", n)
+    best = top_by_value(_demand(shop.stock, "film_id"), [], "rentals_per_copy", n)
     return with_titles(best, shop).select("film_id", "title", "rental_count", "copies", "rentals_per_copy", "rank")
 
 
 @query("q53", """
-WITH c AS (SELECT film_id, shelf_id AS store_id, copy_id, bool_or(return_date IS NULL) AS is_out
-           FROM rented GROUP BY ALL),
+WITH c AS (SELECT film_id, store_id, copy_id, bool_or(rental_id IS NOT NULL AND return_date IS NULL) AS is_out
+           FROM stock GROUP BY ALL),
 s AS (SELECT film_id, store_id, count(*) AS copies, count(*) FILTER (NOT is_out) AS available_copies
       FROM c GROUP BY ALL)
 SELECT *, (rank() OVER (PARTITION BY film_id ORDER BY copies DESC) = 1)::BIGINT AS has_most_copies FROM s""")
 def availability_per_film_and_store(shop):
-    per_copy = shop.shelf_copies.groupBy("film_id", "store_id", "copy_id").agg(
-        F.max(F.col("return_date").isNull().cast("int")).alias("is_out")
+    is_open = F.col("rental_id").isNotNull() & F.col("return_date").isNull()
+    per_copy = shop.shelf_stock.groupBy("film_id", "store_id", "copy_id").agg(
+        F.max(is_open.cast("int")).alias("is_out")
     )
     stock = per_copy.groupBy("film_id", "store_id").agg(
         F.count("*").alias("copies"), F.count_if(F.col("is_out") == 0).alias("available_copies")
@@ -88,7 +89,7 @@ def _with_allowance(rows, shop):
 @query("q54", """
 WITH l AS (
   SELECT film_id, title, category_id, count(*) AS late_returns, rank() OVER (ORDER BY count(*) DESC) AS rank
-  FROM rented JOIN film USING (film_id)
+  FROM rented JOIN film USING (film_id) JOIN film_cat USING (film_id)
   WHERE epoch_us(return_date) - epoch_us(rental_date) > allowed_days * 86400000000
   GROUP BY film_id, title, category_id QUALIFY rank <= 10)
 SELECT film_id, title, category_id, late_returns, rank, string_agg(actor, ', ' ORDER BY actor) AS actors
@@ -96,7 +97,7 @@ FROM l JOIN film_actor USING (film_id) GROUP BY ALL""")
 def films_most_often_late(shop, n=10):
     late = _with_allowance(shop.rented, shop).filter(is_late())
     counts = late.groupBy("film_id").agg(F.count("*").alias("late_returns"))
-    best = with_titles(top_by_value(counts, [], "late_returns", n), shop, "category_id")
+    best = top_by_value(counts, [], "late_returns", n).join(shop.films_by_category, "film_id")
     columns = ["film_id", "title", "category_id", "late_returns", "rank"]
     # The cast of one film is a short list, bounded by the film and not by the rentals.
     cast = F.concat_ws(", ", F.sort_array(F.collect_set("actor")))
@@ -106,11 +107,11 @@ def films_most_often_late(shop, n=10):
 @query("q55", """
 SELECT category_id, count(*) AS rental_count, count(return_date) AS return_count,
        count(return_date)::DOUBLE / count(*) AS return_rate
-FROM rented JOIN film USING (film_id) GROUP BY category_id
+FROM rented JOIN film_cat USING (film_id) GROUP BY category_id
 QUALIFY rank() OVER (ORDER BY count(return_date)::DOUBLE / count(*)) = 1""")
 def category_with_lowest_return_rate(shop):
     rates = (
-        shop.copies.join(shop.film_category, "film_id")
+        shop.rented_copies.join(shop.film_category, "film_id")
         .groupBy("category_id")
         .agg(F.count("*").alias("rental_count"), F.count("return_date").alias("return_count"))
         .withColumn("return_rate", d.ratio(F.col("return_count"), F.col("rental_count")))
@@ -126,7 +127,7 @@ WITH f AS (SELECT film_id, sum(amount) AS revenue FROM payment GROUP BY film_id
 SELECT actor, sum(revenue)::DOUBLE AS revenue, rank() OVER (ORDER BY sum(revenue) DESC) AS rank
 FROM f JOIN film_actor USING (film_id) GROUP BY actor""")
 def actors_by_revenue_of_popular_films(shop, more_than=30):
-    films = shop.copies.groupBy("film_id").agg(F.sum("amount").alias("revenue"), F.count("*").alias("n"))
+    films = shop.film_payments.groupBy("film_id").agg(F.sum("amount").alias("revenue"), F.count("*").alias("n"))
     return _actors_by_revenue(shop, films.filter(F.col("n") > more_than))
 
 
@@ -134,7 +135,7 @@ def actors_by_revenue_of_popular_films(shop, more_than=30):
 SELECT actor, sum(amount)::DOUBLE AS revenue, rank() OVER (ORDER BY sum(amount) DESC) AS rank
 FROM payment JOIN film_actor USING (film_id) GROUP BY actor""")
 def actors_by_revenue(shop):
-    return _actors_by_revenue(shop, shop.copies.groupBy("film_id").agg(F.sum("amount").alias("revenue")))
+    return _actors_by_revenue(shop, shop.film_payments.groupBy("film_id").agg(F.sum("amount").alias("revenue")))
 
 
 def _actors_by_revenue(shop, films):
@@ -149,7 +150,7 @@ SELECT actor, film_id, title, count(*) AS rental_count,
 FROM rented JOIN film USING (film_id) JOIN film_actor USING (film_id)
 GROUP BY actor, film_id, title QUALIFY rank <= 5""")
 def top_films_per_actor(shop, n=5):
-    counts = film_counts(shop.copies).join(shop.film_actor, "film_id")
+    counts = film_counts(shop.rented_copies).join(shop.film_actor, "film_id")
     best = top_by_value(counts, ["actor"], "rental_count", n, few_groups=False)
     return with_titles(best, shop).select("actor", "film_id", "title", "rental_count", "rank")
 
@@ -158,7 +159,7 @@ def top_films_per_actor(shop, n=5):
 SELECT actor, count(DISTINCT film_id) AS rented_films FROM rented JOIN film_actor USING (film_id) GROUP BY actor
 QUALIFY rank() OVER (ORDER BY count(DISTINCT film_id) DESC) = 1""")
 def actor_in_most_rented_films(shop):
-    seen = film_counts(shop.copies).select("film_id")
+    seen = film_counts(shop.rented_copies).select("film_id")
     films = shop.film_actor.join(seen, "film_id", "left_semi").groupBy("actor").agg(F.count("*").alias("rented_films"))
     return top_by_value(films, [], "rented_films").drop("rank")
 
@@ -186,7 +187,7 @@ def films_of_least_rented_actors(shop, months=12):
 
 
 @query("q60", """
-SELECT actor, count(DISTINCT category_id) AS categories FROM film_actor JOIN film USING (film_id) GROUP BY actor
+SELECT actor, count(DISTINCT category_id) AS categories FROM film_actor JOIN film_cat USING (film_id) GROUP BY actor
 QUALIFY rank() OVER (ORDER BY count(DISTINCT category_id) DESC) = 1""")
 def actors_across_most_categories(shop):
     pairs = shop.film_actor.join(shop.film_category, "film_id").select("actor", "category_id").distinct()
@@ -207,7 +208,7 @@ def films_rented_together(shop, min_support=5):
 
 
 @query("q104", """
-SELECT category_id, year(rental_date) AS rental_year FROM rented JOIN film USING (film_id)
+SELECT category_id, year(rental_date) AS rental_year FROM rented JOIN film_cat USING (film_id)
 GROUP BY ALL HAVING count(DISTINCT month(rental_date)) = 12""")
 def categories_rented_every_month(shop):
     return rented_every_month(shop.rented.join(shop.film_category, "film_id"), "category_id")

@@ -177,7 +177,7 @@ SELECT customer_id,
        max(rental_date) FILTER (l = 1) AS last_rental_date, max(film_id) FILTER (l = 1) AS last_film_id
 FROM r GROUP BY customer_id""")
 def first_and_latest_rental(shop):
-    films = shop.copies.groupBy("rental_id").agg(F.min("film_id").alias("lo"), F.max("film_id").alias("hi"))
+    films = shop.rented_copies.groupBy("rental_id").agg(F.min("film_id").alias("lo"), F.max("film_id").alias("hi"))
     per_rental = shop.rentals.join(films, "rental_id")
     ends = per_rental.groupBy("customer_id").agg(
         F.min(F.struct("rental_date", "rental_id", "lo")).alias("first"),
@@ -256,7 +256,7 @@ FROM rented WINDOW w AS (PARTITION BY film_id, shelf_id ORDER BY rental_date)"""
 def previous_and_next_rental_per_film_and_store(shop):
     return neighbours(
         shop.shelf_rented, ["film_id", "store_id"], "rental_date", "rental_id",
-        "prev_rental_date", "next_rental_date", weights=shop.copies, weight_keys=["film_id"],
+        "prev_rental_date", "next_rental_date", weights=shop.rented_copies, weight_keys=["film_id"],
     )
 
 

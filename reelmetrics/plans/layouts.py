@@ -14,7 +14,7 @@ from reelmetrics.sources import layout
 
 def _month_partitions(shop, name, df, timestamp, identifier):
     path = layout.written_once(
-        shop.spark, shop.sf_dir, name, lambda p: layout.partition_by_month(df, timestamp, identifier, p)
+        shop.spark, shop.folder, name, lambda p: layout.partition_by_month(df, timestamp, identifier, p)
     )
     schema = df.withColumn("ym", F.lit(0)).schema
     return shop.spark.read.schema(schema).parquet(path)
@@ -29,7 +29,7 @@ SELECT rental_date, count(*) AS rental_count FROM rental
 WHERE rental_date >= TIMESTAMP '2000-03-15' AND rental_date < TIMESTAMP '2000-06-15' GROUP BY rental_date""")
 def rentals_in_date_range(shop, start="2000-03-15", end="2000-06-15"):
     rentals = _month_partitions(
-        shop, "rentals_by_month", shop.rentals.drop("amount"), "rental_date", "rental_id"
+        shop, "rentals_by_month", shop.rentals, "rental_date", "rental_id"
     )
     date = F.col("rental_date")
     # Partition pruning needs the month beside the date filter.
@@ -43,9 +43,9 @@ def rentals_in_date_range(shop, start="2000-03-15", end="2000-06-15"):
 
 @query("q83", "SELECT customer_id, first_name, last_name FROM cust WHERE last_name = 'BUILDING'")
 def customers_by_last_name(shop, last_name="BUILDING"):
-    customers = shop.customers.drop("staff_id")
+    customers = shop.customers
     path = layout.written_once(
-        shop.spark, shop.sf_dir, "customers_by_name",
+        shop.spark, shop.folder, "customers_by_name",
         lambda p: layout.sort_files(customers, "last_name", "customer_id", p),
     )
     return shop.spark.read.schema(customers.schema).parquet(path).filter(F.col("last_name") == last_name)
@@ -54,8 +54,8 @@ def customers_by_last_name(shop, last_name="BUILDING"):
 def bucketed_tables(shop):
     """Rentals and stock bucketed on the copy.
 
-    Rentals are stored per copy and month: a copy with very many rentals is a few rows, so no
-    bucket grows with it.
+    Rentals are counted per copy before they are stored, so a copy with very many rentals does not
+    make its bucket larger than the others.
     """
     keys = ["film_id", "copy_id"]
     buckets = int(shop.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -67,14 +67,13 @@ def bucketed_tables(shop):
 
         return run
 
-    month = F.trunc("payment_date", "month").alias("month")
     frames = {
-        "rentals": shop.copies.groupBy(*keys, month).agg(F.count("*").alias("rentals")),
-        "stock": shop.shelf_copies.select(*keys, "store_id").distinct(),
+        "rentals": shop.rented_copies.groupBy(*keys).agg(F.count("*").alias("rentals")),
+        "stock": shop.shelf_stock.select(*keys, "store_id").distinct(),
     }
     for kind, df in frames.items():
-        table = f"bucketed_{kind}_{uuid.uuid5(uuid.NAMESPACE_URL, shop.sf_dir).hex[:12]}"
-        path = layout.written_once(shop.spark, shop.sf_dir, table, write(kind, df))
+        table = f"bucketed_{kind}_{uuid.uuid5(uuid.NAMESPACE_URL, shop.folder).hex[:12]}"
+        path = layout.written_once(shop.spark, shop.folder, table, write(kind, df))
         names[kind] = path.split("/")[-1]
     return shop.spark.table(names["rentals"]), shop.spark.table(names["stock"])
 
@@ -96,7 +95,7 @@ def most_rented_films_bucketed(shop, n=10):
 SELECT strftime(payment_date, '%Y-%m') AS payment_month, sum(amount)::DOUBLE AS revenue FROM payment
 WHERE payment_date >= TIMESTAMP '2000-01-01' AND payment_date < TIMESTAMP '2001-01-01' GROUP BY ALL""")
 def monthly_revenue_from_partitions(shop, year=2000):
-    payments = shop.copies.select("rental_id", "payment_date", "amount")
+    payments = shop.takings.select("rental_id", "payment_date", "amount")
     stored = _month_partitions(shop, "payments_by_month", payments, "payment_date", "rental_id")
     return (
         stored.filter(F.col("ym").between(year * 100 + 1, year * 100 + 12))

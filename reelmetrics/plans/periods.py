@@ -42,7 +42,7 @@ def mean_days():
 SELECT category_id,
        sum(epoch_us(return_date) - epoch_us(rental_date))::DOUBLE / 86400000000 / count(*)
          AS avg_rental_duration_days
-FROM rented JOIN film USING (film_id) WHERE return_date IS NOT NULL GROUP BY category_id""")
+FROM rented JOIN film_cat USING (film_id) WHERE return_date IS NOT NULL GROUP BY category_id""")
 def mean_days_per_category(shop):
     rows = shop.rented.filter(F.col("return_date").isNotNull()).join(shop.film_category, "film_id")
     return rental_days(rows, "category_id").select(
@@ -76,7 +76,7 @@ SELECT "Year", total_rents,
          / nullif((lag(revenue) OVER (ORDER BY "Year"))::DOUBLE, 0) * 100 AS "YOy_change"
 FROM y""")
 def revenue_change_per_year(shop):
-    years = shop.copies.groupBy(F.year("payment_date").alias("y")).agg(
+    years = shop.takings.groupBy(F.year("payment_date").alias("y")).agg(
         F.count("rental_id").alias("total_rents"), F.sum("amount").alias("revenue")
     )
     with_prev = period.with_previous(years, [], ["y"], "revenue", "prev")
@@ -143,7 +143,7 @@ def rentals_change_last_twelve_months(shop):
 
 @query("q18", """
 WITH y AS (SELECT strftime(rental_date, '%Y') AS rental_year, category_id, count(rental_id) AS total_rents
-           FROM rented JOIN film USING (film_id) GROUP BY ALL)
+           FROM rented JOIN film_cat USING (film_id) GROUP BY ALL)
 SELECT rental_year, category_id, total_rents,
        lag(total_rents) OVER w AS prev_year_total_rents,
        total_rents - lag(total_rents) OVER w AS yoy_change_total
@@ -173,7 +173,7 @@ SELECT payment_year, payment_month, total_revenue::DOUBLE AS total_revenue,
 FROM m""")
 def revenue_same_month_other_years(shop):
     months = (
-        shop.copies.groupBy(d.month_start("payment_date").alias("m"))
+        shop.takings.groupBy(d.month_start("payment_date").alias("m"))
         .agg(F.sum("amount").alias("revenue"))
         .withColumn("month", F.month("m"))
     )
@@ -187,16 +187,16 @@ def revenue_same_month_other_years(shop):
 
 @query("q20", """
 WITH m AS (
-  SELECT store_id, date_trunc('month', rental_date) AS m, count(DISTINCT rental_id) AS total_rents,
-         sum(amount) AS revenue
-  FROM rented GROUP BY ALL)
+  SELECT renting_store_id AS store_id, date_trunc('month', rental_date) AS m,
+         count(DISTINCT rental_id) AS total_rents, sum(amount) AS revenue
+  FROM payment WHERE renting_store_id IS NOT NULL GROUP BY ALL)
 SELECT store_id, strftime(m, '%m') AS rental_month, strftime(m, '%Y') AS rental_year, total_rents,
        revenue::DOUBLE AS rental_revenue, (lag(revenue) OVER w)::DOUBLE AS lag_revenue,
        (revenue - lag(revenue) OVER w)::DOUBLE AS revenue_change
 FROM m WINDOW w AS (PARTITION BY store_id ORDER BY m)""")
 def revenue_change_per_store_month(shop):
     # Payments are summed per rental before the join, so several payments count one rental.
-    paid = shop.copies.groupBy("rental_id").agg(F.sum("amount").alias("paid"))
+    paid = shop.takings.groupBy("rental_id").agg(F.sum("amount").alias("paid"))
     months = (
         shop.staffed_rentals.join(paid, "rental_id")
         .groupBy("store_id", d.month_start("rental_date").alias("m"))
@@ -258,7 +258,7 @@ c AS (SELECT *, revenue - lag(revenue) OVER (ORDER BY revenue_year, revenue_quar
 SELECT revenue_year, revenue_quarter, revenue::DOUBLE AS total_revenue, change::DOUBLE AS revenue_change
 FROM c ORDER BY change DESC NULLS LAST, revenue_year, revenue_quarter LIMIT 1""")
 def quarter_with_largest_rise(shop):
-    quarters = shop.copies.groupBy(d.quarter_index("payment_date").alias("q")).agg(F.sum("amount").alias("revenue"))
+    quarters = shop.takings.groupBy(d.quarter_index("payment_date").alias("q")).agg(F.sum("amount").alias("revenue"))
     return (
         period.with_previous(quarters, [], ["q"], "revenue", "prev")
         .withColumn("change", F.col("revenue") - F.col("prev"))
@@ -275,7 +275,7 @@ def quarter_with_largest_rise(shop):
 
 @query("q35", """
 WITH m AS (SELECT category_id, strftime(rental_date, '%Y-%m') AS year_month, count(rental_id) AS rental_count
-           FROM rented JOIN film USING (film_id) GROUP BY ALL)
+           FROM rented JOIN film_cat USING (film_id) GROUP BY ALL)
 SELECT category_id, year_month, rental_count,
        avg(rental_count) OVER (PARTITION BY category_id ORDER BY year_month
                                ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS rolling_avg
@@ -372,7 +372,7 @@ WITH y AS (
   SELECT category_id, year(rental_date) AS rental_year,
          sum(epoch_us(return_date) - epoch_us(rental_date))::DOUBLE / 86400000000
            / nullif(count(return_date), 0) AS avg_rental_duration
-  FROM rented JOIN film USING (film_id) GROUP BY ALL)
+  FROM rented JOIN film_cat USING (film_id) GROUP BY ALL)
 SELECT *, avg_rental_duration - lag(avg_rental_duration) OVER (PARTITION BY category_id ORDER BY rental_year)
             AS yoy_change
 FROM y""")
@@ -482,21 +482,21 @@ def spend_change_per_customer(shop):
 
 @query("q68", """
 SELECT (year(payment_date) // 10 * 10)::BIGINT AS payment_year, category_id, sum(amount)::DOUBLE AS revenue
-FROM payment JOIN film USING (film_id) GROUP BY ALL""")
+FROM payment JOIN film_cat USING (film_id) GROUP BY ALL""")
 def revenue_per_payment_decade(shop):
     return _revenue_per_decade(shop, F.year("payment_date"), "payment_year")
 
 
 @query("q68_intent", """
 SELECT (release_year // 10 * 10)::BIGINT AS release_decade, category_id, sum(amount)::DOUBLE AS revenue
-FROM payment JOIN film USING (film_id) GROUP BY ALL""")
+FROM payment JOIN film USING (film_id) JOIN film_cat USING (film_id) GROUP BY ALL""")
 def revenue_per_release_decade(shop):
     return _revenue_per_decade(shop, F.col("release_year"), "release_decade")
 
 
 def _revenue_per_decade(shop, year, name):
     return (
-        shop.copies.join(shop.films, "film_id")
+        shop.film_payments.join(shop.films_by_category, "film_id")
         .groupBy(d.decade(year).alias(name), "category_id")
         .agg(F.sum("amount").cast("double").alias("revenue"))
     )
@@ -504,7 +504,7 @@ def _revenue_per_decade(shop, year, name):
 
 @query("q115", """
 WITH m AS (SELECT category_id, strftime(payment_date, '%Y-%m') AS payment_month, sum(amount) AS revenue
-           FROM payment JOIN film USING (film_id) GROUP BY ALL),
+           FROM payment JOIN film_cat USING (film_id) GROUP BY ALL),
 r AS (SELECT *,
         row_number() OVER (PARTITION BY category_id ORDER BY revenue DESC, payment_month) AS higheset_rank,
         row_number() OVER (PARTITION BY category_id ORDER BY revenue, payment_month) AS lowest_rank
@@ -513,7 +513,7 @@ SELECT category_id, payment_month, revenue::DOUBLE AS rental_revenue, higheset_r
 FROM r WHERE higheset_rank = 1 OR lowest_rank = 1""")
 def best_and_worst_month_per_category(shop):
     months = (
-        shop.copies.join(shop.film_category, "film_id")
+        shop.film_payments.join(shop.film_category, "film_id")
         .groupBy("category_id", d.month_start("payment_date").alias("m"))
         .agg(F.sum("amount").alias("revenue"))
     )
@@ -552,13 +552,13 @@ def revenue_trend_per_store(shop):
 
 @query("q103", """
 WITH q AS (SELECT film_id, year(payment_date) * 4 + quarter(payment_date) - 1 AS i, sum(amount) AS revenue
-           FROM payment GROUP BY ALL)
+           FROM payment WHERE film_id IS NOT NULL GROUP BY ALL)
 SELECT cur.film_id, (cur.i // 4)::BIGINT AS year, (cur.i % 4 + 1)::BIGINT AS quarter,
        cur.revenue::DOUBLE AS revenue, prev.revenue::DOUBLE AS prev_quarter_revenue,
        (cur.revenue - prev.revenue)::DOUBLE AS revenue_change
 FROM q cur LEFT JOIN q prev ON cur.film_id = prev.film_id AND cur.i = prev.i + 1""")
 def revenue_change_per_film_quarter(shop):
-    quarters = shop.copies.groupBy("film_id", d.quarter_index("payment_date").alias("q")).agg(
+    quarters = shop.film_payments.groupBy("film_id", d.quarter_index("payment_date").alias("q")).agg(
         F.sum("amount").alias("revenue")
     )
     return quarters.withColumn("prev", period.value_at(["film_id"], "q", "revenue", -1)).select(
@@ -596,7 +596,7 @@ SELECT strftime(cur.m, '%Y-%m') AS payment_month, cur.revenue::DOUBLE AS revenue
        (cur.revenue - prev.revenue)::DOUBLE / prev.revenue::DOUBLE * 100 AS pct_change
 FROM m cur LEFT JOIN m prev ON cur.m = prev.m + INTERVAL 12 MONTH""")
 def revenue_against_last_year(shop):
-    months = shop.copies.groupBy(d.month_start("payment_date").alias("m")).agg(F.sum("amount").alias("revenue"))
+    months = shop.takings.groupBy(d.month_start("payment_date").alias("m")).agg(F.sum("amount").alias("revenue"))
     return (
         months.withColumn("i", d.month_index("m"))
         .withColumn("prev", period.value_at([], "i", "revenue", -12))

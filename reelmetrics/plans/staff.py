@@ -50,21 +50,20 @@ def best_staff_per_store(shop):
 
 
 @query("q63", """
-WITH h AS (SELECT hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL),
+WITH h AS (SELECT hour(ts) AS h, count(*) AS n FROM timed GROUP BY ALL),
 peak AS (SELECT h FROM h ORDER BY n DESC, h LIMIT 3)
-SELECT staff_id, count(*) AS peak_rentals FROM events JOIN cust ON user_id = customer_id
-WHERE hour(ts) IN (SELECT h FROM peak) GROUP BY staff_id
+SELECT staff_id, count(*) AS peak_rentals FROM timed WHERE hour(ts) IN (SELECT h FROM peak) GROUP BY staff_id
 QUALIFY rank() OVER (ORDER BY count(*) DESC) = 1""")
 def staff_at_peak_hours(shop, hours=3):
-    per_customer = shop.events.groupBy(F.hour("ts").alias("hour"), "customer_id").agg(F.count("*").alias("n"))
+    per_hour = shop.timed_rentals.groupBy(F.hour("ts").alias("hour"), "staff_id").agg(F.count("*").alias("n"))
     peak = (
-        per_customer.groupBy("hour")
+        per_hour.groupBy("hour")
         .agg(F.sum("n").alias("total"))
         .orderBy(F.col("total").desc(), "hour")
         .limit(hours)
         .select("hour")
     )
-    served = per_customer.join(F.broadcast(peak), "hour", "left_semi").join(shop.customer_staff, "customer_id")
+    served = per_hour.join(F.broadcast(peak), "hour", "left_semi")
     counts = served.groupBy("staff_id").agg(F.sum("n").alias("peak_rentals"))
     return top(counts, [], [F.col("peak_rentals").desc()]).drop("rank")
 

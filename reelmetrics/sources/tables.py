@@ -23,6 +23,27 @@ SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
+# A rental shop's own tables, for RentalDatabase.
+RENTAL_SCHEMAS = {
+    "store": "store_id bigint",
+    "staff": "staff_id bigint, store_id bigint, first_name string, last_name string",
+    "customer": "customer_id bigint, first_name string, last_name string, store_id bigint",
+    "film": "film_id bigint, title string, allowed_days int, release_year int",
+    "category": "category_id bigint, name string",
+    "film_category": "film_id bigint, category_id bigint",
+    "actor": "actor_id bigint, name string",
+    "film_actor": "actor_id bigint, film_id bigint",
+    "inventory": "inventory_id bigint, film_id bigint, store_id bigint",
+    "rental": (
+        "rental_id bigint, rental_date timestamp_ntz, inventory_id bigint, customer_id bigint, "
+        "staff_id bigint, return_date timestamp_ntz"
+    ),
+    "payment": (
+        "payment_id bigint, rental_id bigint, customer_id bigint, staff_id bigint, "
+        "amount decimal(18,2), payment_date timestamp_ntz"
+    ),
+}
+
 # child table, child column, parent table, parent column
 REFERENCES = [
     ("nation", "n_regionkey", "region", "r_regionkey"),
@@ -33,22 +54,33 @@ REFERENCES = [
     ("lineitem", "l_partkey", "part", "p_partkey"),
     ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
 ]
+RENTAL_REFERENCES = [
+    ("staff", "store_id", "store", "store_id"),
+    ("film_category", "film_id", "film", "film_id"),
+    ("film_actor", "film_id", "film", "film_id"),
+    ("inventory", "film_id", "film", "film_id"),
+    ("rental", "inventory_id", "inventory", "inventory_id"),
+    ("rental", "customer_id", "customer", "customer_id"),
+    ("rental", "staff_id", "staff", "staff_id"),
+    ("payment", "rental_id", "rental", "rental_id"),
+    ("payment", "staff_id", "staff", "staff_id"),
+]
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+def load(spark: SparkSession, folder: str, name: str, schemas: dict[str, str] = SCHEMAS) -> DataFrame:
+    return spark.read.schema(schemas[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orphans(spark: SparkSession, folder: str, schemas=SCHEMAS, references=REFERENCES) -> DataFrame:
     """Rows whose parent is missing, counted per reference.
 
     The catalogue drops or delays a join whose only effect is an existence check. Run this on a
     new load; the shortcuts are valid while every count is zero.
     """
     counts = None
-    for child, column, parent, key in REFERENCES:
-        keys = load(spark, sf_dir, child).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
-        parents = load(spark, sf_dir, parent).select(F.col(key).alias("key"))
+    for child, column, parent, key in references:
+        keys = load(spark, folder, child, schemas).dropna(subset=[column]).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
+        parents = load(spark, folder, parent, schemas).select(F.col(key).alias("key"))
         missing = keys.join(parents, "key", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
         row = missing.select(F.lit(f"{child}.{column}").alias("reference"), "orphans")
         counts = row if counts is None else counts.unionByName(row)

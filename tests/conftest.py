@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from check import session  # noqa: E402
 from reelmetrics.session import HOT_ROWS_KEY  # noqa: E402
-from reelmetrics.sources.domain import RentalShop  # noqa: E402
+from reelmetrics.sources.domain import OrderShop  # noqa: E402
 from reelmetrics.sources.tables import SCHEMAS  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -77,7 +77,7 @@ def shop(spark, tmp_path):
                 for row in given.get(name, defaults[name])
             ]
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
-        return RentalShop(spark, str(tmp_path), as_of)
+        return OrderShop(spark, str(tmp_path), as_of)
 
     return make
 

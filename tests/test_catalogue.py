@@ -23,7 +23,7 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_same_as_sql(spark, duck, name):
-    problem, count = check.compare(spark, duck, SMALL, name, app.oracle_sql()[name])
+    problem, count = check.compare(app.queries()[name](spark, SMALL), duck, app.oracle_sql()[name])
     assert problem is None
 
 
@@ -31,7 +31,7 @@ def test_same_as_sql(spark, duck, name):
 def test_same_as_sql_when_keys_are_hot(spark, duck, name):
     spark.conf.set(HOT_ROWS_KEY, "2")
     try:
-        problem, count = check.compare(spark, duck, SMALL, name, app.oracle_sql()[name])
+        problem, count = check.compare(app.queries()[name](spark, SMALL), duck, app.oracle_sql()[name])
     finally:
         spark.conf.unset(HOT_ROWS_KEY)
     assert problem is None and count > 0

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as app
 from conftest import SMALL
 from reelmetrics.plans import catalogue, layouts
-from reelmetrics.sources.domain import RentalShop
+from reelmetrics.sources.domain import OrderShop
 
 
 def plan(df):
@@ -87,6 +87,6 @@ def test_name_filter_is_pushed(spark):
 
 
 def test_bucketed_join_has_no_shuffle(spark, no_broadcast):
-    rentals, stock = layouts.bucketed_tables(RentalShop(spark, SMALL))
+    rentals, stock = layouts.bucketed_tables(OrderShop(spark, SMALL))
     text = plan(rentals.join(stock, ["film_id", "copy_id"]))
     assert "SortMergeJoin" in text and "Exchange" not in text
