@@ -79,11 +79,13 @@ def test_reset_same_as_brute_force(frame, heat):
         assert sorted(map(tuple, out.select("k", "t", "v", "total").collect())) == brute_reset(events, 5)
 
 
-def test_unmatched_copy_is_kept_under_null(frame, heat):
-    rented = frame("film_id bigint, rental_date timestamp_ntz", [
-        (1, "2000-01-01"), (9, "2000-01-02"), (8, "2000-01-03"), (1, "2000-01-03")])
-    films = frame("film_id bigint", [(1,)])
-    out = plans.film_running_rentals(rented, films, rented)
+def test_unmatched_copy_is_kept_under_null(shop, heat):
+    dates = ["2000-01-01", "2000-01-02", "2000-01-03", "2000-01-03"]
+    s = shop(
+        orders=[order(i, 1, t) for i, t in enumerate(dates)],
+        lineitem=[line(i, film, 1, 1.0, "2000-02-01") for i, film in enumerate([1, 9, 8, 1])],
+    )
+    out = plans.rentals_to_date_per_film(s)
     assert rows(out, "film_id", "cum_total_rentals") == [(None, 1), (None, 2), (1, 1), (1, 2)]
 
 
