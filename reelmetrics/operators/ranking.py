@@ -6,8 +6,9 @@ Three situations, three plans:
   Catalyst turns into a ``WindowGroupLimit`` on the map side (:func:`top`);
 * the best few by a count, where very many rows may tie: the best distinct values are found first
   and the rows that have them are kept (:func:`top_by_value`);
-* every row gets a rank: ties share it, so the rank is computed once per distinct value, over
-  slices of the value range, and joined back (:func:`ranked`, :func:`numbered`, :func:`tiled`).
+* every row gets a rank: ranges of the value are counted first, a small table, and each row adds
+  its place within its range (:func:`ranked`, :func:`tiled`); where very many rows tie, places are
+  computed once per distinct value and joined back (also :func:`numbered`).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from reelmetrics.operators.slices import SLICE, id_slice, join_null_safe, number_slice
 from reelmetrics.session import hot_rows
 
+RANGE = "__range"
 KINDS = {"rank": F.rank, "dense": F.dense_rank, "row": F.row_number}
 
 
@@ -114,6 +116,32 @@ def _with_positions(df: DataFrame, by: Sequence[str], value: str, descending: bo
     return join_null_safe(df, F.broadcast(positions) if counts else positions, [*by, value])
 
 
+def _ranges(df: DataFrame, by: list[str], value: str, descending: bool, dense: bool = False):
+    """Rows with their range of values, and per range: its rows, what ranks before it, the total.
+
+    A range has a fixed relative width, so a group has at most about 8,192 of them for each factor
+    of e between its smallest and largest value; with few groups that table is safe to broadcast.
+    """
+    rows = df.withColumn(RANGE, number_slice(value))
+    if dense:
+        # Distinct values are counted, so each is reduced to one row first.
+        values = rows.groupBy(*by, RANGE, value).agg(F.count(F.lit(1)).alias("__n"))
+        per_range = values.groupBy(*by, RANGE).agg(F.sum("__n").alias("__size"), F.count("__n").alias("__steps"))
+    else:
+        per_range = rows.groupBy(*by, RANGE).agg(F.count(F.lit(1)).alias("__size"))
+        per_range = per_range.withColumn("__steps", F.col("__size"))
+    order = F.col(RANGE).desc() if descending else F.col(RANGE).asc()
+    across = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = per_range.select(
+        *by,
+        RANGE,
+        "__size",
+        F.coalesce(F.sum("__steps").over(across), F.lit(0)).alias("__before"),
+        F.sum("__size").over(Window.partitionBy(*by)).alias("__total"),
+    )
+    return rows, sizes
+
+
 def ranked(
     df: DataFrame,
     by: Sequence[str],
@@ -123,12 +151,26 @@ def ranked(
     descending: bool = True,
     counts: bool = False,
 ) -> DataFrame:
-    """Add RANK or DENSE_RANK of ``value`` to every row; no group is held in one task."""
-    joined = _with_positions(df, by, value, descending, counts)
+    """Add RANK or DENSE_RANK of ``value`` to every row; no group is held in one task.
+
+    A rank is what ranks before the row's range plus the rank within the range, so the rows are
+    shuffled once, by (group, range). Ranges that very many rows share are ranked by distinct value.
+    """
+    by = list(by)
     before = {"rank": "__rows_before", "dense": "__values_before"}[kind]
-    return joined.withColumn(name, (F.col(before) + 1).cast("long")).drop(
-        "__n", "__rows_before", "__values_before"
-    )
+    if counts:
+        joined = _with_positions(df, by, value, descending, counts)
+        return joined.withColumn(name, (F.col(before) + 1).cast("long")).select(*df.columns, name)
+
+    rows, sizes = _ranges(df, by, value, descending, dense=kind == "dense")
+    marked = join_null_safe(rows, F.broadcast(sizes), [*by, RANGE])
+    crowded = F.col("__size") > hot_rows(df.sparkSession)
+    within = small_rank([*by, RANGE], [F.col(value).desc() if descending else F.col(value).asc()], kind)
+    ordinary = marked.filter(~crowded).withColumn(name, F.col("__before") + within)
+    shared = _with_positions(marked.filter(crowded), [*by, RANGE], value, descending, False)
+    shared = shared.withColumn(name, F.col("__before") + F.col(before) + 1)
+    columns = [*df.columns, F.col(name).cast("long").alias(name)]
+    return ordinary.select(*columns).unionByName(shared.select(*columns))
 
 
 def _number_ties(df: DataFrame, keys: list[str], identifier: str) -> DataFrame:
@@ -186,24 +228,20 @@ def tiled(
 ) -> DataFrame:
     """NTILE over the whole table without a global sort.
 
-    A value whose first and last row fall in the same tile decides the tile of all its rows. Only
-    the few values that straddle a tile border need their rows numbered.
+    A range of values whose first and last row fall in the same tile decides the tile of all its
+    rows, so they are not shuffled at all. Only the rows of the few ranges across a tile border
+    are numbered.
     """
-    positions = _value_positions(df, [], value, descending)
-    total = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).agg(F.sum("__n")).scalar()
-    first = _tile(F.col("__rows_before") + 1, F.col("__total"), tiles)
-    last = _tile(F.col("__rows_before") + F.col("__n"), F.col("__total"), tiles)
-    decided = (
-        positions.withColumn("__total", total)
-        .withColumn(name, F.when(first == last, first))
-        .select(value, "__n", "__rows_before", "__total", name)
-    )
-    marked = join_null_safe(df, decided, [value])
+    rows, sizes = _ranges(df, [], value, descending)
+    total = F.col("__total")
+    first = _tile(F.col("__before") + 1, total, tiles)
+    last = _tile(F.col("__before") + F.col("__size"), total, tiles)
+    decided = sizes.withColumn(name, F.when(first == last, first).cast("long"))
+    marked = join_null_safe(rows, F.broadcast(decided), [RANGE])
     inside = marked.filter(F.col(name).isNotNull())
-    border = _number_ties(marked.filter(F.col(name).isNull()), [value], identifier)
-    border = border.withColumn(
-        name, _tile(F.col("__rows_before") + F.col("__tie"), F.col("__total"), tiles).cast("long")
-    )
+    border = numbered(marked.filter(F.col(name).isNull()), [RANGE], value, identifier, "__position", descending)
+    position = F.col("__before") + F.col("__position")
+    border = border.withColumn(name, _tile(position, total, tiles).cast("long"))
     columns = [*df.columns, name]
     return inside.select(*columns).unionByName(border.select(*columns))
 
