@@ -239,11 +239,17 @@ def tiled(
     decided = sizes.withColumn(name, F.when(first == last, first).cast("long"))
     marked = join_null_safe(rows, F.broadcast(decided), [RANGE])
     inside = marked.filter(F.col(name).isNotNull())
-    border = numbered(marked.filter(F.col(name).isNull()), [RANGE], value, identifier, "__position", descending)
-    position = F.col("__before") + F.col("__position")
-    border = border.withColumn(name, _tile(position, total, tiles).cast("long"))
+    border = marked.filter(F.col(name).isNull())
+    crowded = F.col("__size") > hot_rows(df.sparkSession)
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    short = border.filter(~crowded).withColumn("__position", small_rank([RANGE], [order, F.col(identifier)], "row"))
+    long = numbered(border.filter(crowded), [RANGE], value, identifier, "__position", descending)
+    tile = _tile(F.col("__before") + F.col("__position"), total, tiles).cast("long")
     columns = [*df.columns, name]
-    return inside.select(*columns).unionByName(border.select(*columns))
+    out = inside.select(*columns)
+    for part in (short, long):
+        out = out.unionByName(part.withColumn(name, tile).select(*columns))
+    return out
 
 
 def first_against_second(

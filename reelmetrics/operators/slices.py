@@ -25,6 +25,8 @@ SLICE = "__slice"
 # 1/4097 of the rows; it stays in an ordinary window that spills, and nothing is dropped.
 MAX_HOT_KEYS = 4096
 
+LOWEST = -(2**40)
+
 # Rows of a key at the limit that the estimate below looks at.
 LOOKED_AT = 2000
 
@@ -75,13 +77,16 @@ def split_hot(
 def day_slice(order: str) -> Column:
     """Days since 1970; rows without a moment come before all others, as in the sort order."""
     day = F.datediff(F.col(order), F.lit("1970-01-01").cast("date")).cast("long")
-    return F.coalesce(day, F.lit(-(2**40)))
+    return F.coalesce(day, F.lit(LOWEST))
 
 
 def number_slice(value: str) -> Column:
-    """Monotone bins of relative width 1/8192: no statistics needed, so every branch agrees."""
+    """Monotone bins of relative width 1/8192: no statistics needed, so every branch agrees.
+
+    NULL has a bin below all others, as in the sort order.
+    """
     v = F.col(value).cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 8192).cast("long")
+    return F.coalesce(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 8192).cast("long"), F.lit(LOWEST))
 
 
 def id_slice(identifier: str) -> Column:
@@ -98,6 +103,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     renamed = right.withColumnsRenamed(names)
     same = None
     for c, n in names.items():
-        eq = F.col(c).eqNullSafe(F.col(n))
+        nullable = left.schema[c].nullable or right.schema[c].nullable
+        eq = F.col(c).eqNullSafe(F.col(n)) if nullable else F.col(c) == F.col(n)
         same = eq if same is None else same & eq
     return left.join(renamed, same, how).drop(*names.values())
