@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from reelmetrics.functions import dates as d
@@ -59,23 +57,22 @@ def bucketed_tables(shop):
     """
     keys = ["film_id", "copy_id"]
     buckets = int(shop.spark.conf.get("spark.sql.shuffle.partitions"))
-    names = {}
+    frames = {
+        "bucketed_rentals": shop.rented_copies.groupBy(*keys).agg(F.count("*").alias("rentals")),
+        "bucketed_stock": shop.shelf_stock.select(*keys, "store_id").distinct(),
+    }
 
-    def write(kind, df):
-        def run(path):
-            layout.bucket(df, keys, buckets, path.split("/")[-1], path)
+    def table(name, df):
+        # The folder name is unique, so the table name is too, also in a shared catalog.
+        def name_of(path):
+            return "_".join(reversed(path.split("/")[-2:]))
 
-        return run
+        path = layout.written_once(
+            shop.spark, shop.folder, name, lambda p: layout.bucket(df, keys, buckets, name_of(p), p)
+        )
+        return shop.spark.table(name_of(path))
 
-    frames = {
-        "rentals": shop.rented_copies.groupBy(*keys).agg(F.count("*").alias("rentals")),
-        "stock": shop.shelf_stock.select(*keys, "store_id").distinct(),
-    }
-    for kind, df in frames.items():
-        table = f"bucketed_{kind}_{uuid.uuid5(uuid.NAMESPACE_URL, shop.folder).hex[:12]}"
-        path = layout.written_once(shop.spark, shop.folder, table, write(kind, df))
-        names[kind] = path.split("/")[-1]
-    return shop.spark.table(names["rentals"]), shop.spark.table(names["stock"])
+    return [table(name, df) for name, df in frames.items()]
 
 
 @query("q84", """

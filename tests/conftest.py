@@ -4,6 +4,8 @@ import sys
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -13,13 +15,20 @@ from reelmetrics.session import HOT_ROWS_KEY  # noqa: E402
 from reelmetrics.sources.domain import OrderShop  # noqa: E402
 from reelmetrics.sources.tables import SCHEMAS  # noqa: E402
 
+ARROW = {
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "timestamp_ntz": pa.timestamp("us"),
+}
 SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     s = session("4")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield s
@@ -71,12 +80,13 @@ def shop(spark, tmp_path):
 
     def make(as_of="2001-08-01", **given):
         for name, schema in SCHEMAS.items():
-            columns = [c.strip().split() for c in schema.split(",")]
-            rows = [
-                tuple(ts(v) if kind == "timestamp_ntz" else v for v, (_, kind) in zip(row, columns))
-                for row in given.get(name, defaults[name])
-            ]
-            spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+            kinds = [c.strip().split() for c in schema.split(",")]
+            given_rows = given.get(name, defaults[name])
+            columns = {
+                column: pa.array([ts(r[i]) if kind == "timestamp_ntz" else r[i] for r in given_rows], ARROW[kind])
+                for i, (column, kind) in enumerate(kinds)
+            }
+            pq.write_table(pa.table(columns), f"{tmp_path}/{name}.parquet")
         return OrderShop(spark, str(tmp_path), as_of)
 
     return make
