@@ -55,7 +55,7 @@ def days_first_to_last_rental(shop):
         F.min("rental_date").alias("first"), F.max("rental_date").alias("last")
     )
     return spans.select("customer_id", d.whole_days_between("last", "first").alias("days_diff")).orderBy(
-        F.col("days_diff").desc()
+        F.col("days_diff").desc(), "customer_id"
     )
 
 
@@ -119,7 +119,7 @@ def long_gaps(shop, more_than=30):
         .withColumn("gap", d.whole_days_between("rental_date", "prev_rental_date"))
         .filter(F.col("gap") > more_than)
         .select("customer_id", "rental_date", "prev_rental_date", "gap")
-        .orderBy("gap")
+        .orderBy("gap", "customer_id", "rental_date")  # more columns, so that equal gaps spread over tasks
     )
 
 
