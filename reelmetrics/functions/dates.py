@@ -33,10 +33,6 @@ def month_number(ts) -> Column:
     return F.month(ts).cast("long")
 
 
-def quarter_number(ts) -> Column:
-    return F.quarter(ts).cast("long")
-
-
 def month_index(ts) -> Column:
     """Months counted from year 0, so neighbours in the calendar differ by one."""
     return (F.year(ts) * 12 + F.month(ts) - 1).cast("long")

@@ -17,7 +17,8 @@ def frequent_pairs(
     and the baskets set aside only have to be probed for those candidates.
     """
     # Filtering NULL here, once, lets all branches below share the shuffles of this frame.
-    items = df.select(basket, item).dropna().distinct()
+    known = F.col(basket).isNotNull() & F.col(item).isNotNull()
+    items = df.select(basket, item).filter(known).distinct()
     # An item in fewer baskets than the support cannot be part of a frequent pair.
     common = items.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_support)
     items = items.join(common.select(item), item, "left_semi")

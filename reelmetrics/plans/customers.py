@@ -189,14 +189,14 @@ def customers_returning_to_an_actor(shop):
 
 
 @query("q67", """
-WITH stocked AS (SELECT shelf_id, count(DISTINCT category_id) AS n FROM rented JOIN film_cat USING (film_id) GROUP BY ALL),
+WITH stocked AS (SELECT store_id, count(DISTINCT category_id) AS n FROM stock JOIN film_cat USING (film_id) GROUP BY ALL),
 c AS (SELECT shelf_id, customer_id, count(DISTINCT category_id) AS n
       FROM rented JOIN film_cat USING (film_id) GROUP BY ALL)
 SELECT c.shelf_id AS store_id, customer_id, c.n AS categories
-FROM c JOIN stocked ON c.shelf_id = stocked.shelf_id AND c.n = stocked.n""")
+FROM c JOIN stocked ON c.shelf_id = stocked.store_id AND c.n = stocked.n""")
 def customers_of_every_category_of_a_store(shop):
     stocked = (
-        shop.shelf_copies.join(shop.film_category, "film_id")
+        shop.shelf_stock.join(shop.film_category, "film_id")
         .groupBy("store_id", "category_id")
         .agg(F.count("*").alias("copies"))
         .groupBy("store_id")

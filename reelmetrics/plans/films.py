@@ -26,7 +26,8 @@ def stocked_but_never_rented(shop):
 def _demand(rows, *keys):
     """Rentals and distinct copies per key; counting per copy first keeps every shuffle partial."""
     return (
-        rows.groupBy(*keys, "copy_id")
+        rows.filter(F.col("film_id").isNotNull())
+        .groupBy(*keys, "copy_id")
         .agg(F.count("rental_id").alias("n"))
         .groupBy(*keys)
         .agg(F.sum("n").alias("rental_count"), F.count("*").alias("copies"))

@@ -119,7 +119,7 @@ def long_gaps(shop, more_than=30):
         .withColumn("gap", d.whole_days_between("rental_date", "prev_rental_date"))
         .filter(F.col("gap") > more_than)
         .select("customer_id", "rental_date", "prev_rental_date", "gap")
-        .orderBy("gap", "customer_id", "rental_date")  # more columns, so that equal gaps spread over tasks
+        .orderBy("gap", "customer_id", "rental_date")  # equal gaps spread over the tasks
     )
 
 

@@ -79,7 +79,8 @@ def orphans(spark: SparkSession, folder: str, schemas=SCHEMAS, references=REFERE
     """
     counts = None
     for child, column, parent, key in references:
-        keys = load(spark, folder, child, schemas).dropna(subset=[column]).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
+        rows = load(spark, folder, child, schemas).dropna(subset=[column])
+        keys = rows.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
         parents = load(spark, folder, parent, schemas).select(F.col(key).alias("key"))
         missing = keys.join(parents, "key", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
         row = missing.select(F.lit(f"{child}.{column}").alias("reference"), "orphans")

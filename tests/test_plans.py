@@ -90,3 +90,15 @@ def test_bucketed_join_has_no_shuffle(spark, no_broadcast):
     rentals, stock = layouts.bucketed_tables(OrderShop(spark, SMALL))
     text = plan(rentals.join(stock, ["film_id", "copy_id"]))
     assert "SortMergeJoin" in text and "Exchange" not in text
+
+
+ONE_SCAN = ["q1", "q4", "q5", "q11", "q12a", "q12b", "q13", "q29", "q32", "q33", "q34", "q43", "q52", "q74", "q91", "q96", "q98", "q99"]
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_branches_share_one_scan_of_the_facts(spark, no_broadcast, name):
+    df = app.queries()[name](spark, SMALL)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("l_orderkey") > 0 or "l_partkey" in final
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_(?:orderkey|partkey)", final)) == 1
