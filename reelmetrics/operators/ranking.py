@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, id_slice, join_null_safe, number_slice
+from reelmetrics.operators.slices import COARSE, FINE, SLICE, id_slice, join_null_safe, number_slice
 from reelmetrics.session import hot_rows
 
 RANGE = "__range"
@@ -69,12 +69,12 @@ def top_by_value(
     return join_null_safe(df, F.broadcast(best) if few_groups else best, [*by, value])
 
 
-def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool) -> DataFrame:
+def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool, bins: int) -> DataFrame:
     """One row per (by, value): rows in it, rows before it, distinct values before it.
 
     ``by`` has few groups, each of any size, so every group is cut into slices of its value range.
     """
-    values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn(SLICE, number_slice(value))
+    values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn(SLICE, number_slice(value, bins))
 
     def ordered(column):
         return F.col(column).desc() if descending else F.col(column).asc()
@@ -105,14 +105,16 @@ def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool)
     )
 
 
-def _with_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool, counts: bool) -> DataFrame:
+def _with_positions(
+    df: DataFrame, by: Sequence[str], value: str, descending: bool, counts: bool = False, bins: int = COARSE
+) -> DataFrame:
     """Rows joined with their value's position. An empty ``by`` means one group over everything.
 
     ``counts`` says that ``value`` counts fact rows. Different counts that add up to N rows number
     at most sqrt(2N) per group, about 1.4 million for 10^12 rows, so their positions are safe to
     broadcast and the ranked rows are not shuffled again.
     """
-    positions = _value_positions(df, list(by), value, descending)
+    positions = _value_positions(df, list(by), value, descending, bins)
     return join_null_safe(df, F.broadcast(positions) if counts else positions, [*by, value])
 
 
@@ -167,7 +169,7 @@ def ranked(
     crowded = F.col("__size") > hot_rows(df.sparkSession)
     within = small_rank([*by, RANGE], [F.col(value).desc() if descending else F.col(value).asc()], kind)
     ordinary = marked.filter(~crowded).withColumn(name, F.col("__before") + within)
-    shared = _with_positions(marked.filter(crowded), [*by, RANGE], value, descending, False)
+    shared = _with_positions(marked.filter(crowded), [*by, RANGE], value, descending, bins=FINE)
     shared = shared.withColumn(name, F.col("__before") + F.col(before) + 1)
     columns = [*df.columns, F.col(name).cast("long").alias(name)]
     return ordinary.select(*columns).unionByName(shared.select(*columns))
@@ -203,9 +205,10 @@ def numbered(
     name: str = "rank",
     descending: bool = True,
     counts: bool = False,
+    bins: int = COARSE,
 ) -> DataFrame:
     """ROW_NUMBER by ``value``, ties in the order of a unique ``identifier``."""
-    joined = _with_positions(df, by, value, descending, counts)
+    joined = _with_positions(df, by, value, descending, counts, bins)
     return (
         _number_ties(joined, [*by, value], identifier)
         .withColumn(name, (F.col("__rows_before") + F.col("__tie")).cast("long"))
@@ -243,7 +246,7 @@ def tiled(
     crowded = F.col("__size") > hot_rows(df.sparkSession)
     order = F.col(value).desc() if descending else F.col(value).asc()
     short = border.filter(~crowded).withColumn("__position", small_rank([RANGE], [order, F.col(identifier)], "row"))
-    long = numbered(border.filter(crowded), [RANGE], value, identifier, "__position", descending)
+    long = numbered(border.filter(crowded), [RANGE], value, identifier, "__position", descending, bins=FINE)
     tile = _tile(F.col("__before") + F.col("__position"), total, tiles).cast("long")
     columns = [*df.columns, name]
     out = inside.select(*columns)

@@ -80,13 +80,18 @@ def day_slice(order: str) -> Column:
     return F.coalesce(day, F.lit(LOWEST))
 
 
-def number_slice(value: str) -> Column:
-    """Monotone bins of relative width 1/8192: no statistics needed, so every branch agrees.
+# Bins per factor of e. Fine bins split a coarse one into at most 4,096.
+COARSE = 2**13
+FINE = 2**25
+
+
+def number_slice(value: str, bins: int = COARSE) -> Column:
+    """Monotone bins of relative width 1/bins: no statistics needed, so every branch agrees.
 
     NULL has a bin below all others, as in the sort order.
     """
     v = F.col(value).cast("double")
-    return F.coalesce(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 8192).cast("long"), F.lit(LOWEST))
+    return F.coalesce(F.floor(F.signum(v) * F.log1p(F.abs(v)) * bins).cast("long"), F.lit(LOWEST))
 
 
 def id_slice(identifier: str) -> Column:

@@ -74,6 +74,23 @@ def test_long_ties_are_numbered_across_identifier_ranges(frame, heat):
     assert [r for _, r in out] == list(range(1, 21))
 
 
+def test_crowded_range_is_cut_finer(spark, frame):
+    """Many different values in one coarse range take the way by distinct values."""
+    from reelmetrics.session import HOT_ROWS_KEY
+
+    rows_in = [(1, i, 1_000_000 + i % 90) for i in range(300)]
+    df = frame(SCHEMA, rows_in).withColumn("v", F.col("v").cast("decimal(18,2)"))
+    spark.conf.set(HOT_ROWS_KEY, "50")
+    try:
+        got = rows(ranking.ranked(df, ["g"], "v", "dense"), "id", "rank")
+        tiles = rows(ranking.tiled(df, "v", "id", 3, "tile"), "id", "tile")
+    finally:
+        spark.conf.unset(HOT_ROWS_KEY)
+    v = F.col("v").desc()
+    assert got == rows(df.withColumn("rank", F.dense_rank().over(Window.partitionBy("g").orderBy(v))), "id", "rank")
+    assert tiles == rows(df.withColumn("tile", F.ntile(3).over(Window.orderBy(v, "id"))), "id", "tile")
+
+
 FIRST = {"id": "a", "v": "av"}
 SECOND = {"id": "b", "v": "bv"}
 
