@@ -27,11 +27,17 @@ def value_at(by: Sequence[str], index: str, value: str, offset: int) -> Column:
 
 
 def dense_calendar(df: DataFrame, by: Sequence[str], index: str, values: dict[str, object]) -> DataFrame:
-    """One row per key for each period between its first and last; absent periods get ``values``."""
-    by = list(by)
-    span = df.groupBy(*by).agg(F.min(index).alias("__from"), F.max(index).alias("__to"))
-    calendar = span.select(*by, F.explode(F.sequence("__from", "__to")).alias(index))
-    return calendar.join(df, [*by, index], "left").fillna(values)
+    """One row per key for each period between its first and last; absent periods get ``values``.
+
+    Each period present is written out up to the next one, so no calendar has to be joined.
+    """
+    until = F.coalesce(F.lead(index).over(series(by, index)) - 1, F.col(index))
+    filled = df.withColumn("__until", until).withColumn("__at", F.explode(F.sequence(index, "__until")))
+    present = F.col("__at") == F.col(index)
+    columns = [
+        F.coalesce(F.when(present, F.col(name)), F.lit(absent)).alias(name) for name, absent in values.items()
+    ]
+    return filled.select(*by, F.col("__at").alias(index), *columns)
 
 
 def streaks(df: DataFrame, by: Sequence[str], index: str, at_least: int) -> DataFrame:

@@ -92,7 +92,7 @@ def test_bucketed_join_has_no_shuffle(spark, no_broadcast):
     assert "SortMergeJoin" in text and "Exchange" not in text
 
 
-ONE_SCAN = ["q1", "q4", "q5", "q11", "q12a", "q12b", "q13", "q29", "q32", "q33", "q34", "q43", "q52", "q74", "q91", "q96", "q98", "q99"]
+ONE_SCAN = ["q1", "q4", "q5", "q11", "q12a", "q12b", "q13", "q25", "q29", "q32", "q33", "q34", "q43", "q52", "q74", "q77", "q91", "q96", "q98", "q99"]
 
 
 @pytest.mark.parametrize("name", ONE_SCAN)
