@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Groups above this many rows are cut into ordered slices before a window runs over them.
@@ -23,16 +21,8 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder; a cluster
-    session without it is an error, because a driver-local path is invisible to executors.
-    """
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``; where unset, one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="reelmetrics-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return configured.rstrip("/")

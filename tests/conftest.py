@@ -26,11 +26,9 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     s = session("4")
     s.conf.set("spark.sql.shuffle.partitions", "2")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 
