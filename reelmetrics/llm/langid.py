@@ -19,14 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from reelmetrics.llm.shared import fold
+from reelmetrics.llm.shared import below_share, fold
 
-# Bounds of the sample that the trees are fitted on: texts of a language, and UTF-8 bytes of each.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 32_768
+# Bounds of the sample that the trees are fitted on: expected texts of a language, and UTF-8 bytes of each.
+SAMPLE_ROWS, SAMPLE_BYTES = 300, 32_768
 ORDER, CONTEXTS = 4, 16_384
 # Bytes that are scored at once.
 BLOCK = 1 << 20
@@ -163,20 +163,17 @@ def code_lengths(trees: Trees, data: np.ndarray, offsets: np.ndarray, block: int
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """(lang, text): at most ``rows`` distinct ids of each language, first in the order of their hash.
+    """(lang, text): about ``rows`` ids of each language, those whose hash is least.
 
     Only rows with a language and an id whose crc32 modulo 3 is not 1; texts over ``size`` bytes are left out.
     """
     learn = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    h = F.xxhash64(F.col("doc_id"))
-    first = Window.partitionBy("lang").orderBy("_h")
-    ids = learn.select("lang", h.alias("_h")).distinct()
-    cuts = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows).groupBy("lang").agg(F.max("_h").alias("_cut"))
+    shares = learn.groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
     fits = F.col("text").isNotNull() & (F.octet_length("text") <= size)
     return (
-        learn.select("lang", "text", h.alias("_h"))
-        .join(F.broadcast(cuts), "lang")  # a row for each language
-        .filter((F.col("_h") <= F.col("_cut")) & fits)
+        learn.select("lang", "text", F.xxhash64(F.col("doc_id")).alias("_h"))
+        .join(F.broadcast(shares), "lang")  # a row for each language
+        .filter(below_share(F.col("_h"), F.col("_share")) & fits)
         .groupBy("lang", "_h")
         .agg(F.max("text").alias("text"))
         .select("lang", "text")

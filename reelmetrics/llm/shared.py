@@ -45,6 +45,11 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+def below_share(h: Column, share: Column) -> Column:
+    """Whether a 64-bit hash lies in the least ``share`` of its range."""
+    return h.cast("double") <= share * 2.0**64 - 2.0**63
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; a name that is a path already is kept."""
     if os.path.sep in name:

@@ -22,13 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from reelmetrics.llm.shared import fold, written
+from reelmetrics.llm.shared import below_share, fold, written
 
-# Bounds of the fit: labelled documents of each class, bytes of a text in the sample, and entries of the lexicon.
+# Bounds of the fit: expected labelled documents of each class, bytes of a text in the sample, and entries of the lexicon.
 SAMPLE_ROWS, SAMPLE_BYTES, LEXICON = 6000, 65_536, 50_000
 STEM = 5
 PRIOR, LEAST_Z, DRIFT = 2.0, 3.0, 0.25
@@ -119,16 +119,16 @@ def surprise(scores: list[float], n: int, scale: float, density: float) -> float
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """(toxic, part, text): distinct texts of at most ``rows`` labelled ids a class, first in their hash's order.
+    """(toxic, part, text): distinct texts of about ``rows`` labelled ids a class, those whose hash is least.
 
     Only ids whose crc32 modulo 5 is not 0. An id with several labels is toxic if one is. Texts over ``size`` bytes
     are left out. Every fourth text is in part 1, which calibrates, the others in part 0, which is counted.
     """
     known = labels.filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows).drop("_n")
-    ids = F.broadcast(ids)  # at most two classes of ``rows`` ids
+    shares = known.groupBy("toxic").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
+    ids = known.join(F.broadcast(shares), "toxic").filter(below_share(F.xxhash64("doc_id"), F.col("_share"))).drop("_share")
+    ids = F.broadcast(ids)  # two classes of about ``rows`` ids
     fits = F.col("text").isNotNull() & (F.octet_length("text") <= size)
     texts = docs.filter(fits).select("doc_id", "text").join(ids, "doc_id")
     # One text for each id and one id for each text: copies would count a passage many times.
