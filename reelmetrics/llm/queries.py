@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import chat, decontamination, encoding, langid, neighbours, sharding, simhash, token_counts, toxicity
+from reelmetrics.llm import chat, decontamination, encoding, html_text, langid, neighbours, sharding, simhash, token_counts, toxicity
 from reelmetrics.llm.shared import table
 
 
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, -1, whose texts hold the template's own control strings."""
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extraction": op7_html_extraction,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
