@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmetrics.llm.shared import written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 BUDGET, HISTORY = 2048, 256
 BLOCK = 256
@@ -103,7 +105,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     """
     if not 0 <= history <= budget // 2:
         raise ValueError("history must lie between 0 and half the budget")
-    turns = placed_turns(conversations, budget, history, measure)
+    turns = written(placed_turns(conversations, budget, history, measure), "turns")
     window = [*CONV, "_step", "_part"]
     piece = ["_role", "_text", "_len", "_turn"]
     own = turns.select(*window, F.lit(2).alias("_kind"), "_start", *piece)

@@ -21,49 +21,60 @@ from reelmetrics.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, to
 from reelmetrics.llm.shared import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
-# Entries of the table of segments that were encoded before.
-SEEN = 150_000
+# Entries of the table of words that were encoded before.
+SEEN = 500_000
 
 
 class Encoder:
     def __init__(self, data: bytes):
         self.model, self.normalizer, self.transducer = tools(data)
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
-
-    def segment(self, text: str) -> tuple[bytes, bytes]:
-        """Ids, and bytes of normalised text that each covers, of one segment."""
-        ids, sizes = [], []
+        self.fast = self.normalizer.plain and self.model.dummy_prefix
+        self.seen: dict[str, bytes] = {}
+        names, kinds = self.model.names, self.model.kinds
+        self.sizes = np.array([0 if k == BYTE else len(n.encode()) for n, k in zip(names, kinds)], np.int64)
+        self.byte = np.full(len(names), -1)
+        self.byte[self.model.byte_ids] = np.arange(256)
+
+    def segment(self, text: str) -> bytes:
+        """Ids of normalised text, as bytes."""
+        ids: list[int] = []
         for piece in self.transducer.pieces(text):
             known = self.model.ids.get(piece)
-            raw = piece.encode()
             if known is not None:
                 ids.append(known)
-                sizes.append(len(raw))
             else:
-                ids.extend(self.model.byte_ids[b] for b in raw)
-                sizes.extend([0] * (len(raw) - 1) + [len(raw)])
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+                ids.extend([self.model.byte_ids[b] for b in piece.encode()])
+        return np.array(ids, "<u4").tobytes()
+
+    def covered(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of normalised text that each piece covers; of a character's byte pieces the last covers all."""
+        sizes, byte = self.sizes[ids], self.byte[ids]
+        lead = np.flatnonzero((byte >= 0) & ((byte < 0x80) | (byte >= 0xC0)))
+        if len(lead):
+            length = np.select([byte[lead] < 0x80, byte[lead] < 0xE0, byte[lead] < 0xF0], [1, 2, 3], 4)
+            sizes[lead + length - 1] = length
+        return sizes
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text's pieces, and n + 1 places in its UTF-8 bytes: piece i spans from place i to place i + 1."""
-        n = self.normalizer
-        if n.plain:
-            norm, align = n.prefix(text) + text.replace(" ", SPACE), None
+        n, align = self.normalizer, None
+        words = self.transducer.words(text) if self.fast and text else None
+        if words is not None:
+            seen = self.seen
+            new = {w for w in words if w not in seen}
+            if len(seen) + len(new) > SEEN:
+                seen.clear()
+                new = set(words)
+            for w in new:
+                seen[w] = self.segment(self.transducer.normalized_word(w))
+            ids = np.frombuffer(b"".join([seen[w] for w in words]), "<u4")
         else:
-            norm, align = n.normalized(text)
-        if len(self.seen) > SEEN:
-            self.seen.clear()
-        found = []
-        for s in self.transducer.segment.findall(norm):
-            pair = self.seen.get(s)
-            if pair is None:
-                pair = self.segment(s)
-                if len(s) <= 64:
-                    self.seen[s] = pair
-            found.append(pair)
-        ids = np.frombuffer(b"".join([p[0] for p in found]), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in found]), "<u4"), dtype=np.int64)
-        ends = np.concatenate([np.zeros(1, np.int64), ends])
+            if n.plain:
+                norm = n.prefix(text) + text.replace(" ", SPACE)
+            else:
+                norm, align = n.normalized(text)
+            ids = np.frombuffer(b"".join(map(self.segment, self.transducer.segment.findall(norm))), "<u4")
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.covered(ids))])
         places = np.array(align, np.int64)[ends] if align is not None else _plain_places(text, ends, len(n.prefix(text)))
         return ids, places.astype("<u4")
 

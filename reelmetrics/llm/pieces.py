@@ -132,16 +132,16 @@ def merged(text: str, scores: dict[str, float]) -> tuple[list[str], tuple[str, s
 
 
 class State(dict):
-    """Transitions by character: (next state, change in the number of pieces, characters of the last piece).
+    """Transitions by character: (next state, change in the number of pieces).
 
-    ``open`` lists, longest first, the texts since each place from which a piece may still grow, with the last
-    piece before that place (None at the start) and the number of pieces since. The last entry is this place.
+    ``open`` has, for each earlier place from which a piece may still grow, the trie's node of the text since, the
+    last piece before the place (-1 at the start), and the number of pieces since; ``last`` is the last piece here.
     """
 
-    __slots__ = ("machine", "open")
+    __slots__ = ("machine", "open", "last")
 
-    def __missing__(self, char: str) -> tuple:
-        step = self[char] = self.machine.step(self.open, char)
+    def __missing__(self, char: str) -> tuple[State, int]:
+        step = self[char] = self.machine.step(self, char)
         return step
 
 
@@ -152,53 +152,69 @@ class Transducer:
     characters that are in no longer piece; there the state is as at the start.
     """
 
-    # Transitions that are kept; beyond, the tables are made anew from the next text on.
-    LIMIT = 150_000
+    # Transitions, and pairs of pieces, that are kept; beyond, the tables are made anew as texts need them.
+    LIMIT = 200_000
 
     def __init__(self, model: PieceModel):
-        self.scores, self.ids = model.scores, model.ids
+        self.names, self.ids, self.scores = model.names, model.ids, model.scores
+        # A trie of all pieces: children by character, and the piece that ends at a node (-1 for none).
+        self.kids: list[dict[str, int]] = [{}]
+        self.piece: list[int] = [-1]
+        for name, i in model.ids.items():
+            node = 0
+            for char in name:
+                below = self.kids[node].get(char)
+                if below is None:
+                    below = self.kids[node][char] = len(self.kids)
+                    self.kids.append({})
+                    self.piece.append(-1)
+                node = below
+            self.piece[node] = i
         longer = [p for p in model.ids if len(p) > 1]
-        self.prefixes = {p[:n] for p in longer for n in range(1, len(p))}
-        self.inside = set("".join(longer))
+        inside = set("".join(longer))
+        self.inside = inside
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in longer)
-        solo = "".join(c for c in "\n\t\r" if c not in self.inside)
+        self.solo = solo = "".join(c for c in "\n\t\r" if c not in inside)
         one = f"[{solo}]|" if solo else ""
         self.segment = re.compile(f"{one}{SPACE}+[^{SPACE}{solo}]*|[^{SPACE}{solo}]+" if self.splits else r"(?s).+")
+        self.parts: dict[int, tuple[int, int] | None] = {}
         self.clear()
 
     def clear(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.fits: dict[int, bool] = {}
         self.made = 0
-        self.start = self.state((("", None, 0),))
+        self.start = self.state((), -1)
 
-    def state(self, open_: tuple) -> State:
-        found = self.states.get(open_)
+    def state(self, open_: tuple, last: int) -> State:
+        found = self.states.get((open_, last))
         if found is None:
-            found = self.states[open_] = State()
-            found.machine, found.open = self, open_
+            found = self.states[open_, last] = State()
+            found.machine, found.open, found.last = self, open_, last
         return found
 
-    def halves(self, piece: str) -> tuple[str, str] | None:
+    def halves(self, piece: int) -> tuple[int, int] | None:
         """The two parts that a piece is last merged from; none for a single character."""
         if piece not in self.parts:
-            self.parts[piece] = merged(piece, self.scores)[1]
+            last = merged(self.names[piece], self.scores)[1]
+            self.parts[piece] = last and (self.ids[last[0]], self.ids[last[1]])
         return self.parts[piece]
 
-    def stay_two(self, a: str, b: str) -> bool:
+    def stay_two(self, a: int, b: int) -> bool:
         """Whether merging a + b gives a and b.
 
         Takes the merges of both back, latest first, and looks each time whether the two parts that then touch
-        would have been merged before the merge just taken back. ``bound`` is that one's score; parts left of the
-        touching place win a tie, parts right of it lose one.
+        would have been merged before the merge just taken back. ``bound`` is that one's score. Of equal scores
+        the merge further left comes first.
         """
-        found = self.fits.get((a, b))
+        key = a << 32 | b
+        found = self.fits.get(key)
         if found is not None:
             return found
+        names, scores = self.names, self.scores
         x, y, bound, wins_tie = a, b, None, False
         while True:
-            across = self.scores.get(x + y)
+            across = scores.get(names[x] + names[y])
             if across is not None and (bound is None or across > bound or across == bound and wins_tie):
                 found = False
                 break
@@ -206,29 +222,42 @@ class Transducer:
             if left is None and right is None:
                 found = True
                 break
-            # Merges of x stand left of the touching place: of equal scores theirs come first.
-            if right is None or left is not None and self.scores[x] < self.scores[y]:
-                bound, wins_tie, x = self.scores[x], False, left[1]
+            if right is None or left is not None and scores[names[x]] < scores[names[y]]:
+                bound, wins_tie, x = scores[names[x]], False, left[1]
             else:
-                bound, wins_tie, y = self.scores[y], True, right[0]
-        self.fits[a, b] = found
+                bound, wins_tie, y = scores[names[y]], True, right[0]
+        self.fits[key] = found
         return found
 
-    def step(self, open_: tuple, char: str) -> tuple:
+    def step(self, state: State, char: str) -> tuple[State, int]:
         self.made += 1
-        alone = 1 if char in self.ids else len(char.encode())
-        before = open_[-1][1]  # the last piece; its last character is the one read last
         if char not in self.inside:
-            return self.start, alone, 1
-        if self.splits and char == SPACE and before is not None and before[-1] != SPACE:
-            return self.start[char][0], alone, 1
-        for text, last, since in open_:
-            piece = text + char
-            if not text or piece in self.ids and (last is None or self.stay_two(last, piece)):
-                break
-        change = (1 if text else alone) - since
-        going = tuple((t + char, b, n + change) for t, b, n in open_ if t + char in self.prefixes)
-        return self.state((*going, ("", piece, 0))), change, len(piece)
+            return self.start, 1 if char in self.ids else len(char.encode())
+        if self.splits and char == SPACE and state.last >= 0 and self.names[state.last][-1] != SPACE:
+            return self.start[char][0], 1
+        kids, piece, fits = self.kids, self.piece, self.fits
+        going, last, since = [], -1, 0
+        for node, before, n in state.open:
+            below = kids[node].get(char)
+            if below is None:
+                continue
+            if last < 0 and piece[below] >= 0:
+                known = before < 0 or fits.get(before << 32 | piece[below])
+                if known if known is not None else self.stay_two(before, piece[below]):
+                    last, since = piece[below], n
+            if kids[below]:
+                going.append((below, before, n))
+        single = kids[0].get(char)
+        if last < 0:
+            last, change = (piece[single] if single is not None else -1), 1
+            if last < 0:  # a character without a piece that longer pieces hold: its bytes, and a new start
+                return self.start, len(char.encode())
+        else:
+            change = 1 - since
+        open_ = [(node, before, n + change) for node, before, n in going]
+        if single is not None and kids[single]:
+            open_.append((single, state.last, change))
+        return self.state(tuple(open_), last), change
 
     def count(self, text: str) -> int:
         """Pieces of a normalised text."""
@@ -236,23 +265,52 @@ class Transducer:
             self.clear()
         state, n = self.start, 0
         for char in text:
-            state, change, _ = state[char]
+            state, change = state[char]
             n += change
         return n
 
     def pieces(self, text: str) -> list[str]:
-        """The pieces of a normalised text; a character without a piece stands for its bytes."""
-        if self.made > self.LIMIT:
-            self.clear()
-        state, sizes = self.start, []
-        for char in text:
-            state, _, size = state[char]
-            sizes.append(size)
-        found, at = [], len(sizes)
-        while at:
-            found.append(text[at - sizes[at - 1] : at])
-            at -= sizes[at - 1]
-        return found[::-1]
+        """The pieces of a normalised text; a character without a piece stands for its bytes.
+
+        Follows the last pieces of all prefixes by themselves, without the states that count.
+        """
+        kids, piece, fits, end = self.kids, self.piece, self.fits, len(text)
+        if len(fits) > self.LIMIT:
+            fits.clear()
+        last, size = [-1] * (end + 1), [1] * (end + 1)
+        for start in range(end):
+            node, at, before = 0, start, last[start]
+            while at < end:
+                node = kids[node].get(text[at])
+                if node is None:
+                    break
+                at += 1
+                found = piece[node]
+                if found >= 0 and last[at] < 0:
+                    if before >= 0:
+                        known = fits.get(before << 32 | found)
+                        if not (known if known is not None else self.stay_two(before, found)):
+                            continue
+                    last[at], size[at] = found, at - start
+        out = []
+        while end:
+            out.append(text[end - size[end] : end])
+            end -= size[end]
+        return out[::-1]
+
+    def words(self, text: str) -> list[str] | None:
+        """Keys of the segments of a plain text before normalisation, or None where it must be split with care.
+
+        A key is a word after a space or the text's start, or a line end with the word that follows it at once.
+        Runs of spaces belong together and marks may stand in the text itself; such texts are left to ``segment``.
+        """
+        if not self.splits or "  " in text or text[:1] == " " or SPACE in text:
+            return None
+        return (text.replace("\n", " \n") if "\n" in self.solo else text).split(" ")
+
+    def normalized_word(self, key: str) -> str:
+        """The normalised text of a key of ``words``."""
+        return key if key[:1] == "\n" and "\n" in self.solo else SPACE + key
 
 
 class Normalizer:

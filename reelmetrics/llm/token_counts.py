@@ -23,7 +23,7 @@ from reelmetrics.llm.shared import tokenizer_path
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 # Characters of a chunk; entries of the table of segments that were counted before.
-CHUNK, SEEN = 1 << 18, 200_000
+CHUNK, SEEN = 1 << 18, 500_000
 BORDER = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
@@ -44,23 +44,22 @@ class Counter:
         self.seen: dict[str, int] = {}
 
     def count(self, text: str) -> int:
-        segments = self.transducer.segment.findall(text)
+        """Pieces of a normalised text."""
+        return sum(map(self.transducer.count, self.transducer.segment.findall(text)))
+
+    def count_plain(self, text: str) -> int:
+        """Pieces of a text whose normalisation only marks spaces."""
+        words = self.transducer.words(text) if text else []
+        if words is None:
+            return self.count(SPACE + text.replace(" ", SPACE))
         get = self.seen.get
-        try:
-            return sum(map(get, segments))
-        except TypeError:  # some segment is new
-            pass
-        if len(self.seen) > SEEN:
+        new = {w for w in words if w not in self.seen}
+        if len(self.seen) + len(new) > SEEN:
             self.seen.clear()
-        total = 0
-        for s in segments:
-            n = get(s)
-            if n is None:
-                n = self.transducer.count(s)
-                if len(s) <= 64:
-                    self.seen[s] = n
-            total += n
-        return total
+            new = set(words)
+        for w in new:
+            self.seen[w] = self.transducer.count(self.transducer.normalized_word(w))
+        return sum(map(get, words))
 
     def chunk_map(self, text: str) -> ChunkMap:
         """The map of a chunk of normalised text."""
@@ -123,13 +122,14 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, normalizer, transducer = tools(data)
         counter = Counter(transducer)
+        fast = normalizer.plain and normalizer.model.dummy_prefix
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 rows = batch.slice(a, 512)
                 heads, pieces, tails = [], [], []
                 for part, place, n in zip(*(rows.column(i).to_pylist() for i in (4, 3, 5))):
                     if n == 1:
-                        m = ChunkMap("", counter.count(normalized_text(normalizer, part)), "")
+                        m = ChunkMap("", counter.count_plain(part) if fast else counter.count(normalized_text(normalizer, part)), "")
                     else:
                         m = counter.chunk_map((normalizer.prefix(part) if place == 0 else "") + part.replace(" ", SPACE))
                     heads.append(m.head)
