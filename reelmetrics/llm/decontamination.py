@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmetrics.llm.shared import written
+from reelmetrics.llm.shared import apart, written
 
 WINDOW = 10
 # Bytes of text in a block; bytes of benchmark text that are looked up at once; candidates that are held at once.
@@ -275,7 +275,8 @@ def _listed(items: Column) -> Column:
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a benchmark phrase, in their own columns. Equal texts share their fate."""
-    hit = contamination(docs, benchmark).filter("n_hit > 0")
+    rows = apart(docs)
+    hit = contamination(rows, benchmark).filter("n_hit > 0")
     hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    return docs.join(hit, same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return rows.join(hit, same, "left_anti").toDF(*docs.columns)

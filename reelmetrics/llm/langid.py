@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from reelmetrics.llm.shared import below_share, fold
+from reelmetrics.llm.shared import apart, below_share, fold
 
 # Bounds of the sample that the trees are fitted on: expected texts of a language, and UTF-8 bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 32_768
@@ -65,7 +65,7 @@ def fitted(texts: dict[str, list[bytes]], order: int = ORDER, contexts: int = CO
         for k in range(1, order + 1):
             codes.append(codes[-1] + padded[at - k] * s ** (k - 1))
         streams.append((padded[at], codes))
-    levels = [np.unique(np.concatenate([codes[k] for _, codes in streams]), return_counts=True) for k in range(1, order + 1)]
+    levels = [np.unique(np.concatenate([np.zeros(0, np.int64), *(codes[k] for _, codes in streams)]), return_counts=True) for k in range(1, order + 1)]
     counts = np.concatenate([c for _, c in levels]) if levels else np.zeros(0, int)
     if len(counts) > contexts - 2:  # a context is at least as frequent as any longer one, so its parent is kept too
         least = np.sort(counts)[-(contexts - 2)] + 1
@@ -245,5 +245,7 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows whose language is certain enough, in their own columns. Texts without letters are rejected."""
-    found = identify(docs, train(docs))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least_score)).select(*docs.columns)
+    rows = apart(docs)
+    found = identify(rows, train(rows))
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least_score))
+    return kept.select(*rows.columns).toDF(*docs.columns)

@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """The rows with names that clash with nothing an operator adds; ``toDF(*docs.columns)`` names them back."""
+    return docs.toDF(*(c if c in ("doc_id", "text", "lang") else f"_column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; NULL for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % folds

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from reelmetrics.llm.components import components
-from reelmetrics.llm.shared import written
+from reelmetrics.llm.shared import apart, written
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 BITS = 64
@@ -275,9 +275,9 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, limit: int = DIST
 
     The rows are written once with a number of their own, so that of repeated rows exactly one stays.
     """
-    numbered = docs.select(F.struct(*docs.columns).alias("_doc"), "text", F.monotonically_increasing_id().alias("_row"))
-    marked = written(with_fingerprint(numbered, shingle).drop("text"), "simhash")
-    order = F.struct(F.col("_doc.doc_id").isNull().alias("n"), F.col("_doc.doc_id").alias("id"), F.col("_row").alias("row"))
+    rows = apart(docs)
+    marked = written(with_fingerprint(rows.withColumn("_row", F.monotonically_increasing_id()), shingle), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     classes = marked.groupBy("fingerprint").agg(F.min(order).alias("least")).join(roots(marked, limit), "fingerprint")
     first = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    return marked.join(first, "_row", "left_semi").select("_doc.*")
+    return marked.join(first, "_row", "left_semi").select(*rows.columns).toDF(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from reelmetrics.llm.shared import below_share, fold, written
+from reelmetrics.llm.shared import apart, below_share, fold, written
 
 # Bounds of the fit: expected labelled documents of each class, bytes of a text in the sample, and entries of the lexicon.
 SAMPLE_ROWS, SAMPLE_BYTES, LEXICON = 6000, 65_536, 50_000
@@ -304,4 +304,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows whose score is below the limit, in their own columns."""
-    return score(docs, train(docs, labels)).filter(F.col("toxicity") < limit).select(*docs.columns)
+    rows = apart(docs)
+    kept = score(rows, train(rows, labels)).filter(F.col("toxicity") < limit)
+    return kept.select(*rows.columns).toDF(*docs.columns)
