@@ -7,33 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, day_slice, join_null_safe, split_hot
+from reelmetrics.operators.slices import SLICE, day_slice, join_null_safe
 
 
 def neighbours(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    identifier: str,
-    previous: str = "previous",
-    following: str = "following",
-    weights: DataFrame | None = None,
-    weight_keys: Sequence[str] | None = None,
+    df: DataFrame, keys: Sequence[str], order: str, identifier: str, previous: str = "previous", following: str = "following"
 ) -> DataFrame:
-    """keys, order, and the ``order`` value of the row before and after, per key.
+    """keys, order, and the ``order`` value of the row before and after, per key; NULL is a key like others.
 
-    For many keys: a plain window with one shuffle. Rows of hot keys, if any, take the other way.
-    Rows of the same moment follow each other in the order of ``identifier``.
+    Rows of the same moment follow each other in the order of ``identifier``. Neighbours are found
+    by way of the distinct moments, so that no window sees the raw rows: of the rows that share a
+    moment only the first looks back to an earlier moment and only the last looks ahead to a later
+    one; all others see their own. Rows that agree in key, moment and identifier are counted and
+    written out again.
     """
     keys = list(keys)
-    ordinary, hot = split_hot(df, keys, weights, weight_keys)
-    w = Window.partitionBy(*keys).orderBy(order)
-    out = ordinary.select(
-        *keys, order, F.lag(order).over(w).alias(previous), F.lead(order).over(w).alias(following)
+    rows = df.groupBy(*keys, order, identifier).agg(F.count(F.lit(1)).alias("__copies"))
+    moments = rows.groupBy(*keys, order).agg(
+        F.min(identifier).alias("__first"), F.max(identifier).alias("__last")
+    )
+    placed = join_null_safe(
+        rows, moment_neighbours(moments, keys, order, previous, following), [*keys, order]
+    )
+    copies = placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    is_first = (F.col(identifier) == F.col("__first")) & (F.col("__copy") == 1)
+    is_last = (F.col(identifier) == F.col("__last")) & (F.col("__copy") == F.col("__copies"))
+    return copies.select(
+        *keys,
+        order,
+        F.when(is_first, F.col(previous)).otherwise(F.col(order)).alias(previous),
+        F.when(is_last, F.col(following)).otherwise(F.col(order)).alias(following),
     )
-    if hot is None:
-        return out
-    return out.unionByName(_neighbours_few_keys(hot, keys, order, identifier, previous, following))
 
 
 def moment_neighbours(
@@ -63,33 +67,6 @@ def moment_neighbours(
     )
 
 
-def _neighbours_few_keys(
-    df: DataFrame, keys: list[str], order: str, identifier: str, previous: str, following: str
-) -> DataFrame:
-    """Neighbours by way of the distinct moments, so that no window sees the raw rows.
-
-    Of the rows that share a moment only the first looks back to an earlier moment and only the
-    last looks ahead to a later one; all others see their own. Rows that agree in key, moment and
-    identifier are counted and written out again.
-    """
-    rows = df.groupBy(*keys, order, identifier).agg(F.count(F.lit(1)).alias("__copies"))
-    moments = rows.groupBy(*keys, order).agg(
-        F.min(identifier).alias("__first"), F.max(identifier).alias("__last")
-    )
-    placed = join_null_safe(
-        rows, moment_neighbours(moments, keys, order, previous, following), [*keys, order]
-    )
-    copies = placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    is_first = (F.col(identifier) == F.col("__first")) & (F.col("__copy") == 1)
-    is_last = (F.col(identifier) == F.col("__last")) & (F.col("__copy") == F.col("__copies"))
-    return copies.select(
-        *keys,
-        order,
-        F.when(is_first, F.col(previous)).otherwise(F.col(order)).alias(previous),
-        F.when(is_last, F.col(following)).otherwise(F.col(order)).alias(following),
-    )
-
-
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
     """The first ``n`` rows per key; the limit is applied on each map task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

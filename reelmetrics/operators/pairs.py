@@ -5,55 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Items of a basket that meet in one place; longer baskets are cut into blocks of about this many.
+BLOCK = 1000
 
-def frequent_pairs(
-    df: DataFrame, basket: str, item: str, min_support: int, large_basket: int = 2_000
-) -> DataFrame:
+
+def frequent_pairs(df: DataFrame, basket: str, item: str, min_support: int, block: int = BLOCK) -> DataFrame:
     """Pairs (item_a < item_b) found in at least ``min_support`` baskets, with the exact count.
 
-    Listing all pairs of a basket is quadratic in its size, so the largest baskets are not listed.
-    At most ``min_support - 1`` baskets larger than ``large_basket`` are set aside; a frequent pair
-    must then occur in at least one other basket, so the pairs listed there contain every answer,
-    and the baskets set aside only have to be probed for those candidates.
+    A basket of n items is cut by the items' hash into ceil(n / block) blocks, and every two of its blocks meet by
+    themselves, so no task holds a whole basket. Items below the support are dropped first: they cannot be part of
+    a frequent pair.
     """
-    # Filtering NULL here, once, lets all branches below share the shuffles of this frame.
     known = F.col(basket).isNotNull() & F.col(item).isNotNull()
     items = df.select(basket, item).filter(known).distinct()
-    # An item in fewer baskets than the support cannot be part of a frequent pair.
     common = items.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_support)
     items = items.join(common.select(item), item, "left_semi")
-
-    large = (
-        items.groupBy(basket)
-        .agg(F.count(F.lit(1)).alias("__size"))
-        .filter(F.col("__size") > large_basket)
-        .orderBy(F.col("__size").desc(), basket)
-        .limit(min_support - 1)
-        .select(basket)
-    )
-    found = large.collect()  # at most min_support - 1 keys
-    if not found:
-        return _listed_pairs(items, basket, item).filter(F.col("support") >= min_support)
-
-    aside = F.broadcast(df.sparkSession.createDataFrame(found, large.schema))
-    listed = _listed_pairs(items.join(aside, basket, "left_anti"), basket, item)
-    # Each basket set aside can add one, so candidates need the rest from the listed ones.
-    candidates = listed.filter(F.col("support") >= min_support - len(found))
-    probed = items.join(aside, basket, "left_semi")
-    with_a = probed.select(F.col(item).alias("item_a"), F.col(basket).alias("__basket"))
-    with_b = probed.select(F.col(item).alias("item_b"), F.col(basket).alias("__basket"), F.lit(1).alias("__both"))
-    support = F.max("support") + F.count("__both")
-    return (
-        candidates.join(with_a, "item_a", "left")
-        .join(with_b, ["item_b", "__basket"], "left")
-        .groupBy("item_a", "item_b")
-        .agg(support.alias("support"))
-        .filter(F.col("support") >= min_support)
-    )
-
-
-def _listed_pairs(items: DataFrame, basket: str, item: str) -> DataFrame:
-    a = items.select(basket, F.col(item).alias("item_a"))
-    b = items.select(basket, F.col(item).alias("item_b"))
-    pairs = a.join(b, basket).filter(F.col("item_a") < F.col("item_b"))
-    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("support"))
+    sizes = items.groupBy(basket).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__blocks"))
+    cut = items.join(sizes, basket).withColumn("__own", F.pmod(F.xxhash64(item), F.col("__blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    a = cut.select(basket, F.col("__own").alias("__row"), every.alias("__column"), F.col(item).alias("item_a"))
+    b = cut.select(basket, F.col("__own").alias("__column"), every.alias("__row"), F.col(item).alias("item_b"))
+    pairs = a.join(b, [basket, "__row", "__column"]).filter(F.col("item_a") < F.col("item_b"))
+    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)

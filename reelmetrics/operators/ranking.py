@@ -6,9 +6,11 @@ Three situations, three plans:
   Catalyst turns into a ``WindowGroupLimit`` on the map side (:func:`top`);
 * the best few by a count, where very many rows may tie: the best distinct values are found first
   and the rows that have them are kept (:func:`top_by_value`);
-* every row gets a rank: ranges of the value are counted first, a small table, and each row adds
-  its place within its range (:func:`ranked`, :func:`tiled`); where very many rows tie, places are
-  computed once per distinct value and joined back (also :func:`numbered`).
+* every row gets a rank: places are computed once per distinct value, over ranges of the value, and
+  joined back (:func:`ranked`, :func:`numbered`); for tiles most rows need no place at all
+  (:func:`tiled`).
+
+Nothing is broadcast by a hint but the value ranges of one group, whose number is bounded.
 """
 
 from __future__ import annotations
@@ -18,8 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import COARSE, FINE, SLICE, id_slice, join_null_safe, number_slice
-from reelmetrics.session import hot_rows
+from reelmetrics.operators.slices import COARSE, FINE, SLICE, join_null_safe, number_slice
 
 RANGE = "__range"
 KINDS = {"rank": F.rank, "dense": F.dense_rank, "row": F.row_number}
@@ -50,13 +51,8 @@ def top_by_value(
     kind: str = "rank",
     name: str = "rank",
     descending: bool = True,
-    few_groups: bool = True,
 ) -> DataFrame:
-    """As :func:`top`, but no task holds the rows that tie: the windows see distinct values only.
-
-    A rank of at most ``n`` needs at most the first ``n`` values of a group, so with few groups the
-    values are safe to broadcast.
-    """
+    """As :func:`top`, but no task holds the rows that tie: the windows see distinct values only."""
     by = list(by)
     order = F.col(value).desc() if descending else F.col(value).asc()
     w = Window.partitionBy(*by).orderBy(order)
@@ -66,7 +62,7 @@ def top_by_value(
         before = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))
         best = best.withColumn(name, F.coalesce(before, F.lit(0)) + 1).filter(F.col(name) <= n)
     best = best.drop("__n")
-    return join_null_safe(df, F.broadcast(best) if few_groups else best, [*by, value])
+    return join_null_safe(df, best, [*by, value])
 
 
 def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool, bins: int) -> DataFrame:
@@ -105,93 +101,35 @@ def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool,
     )
 
 
-def _with_positions(
-    df: DataFrame, by: Sequence[str], value: str, descending: bool, counts: bool = False, bins: int = COARSE
-) -> DataFrame:
-    """Rows joined with their value's position. An empty ``by`` means one group over everything.
-
-    ``counts`` says that ``value`` counts fact rows. Different counts that add up to N rows number
-    at most sqrt(2N) per group, about 1.4 million for 10^12 rows, so their positions are safe to
-    broadcast and the ranked rows are not shuffled again.
-    """
-    positions = _value_positions(df, list(by), value, descending, bins)
-    return join_null_safe(df, F.broadcast(positions) if counts else positions, [*by, value])
-
-
-def _ranges(df: DataFrame, by: list[str], value: str, descending: bool, dense: bool = False):
-    """Rows with their range of values, and per range: its rows, what ranks before it, the total.
-
-    A range has a fixed relative width, so a group has at most about 8,192 of them for each factor
-    of e between its smallest and largest value; with few groups that table is safe to broadcast.
-    """
-    rows = df.withColumn(RANGE, number_slice(value))
-    if dense:
-        # Distinct values are counted, so each is reduced to one row first.
-        values = rows.groupBy(*by, RANGE, value).agg(F.count(F.lit(1)).alias("__n"))
-        per_range = values.groupBy(*by, RANGE).agg(F.sum("__n").alias("__size"), F.count("__n").alias("__steps"))
-    else:
-        per_range = rows.groupBy(*by, RANGE).agg(F.count(F.lit(1)).alias("__size"))
-        per_range = per_range.withColumn("__steps", F.col("__size"))
-    order = F.col(RANGE).desc() if descending else F.col(RANGE).asc()
-    across = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = per_range.select(
-        *by,
-        RANGE,
-        "__size",
-        F.coalesce(F.sum("__steps").over(across), F.lit(0)).alias("__before"),
-        F.sum("__size").over(Window.partitionBy(*by)).alias("__total"),
-    )
-    return rows, sizes
+def _with_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool, bins: int = COARSE) -> DataFrame:
+    """Rows joined with their value's position. An empty ``by`` means one group over everything."""
+    return join_null_safe(df, _value_positions(df, list(by), value, descending, bins), [*by, value])
 
 
 def ranked(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    kind: str = "rank",
-    name: str = "rank",
-    descending: bool = True,
-    counts: bool = False,
+    df: DataFrame, by: Sequence[str], value: str, kind: str = "rank", name: str = "rank", descending: bool = True
 ) -> DataFrame:
-    """Add RANK or DENSE_RANK of ``value`` to every row; no group is held in one task.
-
-    A rank is what ranks before the row's range plus the rank within the range, so the rows are
-    shuffled once, by (group, range). Ranges that very many rows share are ranked by distinct value.
-    """
-    by = list(by)
+    """Add RANK or DENSE_RANK of ``value`` to every row; no group and no tie is held in one task."""
     before = {"rank": "__rows_before", "dense": "__values_before"}[kind]
-    if counts:
-        joined = _with_positions(df, by, value, descending, counts)
-        return joined.withColumn(name, (F.col(before) + 1).cast("long")).select(*df.columns, name)
-
-    rows, sizes = _ranges(df, by, value, descending, dense=kind == "dense")
-    marked = join_null_safe(rows, F.broadcast(sizes), [*by, RANGE])
-    crowded = F.col("__size") > hot_rows(df.sparkSession)
-    within = small_rank([*by, RANGE], [F.col(value).desc() if descending else F.col(value).asc()], kind)
-    ordinary = marked.filter(~crowded).withColumn(name, F.col("__before") + within)
-    shared = _with_positions(marked.filter(crowded), [*by, RANGE], value, descending, bins=FINE)
-    shared = shared.withColumn(name, F.col("__before") + F.col(before) + 1)
-    columns = [*df.columns, F.col(name).cast("long").alias(name)]
-    return ordinary.select(*columns).unionByName(shared.select(*columns))
+    joined = _with_positions(df, by, value, descending)
+    return joined.withColumn(name, (F.col(before) + 1).cast("long")).select(*df.columns, name)
 
 
 def _number_ties(df: DataFrame, keys: list[str], identifier: str) -> DataFrame:
     """Position of each row among the ``__n`` rows of its key, ordered by a unique identifier.
 
-    Long ties are cut into ranges of the identifier.
+    Ties are cut into ranges of the identifier, of a bounded number whether ids are dense or hashed.
     """
-    long = F.col("__n") > hot_rows(df.sparkSession)
-    rows = df.withColumn(SLICE, F.when(long, id_slice(identifier)))
+    rows = df.withColumn(SLICE, number_slice(identifier))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        rows.filter(F.col(SLICE).isNotNull())
-        .groupBy(*keys, SLICE)
+        rows.groupBy(*keys, SLICE)
         .agg(F.count(F.lit(1)).alias("__slice_rows"))
         .select(*keys, SLICE, F.sum("__slice_rows").over(before).alias("__carry"))
     )
     local = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(identifier))
     return (
-        join_null_safe(rows.withColumn("__tie", local), carry, [*keys, SLICE], "left")
+        join_null_safe(rows.withColumn("__tie", local), carry, [*keys, SLICE])
         .withColumn("__tie", F.col("__tie") + F.coalesce("__carry", F.lit(0)))
         .drop(SLICE, "__carry")
     )
@@ -204,11 +142,10 @@ def numbered(
     identifier: str,
     name: str = "rank",
     descending: bool = True,
-    counts: bool = False,
     bins: int = COARSE,
 ) -> DataFrame:
     """ROW_NUMBER by ``value``, ties in the order of a unique ``identifier``."""
-    joined = _with_positions(df, by, value, descending, counts, bins)
+    joined = _with_positions(df, by, value, descending, bins)
     return (
         _number_ties(joined, [*by, value], identifier)
         .withColumn(name, (F.col("__rows_before") + F.col("__tie")).cast("long"))
@@ -235,7 +172,16 @@ def tiled(
     rows, so they are not shuffled at all. Only the rows of the few ranges across a tile border
     are numbered.
     """
-    rows, sizes = _ranges(df, [], value, descending)
+    rows = df.withColumn(RANGE, number_slice(value))
+    order = F.col(RANGE).desc() if descending else F.col(RANGE).asc()
+    # One group: some hundred thousand ranges at most, by the width of a range.
+    sizes = rows.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = sizes.select(
+        RANGE,
+        "__size",
+        F.coalesce(F.sum("__size").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("__size").over(Window.partitionBy()).alias("__total"),
+    )
     total = F.col("__total")
     first = _tile(F.col("__before") + 1, total, tiles)
     last = _tile(F.col("__before") + F.col("__size"), total, tiles)
@@ -243,16 +189,10 @@ def tiled(
     marked = join_null_safe(rows, F.broadcast(decided), [RANGE])
     inside = marked.filter(F.col(name).isNotNull())
     border = marked.filter(F.col(name).isNull())
-    crowded = F.col("__size") > hot_rows(df.sparkSession)
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    short = border.filter(~crowded).withColumn("__position", small_rank([RANGE], [order, F.col(identifier)], "row"))
-    long = numbered(border.filter(crowded), [RANGE], value, identifier, "__position", descending, bins=FINE)
+    placed = numbered(border, [RANGE], value, identifier, "__position", descending, bins=FINE)
     tile = _tile(F.col("__before") + F.col("__position"), total, tiles).cast("long")
     columns = [*df.columns, name]
-    out = inside.select(*columns)
-    for part in (short, long):
-        out = out.unionByName(part.withColumn(name, tile).select(*columns))
-    return out
+    return inside.select(*columns).unionByName(placed.withColumn(name, tile).select(*columns))
 
 
 def first_against_second(
@@ -270,3 +210,13 @@ def first_against_second(
     b = best.select(*by, above, *[F.col(c).alias(n) for c, n in second.items()])
     pairs = a.join(b, [*by, "__rank"], "left").drop("__rank")
     return pairs.withColumn(difference, F.col(first[value]) - F.col(second[value]))
+
+
+def first_and_second(
+    df: DataFrame, by: Sequence[str], value: str, identifier: str, first: dict[str, str], second: dict[str, str], difference: str
+) -> DataFrame:
+    """One row per group: its best row beside the next, equal values in the order of ``identifier``."""
+    by = list(by)
+    best = top(df, by, [F.col(value).desc(), F.col(identifier).asc()], 2, "row", "__rank")
+    sides = [F.max(F.when(F.col("__rank") == k, F.col(c))).alias(n) for k, names in ((1, first), (2, second)) for c, n in names.items()]
+    return best.groupBy(*by).agg(*sides).withColumn(difference, F.col(first[value]) - F.col(second[value]))

@@ -7,34 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, day_slice, join_null_safe, split_hot
+from reelmetrics.operators.slices import SLICE, day_slice, join_null_safe
 
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: Column,
-    name: str,
-    weights: DataFrame | None = None,
-    weight_keys: Sequence[str] | None = None,
-) -> DataFrame:
-    """Total of ``value`` up to and including the current ``order`` moment, per key.
-
-    For many keys: a plain window with one shuffle. Rows of hot keys, if any, take the other way.
-    """
-    ordinary, hot = split_hot(df, keys, weights, weight_keys)
-    total = F.sum(value).over(Window.partitionBy(*keys).orderBy(order))
-    out = ordinary.withColumn(name, total)
-    return out if hot is None else out.unionByName(running_total_few_keys(hot, keys, order, value, name))
-
-
-def running_total_few_keys(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str
-) -> DataFrame:
-    """The same for a handful of huge keys (stores, staff, categories).
+def running_total(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str) -> DataFrame:
+    """Total of ``value`` up to and including the current ``order`` moment, per key; NULL is a key like others.
 
     Peers share a value, so the window runs over one row per (key, moment), cut by day, and the
     rows pick their total up by an equi-join: no window ever sees the raw rows, a moment shared by
@@ -63,44 +42,19 @@ def _add(a: str, b: str) -> Column:
 Breaks = Callable[[Column, Column], Column]
 
 
-def running_total_with_reset(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: Column,
-    breaks: Breaks,
-    name: str,
-    weights: DataFrame | None = None,
-) -> DataFrame:
-    """Running total that starts again where ``breaks(previous, current)`` is true.
-
-    All windows of an ordinary key share one shuffle.
-    """
-    keys = list(keys)
-    ordinary, hot = split_hot(df, keys, weights)
-    w = Window.partitionBy(*keys).orderBy(order)
-    previous = F.lag(order).over(w)
-    out = (
-        ordinary.withColumn("__reset", _flag(breaks(previous, F.col(order))))
-        .withColumn("__group", F.sum("__reset").over(w))
-        .withColumn(name, F.sum(value).over(Window.partitionBy(*keys, "__group").orderBy(order)))
-        .drop("__reset", "__group")
-    )
-    return out if hot is None else out.unionByName(_reset_few_keys(hot, keys, order, value, breaks, name))
-
-
 def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("long")
 
 
-def _reset_few_keys(
-    df: DataFrame, keys: list[str], order: str, value: Column, breaks: Breaks, name: str
+def running_total_with_reset(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, breaks: Breaks, name: str
 ) -> DataFrame:
-    """The reset chain over one row per (key, moment), cut by day.
+    """Running total that starts again where ``breaks(previous, current)`` is true.
 
-    Two facts cross a day border: the last moment before it, and the running total if no reset
-    has happened since.
+    The chain runs over one row per (key, moment), cut by day. Two facts cross a day border: the
+    last moment before it, and the running total if no reset has happened since.
     """
+    keys = list(keys)
     part = [*keys, SLICE]
     by_slice = Window.partitionBy(*keys).orderBy(SLICE)
     w = Window.partitionBy(*part).orderBy(order)

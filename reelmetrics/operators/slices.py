@@ -1,13 +1,9 @@
 """Keeping window functions away from hot groups.
 
-A window function runs one group in one task. When one key holds a large share of the rows that
-task never ends. Two tools prevent this:
-
-* :func:`split_hot` separates the rows of hot keys, so that ordinary keys keep the plain window
-  with its single shuffle and a table without hot keys pays nothing;
-* a *slice* is an order-preserving function of the sort column. A window per (key, slice) plus a
-  small table with one row per slice, which carries the value across slice borders, gives the same
-  result as one window per key.
+A window function runs one group in one task. When one key holds a large share of the rows that task never ends. A
+*slice* is an order-preserving function of the sort column. A window per (key, slice) plus a small table with one
+row per slice, which carries the value across slice borders, gives the same result as one window per key. Every key
+is treated alike, so nothing has to be known about the data.
 """
 
 from __future__ import annotations
@@ -17,62 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmetrics.session import hot_rows
-
 SLICE = "__slice"
 
-# Size bound of the list of hot keys. When more keys pass the limit, each one left out has at most
-# 1/4097 of the rows; it stays in an ordinary window that spills, and nothing is dropped.
-MAX_HOT_KEYS = 4096
-
 LOWEST = -(2**40)
 
-# Rows of a key at the limit that the estimate below looks at.
-LOOKED_AT = 2000
-
-
-def hot_keys(weights: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more rows than the session's limit, or None.
-
-    The estimate reads only the key columns and shuffles a small part of them. It decides where
-    work is split and nothing else: the results are exact for every list of keys. The list is
-    fixed here, once, so that all branches of a plan cut the same groups.
-    """
-    keys = list(keys)
-    spark = weights.sparkSession
-    limit = hot_rows(spark)
-    fraction = min(1.0, LOOKED_AT / limit)
-    column = weights.select(*keys).dropna()
-    found = (
-        (column if fraction == 1.0 else column.sample(fraction, seed=7))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > limit * fraction)
-        .orderBy(F.col("__rows").desc())
-        .limit(MAX_HOT_KEYS)
-        .select(*keys)
-    )
-    rows = found.collect()
-    return spark.createDataFrame(rows, found.schema) if rows else None
-
-
-def split_hot(
-    df: DataFrame,
-    keys: Sequence[str],
-    weights: DataFrame | None = None,
-    weight_keys: Sequence[str] | None = None,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys and rows of hot keys; None when no key is hot.
-
-    ``weights`` may be a cheaper frame to look at (a base table instead of a join) with
-    ``weight_keys``, a subset of ``keys``.
-    """
-    by = list(weight_keys or keys)
-    hot = hot_keys(df if weights is None else weights, by)
-    if hot is None:
-        return df, None
-    return df.join(F.broadcast(hot), by, "left_anti"), df.join(F.broadcast(hot), by, "left_semi")
-
 
 def day_slice(order: str) -> Column:
     """Days since 1970; rows without a moment come before all others, as in the sort order."""
@@ -80,7 +24,8 @@ def day_slice(order: str) -> Column:
     return F.coalesce(day, F.lit(LOWEST))
 
 
-# Bins per factor of e. Fine bins split a coarse one into at most 4,096.
+# Bins per factor of e. Fine bins split a coarse one into at most 4,096. A 64-bit number has under 44 factors of e,
+# so no column has more than 720,000 coarse bins, however its values are spread.
 COARSE = 2**13
 FINE = 2**25
 
@@ -94,10 +39,6 @@ def number_slice(value: str, bins: int = COARSE) -> Column:
     return F.coalesce(F.floor(F.signum(v) * F.log1p(F.abs(v)) * bins).cast("long"), F.lit(LOWEST))
 
 
-def id_slice(identifier: str) -> Column:
-    return F.floor(F.col(identifier) / 1_000_000).cast("long")
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that matches NULL with NULL, as window partitions do.
 

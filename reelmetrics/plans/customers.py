@@ -138,20 +138,31 @@ def never_at_signup_store(shop):
     visited = shop.shelf_rented.select("customer_id", "store_id").distinct()
     home = shop.signup_stores.select("customer_id", F.col("store_id").alias("home"))
     return (
-        visited.join(home, "customer_id")
+        visited.join(home, "customer_id", "left")  # without a known signup store nobody is at home
         .groupBy("customer_id")
-        .agg(F.max((F.col("store_id") == F.col("home")).cast("int")).alias("at_home"))
+        .agg(F.max(F.coalesce(F.col("store_id") == F.col("home"), F.lit(False)).cast("int")).alias("at_home"))
         .filter(F.col("at_home") == 0)
         .select("customer_id")
     )
 
 
 @query("q50", """
+SELECT customer_id, min(shelf_id) AS store_id FROM rented
+GROUP BY customer_id HAVING count(DISTINCT shelf_id) = 1""")
+def customers_of_one_store(shop):
+    return _of_one_store(shop.shelf_rented)
+
+
+@query("q50_recent", """
 SELECT customer_id, min(shelf_id) AS store_id FROM rented WHERE rental_date >= TIMESTAMP '2001-02-01'
 GROUP BY customer_id HAVING count(DISTINCT shelf_id) = 1""")
-def customers_of_one_store(shop, since="2001-02-01"):
-    recent = shop.shelf_rented.filter(F.col("rental_date") >= F.lit(since).cast("timestamp_ntz"))
-    ends = recent.groupBy("customer_id").agg(F.min("store_id").alias("store_id"), F.max("store_id").alias("other"))
+def recent_customers_of_one_store(shop, months=6):
+    """The question over the last months before the reporting date."""
+    return _of_one_store(shop.shelf_rented.filter(F.col("rental_date") >= shop.months_ago(months)))
+
+
+def _of_one_store(rented):
+    ends = rented.groupBy("customer_id").agg(F.min("store_id").alias("store_id"), F.max("store_id").alias("other"))
     return ends.filter(F.col("store_id") == F.col("other")).drop("other")
 
 
@@ -180,10 +191,11 @@ SELECT customer_id, actor, count(*) AS rental_count FROM rented JOIN film_actor
 GROUP BY ALL HAVING count(*) > 1""")
 def customers_returning_to_an_actor(shop):
     return (
-        shop.rented.select("customer_id", "film_id")
+        shop.rented.groupBy("customer_id", "film_id")
+        .agg(F.count("*").alias("n"))
         .join(shop.film_actor, "film_id")
         .groupBy("customer_id", "actor")
-        .agg(F.count("*").alias("rental_count"))
+        .agg(F.sum("n").alias("rental_count"))
         .filter(F.col("rental_count") > 1)
     )
 
@@ -255,10 +267,14 @@ SELECT store_id, count(*) FILTER (rn = 1) AS first_rentals, count(*) AS rentals,
 FROM r GROUP BY store_id QUALIFY rank() OVER (ORDER BY count(*) FILTER (rn = 1)::DOUBLE / count(*) DESC) = 1""")
 def store_with_most_first_rentals(shop):
     # A customer's first rental is the earliest of their earliest rentals per store.
-    visits = shop.staffed_rentals.groupBy("customer_id", "store_id").agg(
-        F.count("*").alias("n"), F.min(F.struct("rental_date", "rental_id")).alias("first")
+    # Two hash aggregates: the first rental of each moment, then the first moment.
+    moments = shop.staffed_rentals.groupBy("customer_id", "store_id", "rental_date").agg(
+        F.count("*").alias("n"), F.min("rental_id").alias("first_id")
+    )
+    visits = moments.groupBy("customer_id", "store_id").agg(
+        F.sum("n").alias("n"), F.min("rental_date").alias("first"), F.min_by("first_id", "rental_date").alias("first_id")
     )
-    is_first = F.row_number().over(Window.partitionBy("customer_id").orderBy("first")) == 1
+    is_first = F.row_number().over(Window.partitionBy("customer_id").orderBy("first", "first_id")) == 1
     shares = (
         visits.withColumn("is_first", is_first)
         .groupBy("store_id")

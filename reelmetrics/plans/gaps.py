@@ -156,7 +156,6 @@ FROM l WHERE prev_rental_date IS NOT NULL""")
 def repeat_rentals_of_a_film(shop):
     out = neighbours(
         shop.rented, ["customer_id", "film_id"], "rental_date", "rental_id", "prev_rental_date",
-        weights=shop.rentals, weight_keys=["customer_id"],
     )
     return out.filter(F.col("prev_rental_date").isNotNull()).select(
         "customer_id",
@@ -179,17 +178,17 @@ FROM r GROUP BY customer_id""")
 def first_and_latest_rental(shop):
     films = shop.rented_copies.groupBy("rental_id").agg(F.min("film_id").alias("lo"), F.max("film_id").alias("hi"))
     per_rental = shop.rentals.join(films, "rental_id")
-    ends = per_rental.groupBy("customer_id").agg(
-        F.min(F.struct("rental_date", "rental_id", "lo")).alias("first"),
-        F.max(F.struct("rental_date", "rental_id", "hi")).alias("last"),
+    # Two hash aggregates: the first and last rental of each moment, then the first and last moment.
+    moments = per_rental.groupBy("customer_id", "rental_date").agg(
+        F.min_by("lo", "rental_id").alias("lo"), F.max_by("hi", "rental_id").alias("hi")
     )
-    return ends.select(
-        "customer_id",
-        F.col("first.rental_date").alias("first_rental_date"),
-        F.col("first.lo").alias("first_film_id"),
-        F.col("last.rental_date").alias("last_rental_date"),
-        F.col("last.hi").alias("last_film_id"),
+    ends = moments.groupBy("customer_id").agg(
+        F.min("rental_date").alias("first_rental_date"),
+        F.min_by("lo", "rental_date").alias("first_film_id"),
+        F.max("rental_date").alias("last_rental_date"),
+        F.max_by("hi", "rental_date").alias("last_film_id"),
     )
+    return ends
 
 
 @query("q95", """
@@ -256,7 +255,7 @@ FROM rented WINDOW w AS (PARTITION BY film_id, shelf_id ORDER BY rental_date)"""
 def previous_and_next_rental_per_film_and_store(shop):
     return neighbours(
         shop.shelf_rented, ["film_id", "store_id"], "rental_date", "rental_id",
-        "prev_rental_date", "next_rental_date", weights=shop.rented_copies, weight_keys=["film_id"],
+        "prev_rental_date", "next_rental_date",
     )
 
 

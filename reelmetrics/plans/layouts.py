@@ -11,9 +11,7 @@ from reelmetrics.sources import layout
 
 
 def _month_partitions(shop, name, df, timestamp, identifier):
-    path = layout.written_once(
-        shop.spark, shop.folder, name, lambda p: layout.partition_by_month(df, timestamp, identifier, p)
-    )
+    path = layout.written_once(df, name, lambda p: layout.partition_by_month(df, timestamp, identifier, p))
     schema = df.withColumn("ym", F.lit(0)).schema
     return shop.spark.read.schema(schema).parquet(path)
 
@@ -43,22 +41,17 @@ def rentals_in_date_range(shop, start="2000-03-15", end="2000-06-15"):
 def customers_by_last_name(shop, last_name="BUILDING"):
     customers = shop.customers
     path = layout.written_once(
-        shop.spark, shop.folder, "customers_by_name",
-        lambda p: layout.sort_files(customers, "last_name", "customer_id", p),
+        customers, "customers_by_name", lambda p: layout.sort_files(customers, "last_name", "customer_id", p)
     )
     return shop.spark.read.schema(customers.schema).parquet(path).filter(F.col("last_name") == last_name)
 
 
 def bucketed_tables(shop):
-    """Rentals and stock bucketed on the copy.
-
-    Rentals are counted per copy before they are stored, so a copy with very many rentals does not
-    make its bucket larger than the others.
-    """
+    """Rentals, row by row, and stock, bucketed on the copy."""
     keys = ["film_id", "copy_id"]
     buckets = int(shop.spark.conf.get("spark.sql.shuffle.partitions"))
     frames = {
-        "bucketed_rentals": shop.rented_copies.groupBy(*keys).agg(F.count("*").alias("rentals")),
+        "bucketed_rentals": shop.rented_copies.select(*keys, "rental_id"),
         "bucketed_stock": shop.shelf_stock.select(*keys, "store_id").distinct(),
     }
 
@@ -67,9 +60,7 @@ def bucketed_tables(shop):
         def name_of(path):
             return "_".join(reversed(path.split("/")[-2:]))
 
-        path = layout.written_once(
-            shop.spark, shop.folder, name, lambda p: layout.bucket(df, keys, buckets, name_of(p), p)
-        )
+        path = layout.written_once(df, name, lambda p: layout.bucket(df, keys, buckets, name_of(p), p))
         return shop.spark.table(name_of(path))
 
     return [table(name, df) for name, df in frames.items()]
@@ -83,7 +74,7 @@ def most_rented_films_bucketed(shop, n=10):
     counts = (
         rentals.join(stock, ["film_id", "copy_id"])
         .groupBy("film_id")
-        .agg(F.sum("rentals").alias("rental_count"))
+        .agg(F.count("*").alias("rental_count"))
     )
     return top_by_value(counts, [], "rental_count", n).select("film_id", "rental_count", "rank")
 
@@ -91,7 +82,8 @@ def most_rented_films_bucketed(shop, n=10):
 @query("q85", """
 SELECT strftime(payment_date, '%Y-%m') AS payment_month, sum(amount)::DOUBLE AS revenue FROM payment
 WHERE payment_date >= TIMESTAMP '2000-01-01' AND payment_date < TIMESTAMP '2001-01-01' GROUP BY ALL""")
-def monthly_revenue_from_partitions(shop, year=2000):
+def monthly_revenue_from_partitions(shop, year=None):
+    year = year or shop.year
     payments = shop.takings.select("rental_id", "payment_date", "amount")
     stored = _month_partitions(shop, "payments_by_month", payments, "payment_date", "rental_id")
     return (

@@ -14,7 +14,8 @@ from reelmetrics.plans.running import store_months
 @query("q6", """
 SELECT strftime(rental_date, '%Y') AS "Year", strftime(rental_date, '%m') AS "Month", count(*) AS total_rents
 FROM rental WHERE year(rental_date) = 2000 GROUP BY ALL""")
-def rentals_per_month_of_year(shop, year=2000):
+def rentals_per_month_of_year(shop, year=None):
+    year = year or shop.year
     # A range on the column reaches the Parquet scan; year(rental_date) = 2000 would not.
     first = F.make_timestamp_ntz(*[F.lit(v) for v in (year, 1, 1, 0, 0, 0)])
     after = F.make_timestamp_ntz(*[F.lit(v) for v in (year + 1, 1, 1, 0, 0, 0)])
@@ -97,9 +98,9 @@ WITH m AS (SELECT strftime(rental_date, '%Y-%m') AS month, count(rental_id) AS t
 SELECT month, total_rents, lag(total_rents) OVER (ORDER BY month) AS prev_month_rents,
        total_rents - lag(total_rents) OVER (ORDER BY month) AS mom_change
 FROM m""")
-def rentals_change_per_month(shop, before="2001-01-01"):
+def rentals_change_per_month(shop, before=None):
     # Text order puts a bare date before every time of that date, so the bound itself is excluded.
-    bound = F.lit(before).cast("timestamp_ntz")
+    bound = F.lit(before or shop.before).cast("timestamp_ntz")
     months = _monthly_rentals(shop.rentals.filter(F.col("rental_date") < bound))
     return (
         period.with_previous(months, [], ["m"], "total_rents", "prev_month_rents")

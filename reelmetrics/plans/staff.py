@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelmetrics.functions import dates as d
-from reelmetrics.operators.ranking import first_against_second, top
+from reelmetrics.operators.ranking import first_against_second, first_and_second, top
 from reelmetrics.plans.films import _with_allowance, is_late
 from reelmetrics.plans.registry import query
 
@@ -104,3 +104,23 @@ def staff_with_most_late_rentals(shop):
         {"staff_id": "second_staff_id", "n": "second_late_rentals"},
         "difference",
     )
+
+
+@query("q110_intent", """
+WITH c AS (
+  SELECT staff_id, count(*) AS n FROM rented JOIN film USING (film_id)
+  WHERE epoch_us(return_date) - epoch_us(rental_date) > allowed_days * 86400000000 GROUP BY staff_id),
+listed AS (SELECT list({'id': staff_id, 'n': n} ORDER BY n DESC, staff_id) AS l FROM c)
+SELECT l[1].id AS top_staff_id, l[1].n AS top_late_rentals, l[2].id AS second_staff_id,
+       l[2].n AS second_late_rentals, l[1].n - l[2].n AS difference
+FROM listed WHERE l IS NOT NULL""")
+def staff_with_most_late_rentals_and_the_next(shop):
+    """One row; of staff with equal counts the smaller number comes first."""
+    late = _with_allowance(shop.rented_staff, shop).filter(is_late())
+    counts = late.groupBy("staff_id").agg(F.count("*").alias("n")).withColumn("all", F.lit(1))
+    return first_and_second(
+        counts, ["all"], "n", "staff_id",
+        {"staff_id": "top_staff_id", "n": "top_late_rentals"},
+        {"staff_id": "second_staff_id", "n": "second_late_rentals"},
+        "difference",
+    ).drop("all")

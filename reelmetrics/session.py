@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Groups above this many rows are cut into ordered slices before a window runs over them.
-HOT_ROWS_KEY = "spark.reelmetrics.hotRows"
-HOT_ROWS_DEFAULT = 2_000_000
-
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -16,10 +12,6 @@ RECOMMENDED = {
 }
 
 
-def hot_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(HOT_ROWS_KEY, str(HOT_ROWS_DEFAULT)))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``; where unset, one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

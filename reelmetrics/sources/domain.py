@@ -30,7 +30,6 @@ rented_staff               rented with staff_id, store_id
 shelf_copies               rented_copies with store_id
 shelf_rented               rented with store_id
 rentals_with_film          rental_date, film_id; NULL if the film is unknown
-film_of_rentals            the film_id column of rentals_with_film
 stock                      film_id, copy_id, rental_id, return_date, rented; a copy that
                            was never rented has rented = false
 shelf_stock                stock with store_id
@@ -59,12 +58,25 @@ MONEY = "decimal(18,2)"
 
 
 class Shop:
+    """``year``, ``before`` and ``last_day`` are the defaults of the questions' open terms."""
+
     schemas: dict[str, str]
+    references: list[tuple[str, str, str, str]]
+    year: int
+    before: str
+    last_day: str
 
-    def __init__(self, spark: SparkSession, folder: str, as_of: str = "2001-08-01"):
+    def __init__(self, spark: SparkSession, folder: str, as_of: str | None = None):
         self.spark = spark
         self.folder = folder
-        self.as_of = as_of
+        self.as_of = as_of or self.last_day
+
+    def verify(self, references: bool = False) -> None:
+        """Raise if a table lacks a column or has one of another type; also, if asked, if a parent row is missing.
+
+        Reads the files' footers; the check of references reads the key columns.
+        """
+        tables.verify(self.spark, self.folder, self.schemas, self.references if references else [])
 
     def table(self, name: str) -> DataFrame:
         return tables.load(self.spark, self.folder, name, self.schemas)
@@ -83,6 +95,8 @@ class RentalDatabase(Shop):
     """A rental shop's tables: payment, rental, inventory, film, customer, staff, store, ..."""
 
     schemas = tables.RENTAL_SCHEMAS
+    references = tables.RENTAL_REFERENCES
+    year, before, last_day = 2005, "2006-01-01", "2006-02-14"
 
     @cached_property
     def stores(self) -> DataFrame:
@@ -166,10 +180,6 @@ class RentalDatabase(Shop):
         films = self._inventory.select("copy_id", "film_id")
         return self._rental.join(films, "copy_id", "left").select("rental_date", "film_id")
 
-    @cached_property
-    def film_of_rentals(self) -> DataFrame:
-        return self.rentals_with_film.select("film_id")
-
     @cached_property
     def shelf_stock(self) -> DataFrame:
         rows = self._rental.select("copy_id", "rental_id", "return_date")
@@ -229,6 +239,8 @@ class OrderShop(Shop):
     """Order tables read as a rental shop."""
 
     schemas = tables.SCHEMAS
+    references = tables.REFERENCES
+    year, before, last_day = 2000, "2001-01-01", "2001-08-01"
 
     @cached_property
     def _regions(self) -> DataFrame:
@@ -352,10 +364,6 @@ class OrderShop(Shop):
     def rentals_with_film(self) -> DataFrame:
         return self._known_film(self.rented, "rental_date")
 
-    @cached_property
-    def film_of_rentals(self) -> DataFrame:
-        return self._known_film(self.rented_copies)
-
     @cached_property
     def stock(self) -> DataFrame:
         return self._lines.drop("amount", "payment_date")

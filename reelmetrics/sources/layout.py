@@ -1,7 +1,8 @@
 """Table layouts that let Spark skip data: month partitions, sorted files, buckets.
 
-Spark has no indexes; these layouts do the work an index would. They are written once per
-application and source folder, below the folder named by ``spark.checkpoint.dir``.
+Spark has no indexes; these layouts do the work an index would. They are written below the folder named by
+``spark.checkpoint.dir``, once for each state of their source files: a layout is used again only while the files it
+was made from are the same, by name, size and time of change.
 """
 
 from __future__ import annotations
@@ -9,17 +10,28 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmetrics.session import shared_dir
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
-def written_once(spark: SparkSession, source: str, name: str, write: Callable[[str], None]) -> str:
-    """Path of the layout ``name`` of ``source``, written on first use in this application."""
-    key = (spark.sparkContext.applicationId, source, name)
+def state_of(df: DataFrame) -> tuple:
+    """What tells one state of the files below ``df`` from another. Reads their listing, not their content."""
+    files = df.inputFiles()
+    if not files:
+        return ()
+    listing = df.sparkSession.read.format("binaryFile").load(files)
+    mark = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+    return tuple(listing.agg(F.count(F.lit(1)), F.sum("length"), F.sum(mark)).first())
+
+
+def written_once(df: DataFrame, name: str, write: Callable[[str], None]) -> str:
+    """Path of the layout ``name`` of ``df``, written unless this application has one of the same files."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, name, tuple(df.columns), state_of(df))
     if key not in _written:
         path = f"{shared_dir(spark)}/layouts/{uuid.uuid4().hex}/{name}"
         write(path)

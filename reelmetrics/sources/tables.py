@@ -86,3 +86,21 @@ def orphans(spark: SparkSession, folder: str, schemas=SCHEMAS, references=REFERE
         row = missing.select(F.lit(f"{child}.{column}").alias("reference"), "orphans")
         counts = row if counts is None else counts.unionByName(row)
     return counts
+
+
+def verify(spark: SparkSession, folder: str, schemas: dict[str, str], references=()) -> None:
+    """Raise ValueError for a missing column, a column of another type, or a reference without its parent.
+
+    ``load`` gives the schema itself, and a column that a file lacks would read as NULL.
+    """
+    wrong = []
+    for name, schema in schemas.items():
+        found = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{folder}/{name}.parquet").schema}
+        for column, kind in (c.split() for c in schema.split(", ")):
+            if found.get(column) != kind:
+                wrong.append(f"{name}.{column} is {found.get(column, 'missing')}, not {kind}")
+    if not wrong and references:
+        rows = orphans(spark, folder, schemas, list(references)).filter("orphans > 0").collect()
+        wrong = [f"{r.reference} has {r.orphans} rows without a parent" for r in rows]
+    if wrong:
+        raise ValueError("; ".join(wrong))

@@ -11,7 +11,6 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from check import session  # noqa: E402
-from reelmetrics.session import HOT_ROWS_KEY  # noqa: E402
 from reelmetrics.sources.domain import OrderShop  # noqa: E402
 from reelmetrics.sources.tables import SCHEMAS  # noqa: E402
 
@@ -33,15 +32,6 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(params=["ordinary", "hot"])
-def heat(request, spark):
-    """Run a test twice: with the plain windows, and with every key treated as hot."""
-    if request.param == "hot":
-        spark.conf.set(HOT_ROWS_KEY, "1")
-    yield request.param
-    spark.conf.unset(HOT_ROWS_KEY)
-
-
 def ts(text):
     """'2000-01-02' or '2000-01-02 10:30' as datetime; None stays None."""
     if text is None:

@@ -13,7 +13,7 @@ from reelmetrics.plans import customers, gaps
 SCHEMA = "k bigint, t timestamp_ntz, id bigint"
 
 
-def test_neighbours_same_as_plain_window(frame, heat):
+def test_neighbours_same_as_plain_window(frame):
     rng = random.Random(1)
     data = [
         (rng.choice([1, 1, 2, None]), f"2000-01-{rng.randint(1, 9):02d} {rng.choice([0, 0, 12]):02d}:00", rng.randint(1, 30))
@@ -25,7 +25,7 @@ def test_neighbours_same_as_plain_window(frame, heat):
     assert rows(neighbours(df, ["k"], "t", "id")) == rows(want)
 
 
-def test_gap_is_cut_to_whole_days_before_the_comparison(shop, heat):
+def test_gap_is_cut_to_whole_days_before_the_comparison(shop):
     s = shop(orders=[
         order(1, 1, "2000-01-01"), order(2, 1, "2000-01-31 21:36"),  # 30.9 days
         order(3, 2, "2000-01-01"), order(4, 2, "2000-02-01"),  # 31 days
@@ -72,7 +72,7 @@ def test_as_of_at_month_end_is_clamped(shop):
     assert rows(customers.customers_renting_more(s)) == [(1, 1, 0)]
 
 
-def test_repeat_rental_of_the_same_film(shop, heat):
+def test_repeat_rental_of_the_same_film(shop):
     s = shop(
         orders=[order(1, 1, "2000-01-01"), order(2, 1, "2000-01-11"), order(3, 2, "2000-01-01")],
         lineitem=[line(1, 1, 1, 1.0, "2000-02-01"), line(2, 1, 2, 1.0, "2000-02-01"), line(2, 2, 1, 1.0, "2000-02-01"),

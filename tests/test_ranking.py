@@ -29,12 +29,11 @@ def test_rank_kinds(frame):
 
 @pytest.mark.parametrize("by", [["g"], []])
 @pytest.mark.parametrize("descending", [True, False])
-@pytest.mark.parametrize("counts", [True, False])
-def test_ranks_same_as_plain_window(frame, heat, by, descending, counts):
+def test_ranks_same_as_plain_window(frame, by, descending):
     df = frame(SCHEMA, values(1) + [(1, 900, None), (2, 901, None)])
     v = F.col("v").desc() if descending else F.col("v").asc()
     w = Window.partitionBy(*by).orderBy(v)
-    options = {"descending": descending, "counts": counts}
+    options = {"descending": descending}
     for kind, function in (("rank", F.rank), ("dense", F.dense_rank)):
         want = df.withColumn("rank", function().over(w))
         assert rows(ranking.ranked(df, by, "v", kind, **options), "id", "rank") == rows(want, "id", "rank")
@@ -43,54 +42,59 @@ def test_ranks_same_as_plain_window(frame, heat, by, descending, counts):
 
 
 @pytest.mark.parametrize("kind", ["rank", "dense"])
-@pytest.mark.parametrize("few", [True, False])
-def test_top_by_value_same_as_top(frame, kind, few):
+def test_top_by_value_same_as_top(frame, kind):
     df = frame(SCHEMA, values(2))
     for by in (["g"], []):
         for n in (1, 3, 7):
             want = ranking.top(df, by, [F.col("v").desc()], n, kind)
-            got = ranking.top_by_value(df, by, "v", n, kind, few_groups=few)
+            got = ranking.top_by_value(df, by, "v", n, kind)
             assert rows(got, "id", "rank") == rows(want, "id", "rank")
 
 
 @pytest.mark.parametrize("n,sizes", [(10, [3, 3, 2, 2]), (3, [1, 1, 1]), (4, [1, 1, 1, 1]), (1, [1])])
-def test_tile_sizes(frame, heat, n, sizes):
+def test_tile_sizes(frame, n, sizes):
     df = frame(SCHEMA, [(1, i, 7) for i in range(n)])  # all tied: ties split over tiles by id
     out = ranking.tiled(df, "v", "id", 4, "tile")
     assert [c for _, c in sorted(Counter(r.tile for r in out.collect()).items())] == sizes
 
 
-def test_tiles_same_as_plain_window(frame, heat):
+def test_tiles_same_as_plain_window(frame):
     for spread in (2, 1000):
         df = frame(SCHEMA, values(3, 211, spread))
         want = df.withColumn("tile", F.ntile(4).over(Window.orderBy(F.col("v").desc(), "id")))
         assert rows(ranking.tiled(df, "v", "id", 4, "tile"), "id", "tile") == rows(want, "id", "tile")
 
 
-def test_long_ties_are_numbered_across_identifier_ranges(frame, heat):
+def test_long_ties_are_numbered_across_identifier_ranges(frame):
     # Identifiers three ranges apart, all with the same value.
     df = frame(SCHEMA, [(1, i * 1_500_000, 7) for i in range(20)])
     out = rows(ranking.numbered(df, ["g"], "v", "id"), "id", "rank")
     assert [r for _, r in out] == list(range(1, 21))
 
 
-def test_crowded_range_is_cut_finer(spark, frame):
-    """Many different values in one coarse range take the way by distinct values."""
-    from reelmetrics.session import HOT_ROWS_KEY
-
-    rows_in = [(1, i, 1_000_000 + i % 90) for i in range(300)]
-    df = frame(SCHEMA, rows_in).withColumn("v", F.col("v").cast("decimal(18,2)"))
-    spark.conf.set(HOT_ROWS_KEY, "50")
-    try:
-        got = rows(ranking.ranked(df, ["g"], "v", "dense"), "id", "rank")
-        tiles = rows(ranking.tiled(df, "v", "id", 3, "tile"), "id", "tile")
-    finally:
-        spark.conf.unset(HOT_ROWS_KEY)
+def test_values_of_one_coarse_range(frame):
+    df = frame(SCHEMA, [(1, i, 1_000_000 + i % 90) for i in range(300)]).withColumn("v", F.col("v").cast("decimal(18,2)"))
     v = F.col("v").desc()
+    got = rows(ranking.ranked(df, ["g"], "v", "dense"), "id", "rank")
     assert got == rows(df.withColumn("rank", F.dense_rank().over(Window.partitionBy("g").orderBy(v))), "id", "rank")
+    tiles = rows(ranking.tiled(df, "v", "id", 3, "tile"), "id", "tile")
     assert tiles == rows(df.withColumn("tile", F.ntile(3).over(Window.orderBy(v, "id"))), "id", "tile")
 
 
+def test_ties_of_hashed_identifiers(frame):
+    """Far apart and of both signs: their ranges are of a bounded number and keep the order."""
+    rng = random.Random(3)
+    df = frame(SCHEMA, [(1, rng.getrandbits(63) - 2**62, 7) for _ in range(200)])
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc(), "id")))
+    assert rows(ranking.numbered(df, ["g"], "v", "id"), "id", "rank") == rows(want, "id", "rank")
+
+
+def test_first_and_second_break_ties(frame):
+    df = frame(SCHEMA, [(1, 4, 9), (1, 3, 9), (1, 2, 9), (2, 8, 1)])
+    out = ranking.first_and_second(df, ["g"], "v", "id", FIRST, SECOND, "diff")
+    assert rows(out, "g", "a", "av", "b", "bv", "diff") == [(1, 2, 9, 3, 9, 0), (2, 8, 1, None, None, None)]
+
+
 FIRST = {"id": "a", "v": "av"}
 SECOND = {"id": "b", "v": "bv"}
 

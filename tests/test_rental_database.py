@@ -15,7 +15,6 @@ import pytest
 
 import check
 from reelmetrics.plans import catalogue
-from reelmetrics.session import HOT_ROWS_KEY
 from reelmetrics.sources import tables
 from reelmetrics.sources.domain import RentalDatabase
 
@@ -86,6 +85,12 @@ def build(rng):
     return {**out, "inventory": inventory, "rental": rentals, "payment": payments}
 
 
+class Database(RentalDatabase):
+    """The terms that the shared SQL is written for."""
+
+    year, before, last_day = 2000, "2001-01-01", "2001-08-01"
+
+
 @pytest.fixture(scope="module")
 def database(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("rentals")
@@ -105,23 +110,12 @@ def duck(database):
 
 @pytest.mark.parametrize("name", list(catalogue.CATALOGUE))
 def test_same_as_sql(spark, duck, database, name):
-    df = catalogue.CATALOGUE[name].build(RentalDatabase(spark, database))
+    df = catalogue.CATALOGUE[name].build(Database(spark, database))
     problem, count = check.compare(df, duck, catalogue.oracle_text(name, VIEWS))
     assert problem is None
     assert count > 0 or name in EMPTY
 
 
-@pytest.mark.parametrize("name", ["q2", "q3", "q14", "q21", "q21_intent", "q23", "q24", "q71", "q78", "q87", "q91", "q93", "q100"])
-def test_same_as_sql_when_keys_are_hot(spark, duck, database, name):
-    spark.conf.set(HOT_ROWS_KEY, "3")
-    try:
-        df = catalogue.CATALOGUE[name].build(RentalDatabase(spark, database))
-        problem, count = check.compare(df, duck, catalogue.oracle_text(name, VIEWS))
-    finally:
-        spark.conf.unset(HOT_ROWS_KEY)
-    assert problem is None and count > 0
-
-
 def test_references(spark, database):
     found = tables.orphans(spark, database, tables.RENTAL_SCHEMAS, tables.RENTAL_REFERENCES).collect()
     assert {r.reference: r.orphans for r in found}["payment.rental_id"] == 0
