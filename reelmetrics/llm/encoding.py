@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from reelmetrics.llm.shared import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 # Entries of the table of words that were encoded before.
-SEEN = 500_000
+SEEN = 700_000
 
 
 class Encoder:
@@ -79,6 +80,12 @@ class Encoder:
         return ids, places.astype("<u4")
 
 
+@lru_cache(maxsize=2)
+def encoder_of(data: bytes) -> Encoder:
+    """A model's encoder, kept for later tasks of a Python worker."""
+    return Encoder(data)
+
+
 def _plain_places(text: str, ends: np.ndarray, prefix: int) -> np.ndarray:
     """Places in the text for places in a normalised text whose only changes are a first mark and marked spaces.
 
@@ -170,7 +177,7 @@ def encode(docs: DataFrame, model: str = MODEL, marks: bool = True) -> DataFrame
     schema = StructType([docs.schema[c] for c in kept] + [StructField("ids", BinaryType()), StructField("places", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(data)
+        encoder = encoder_of(data)
         head, tail = (np.array([i], "<u4").tobytes() if marks else b"" for i in (encoder.model.begin, encoder.model.end))
         for batch in batches:
             text = batch.schema.get_field_index("text")

@@ -153,7 +153,7 @@ class Transducer:
     """
 
     # Transitions, and pairs of pieces, that are kept; beyond, the tables are made anew as texts need them.
-    LIMIT = 200_000
+    LIMIT, PAIRS = 400_000, 600_000
 
     def __init__(self, model: PieceModel):
         self.names, self.ids, self.scores = model.names, model.ids, model.scores
@@ -275,7 +275,7 @@ class Transducer:
         Follows the last pieces of all prefixes by themselves, without the states that count.
         """
         kids, piece, fits, end = self.kids, self.piece, self.fits, len(text)
-        if len(fits) > self.LIMIT:
+        if len(fits) > self.PAIRS:
             fits.clear()
         last, size = [-1] * (end + 1), [1] * (end + 1)
         for start in range(end):

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from reelmetrics.llm.shared import tokenizer_path
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 # Characters of a chunk; entries of the table of segments that were counted before.
-CHUNK, SEEN = 1 << 18, 500_000
+CHUNK, SEEN = 1 << 18, 1_200_000
 BORDER = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
@@ -93,6 +94,12 @@ class Counter:
         return self.count(whole.head) + whole.pieces + self.count(whole.tail or "")
 
 
+@lru_cache(maxsize=2)
+def counter_of(data: bytes) -> Counter:
+    """A model's counter, kept for later tasks of a Python worker."""
+    return Counter(tools(data)[2])
+
+
 def scan(maps: list[ChunkMap], compose: Callable[[ChunkMap, ChunkMap], ChunkMap]) -> list[ChunkMap]:
     """The maps of all prefixes, with a logarithmic number of sweeps over neighbours that double their distance."""
     step = 1
@@ -120,8 +127,7 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
     rows = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode(parts).alias("chunk", "part"), F.size(parts).alias("n_chunks"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, normalizer, transducer = tools(data)
-        counter = Counter(transducer)
+        normalizer, counter = tools(data)[1], counter_of(data)
         fast = normalizer.plain and normalizer.model.dummy_prefix
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
@@ -148,7 +154,7 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tools(data)[2])
+        counter = counter_of(data)
         for batch in batches:
             totals = []
             for maps in batch.column(2).to_pylist():
