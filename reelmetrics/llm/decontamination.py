@@ -25,7 +25,7 @@ from reelmetrics.llm.shared import apart, written
 
 WINDOW = 10
 # Bytes of text in a block; bytes of benchmark text that are looked up at once; candidates that are held at once.
-BLOCK, QUERIES, CANDIDATES = 2 << 20, 16 << 20, 1 << 21
+BLOCK, QUERIES, CANDIDATES = 1 << 19, 16 << 20, 1 << 19
 # Bytes of words after A-Z are made small: digits, letters, and all beyond ASCII. The others become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -50,10 +50,10 @@ def built(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         held = 0
         for batch in batches:
             id_column, hash_column, text_column = batch.columns
-            for i in range(batch.num_rows):
-                text = text_column[i].as_py() or ""
-                ids.append(id_column[i].as_py())
-                hashes.append(hash_column[i].as_py())
+            for doc_id, text_hash, text in zip(id_column, hash_column, text_column):
+                text = text.as_py() or ""
+                ids.append(doc_id.as_py())
+                hashes.append(text_hash.as_py())
                 texts.append(words_of(text))
                 held += len(text)
                 if held >= block:
@@ -66,7 +66,7 @@ def built(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _block(ids: list, hashes: list[int], texts: list[list[bytes]], id_type: pa.DataType) -> pa.RecordBatch:
-    number: dict[bytes, int] = {}
+    number: dict[bytes, int] = {}  # of each word, in the order of first use
     put = number.setdefault
     n_words = np.array([len(t) for t in texts], np.int64)
     term = np.fromiter((put(w, len(number)) for t in texts for w in t), np.int32, int(n_words.sum()))
