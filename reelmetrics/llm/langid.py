@@ -138,17 +138,11 @@ def code_lengths(trees: Trees, data: np.ndarray, offsets: np.ndarray, block: int
         padded = np.zeros(ends[-1], np.int32)
         real = np.ones(ends[-1], bool)
         real[(starts[:, None] - 1 - np.arange(d)).ravel()] = False
-        if len({(b - a) for _, a, b in pieces}) and all(a == 0 for _, a, _ in pieces):
-            lo, hi = offsets[text[0]], offsets[text[-1] + 1]  # texts that follow one another; empty ones add nothing
-            if hi - lo == size.sum():
-                padded[real] = trees.symbol[data[lo:hi]]
-            else:
-                padded[real] = trees.symbol[np.concatenate([data[offsets[i] + a : offsets[i] + b] for i, a, b in pieces])]
-        else:
-            padded[real] = trees.symbol[np.concatenate([data[offsets[i] + a : offsets[i] + b] for i, a, b in pieces])]
-            for (i, a, _), start in zip(pieces, starts):
-                before = data[offsets[i] + max(0, a - d) : offsets[i] + a]
-                padded[start - len(before) : start] = trees.symbol[before]
+        # Pieces of a block follow one another in the data; only the first may be the rest of a text.
+        (i, a, _), (j, _, b) = pieces[0], pieces[-1]
+        padded[real] = trees.symbol[data[offsets[i] + a : offsets[j] + b]]
+        before = data[offsets[i] + max(0, a - d) : offsets[i] + a]
+        padded[d - len(before) : d] = trees.symbol[before]
         current = np.ones(len(padded), np.int32)
         context = current
         for k in range(1, d + 1):
