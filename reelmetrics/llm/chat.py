@@ -119,7 +119,10 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         "_end",
         *piece,
         F.explode(
-            F.sequence(F.floor(F.col("_end") / F.col("_stride")), F.floor((F.col("_start") + history + F.col("_stride")) / F.col("_stride")))
+            F.sequence(
+                F.floor(F.col("_end") / F.col("_stride")),
+                F.floor((F.col("_start") + history + F.col("_stride")) / F.col("_stride")),
+            )
         ).alias("_at"),
     )
     near = starts.join(

@@ -13,7 +13,7 @@ many places off (a proximity match).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,10 @@ def built(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A null text has no words. Every row is a document of its own, repeated or not.
     """
     id_type = docs.schema["doc_id"].dataType
-    schema = f"doc_ids array<{id_type.simpleString()}>, text_hashes array<long>, n_words array<int>, terms array<string>, sizes array<int>, positions binary"
+    schema = (
+        f"doc_ids array<{id_type.simpleString()}>, text_hashes array<long>, n_words array<int>, "
+        "terms array<string>, sizes array<int>, positions binary"
+    )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -113,15 +116,18 @@ class Phrases:
                 lengths.append(k)
                 owner.append(item)
         terms = np.array(rows, np.int64).reshape(-1, window)
-        keyed = np.unique(np.column_stack([np.array(owner, np.int64), np.array(lengths, np.int64), terms]), axis=0)
+        keyed = np.column_stack([np.array(owner, np.int64), np.array(lengths, np.int64), terms])
+        keyed = np.unique(keyed, axis=0)
         return Phrases(list(number), keyed[:, 2:], keyed[:, 1], keyed[:, 0], list(ids), np.zeros((0, window), np.int64))
 
     def by_rarity(self, counts: np.ndarray) -> Phrases:
         often = np.where(self.terms >= 0, np.append(counts, 0)[self.terms], np.iinfo(np.int64).max)
-        return Phrases(self.vocabulary, self.terms, self.lengths, self.item, self.item_ids, np.argsort(often, axis=1, kind="stable"))
+        return replace(self, order=np.argsort(often, axis=1, kind="stable"))
 
 
-def occurrences(phrases: Phrases, terms: pa.Array, sizes: np.ndarray, positions: np.ndarray, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def occurrences(
+    phrases: Phrases, terms: pa.Array, sizes: np.ndarray, positions: np.ndarray, slop: int = 0
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(phrase, start) of all occurrences in one block, some phrases at a time."""
     place = pc.index_in(pa.array(phrases.vocabulary, pa.string()), value_set=terms)
     local = np.append(pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64), -1)
@@ -230,7 +236,12 @@ def looked_up(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop
     whole index; what earlier blocks hit is kept as a bit for each word. Equal item ids are one item.
     """
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    found = index.select("*", F.lit(None).cast("binary").alias("hits"), F.transform("n_words", lambda _: F.lit(0).cast("long")).alias("n_hit"), F.lit(None).cast(f"array<array<{item_type}>>").alias("items"))
+    found = index.select(
+        "*",
+        F.lit(None).cast("binary").alias("hits"),
+        F.transform("n_words", lambda _: F.lit(0).cast("long")).alias("n_hit"),
+        F.lit(None).cast(f"array<array<{item_type}>>").alias("items"),
+    )
     first = True
     for items in _query_blocks(benchmark, queries):
         if not first:
@@ -243,7 +254,11 @@ def looked_up(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop
     zipped = F.arrays_zip("doc_ids", "text_hashes", "n_words", "n_hit", F.coalesce("items", none).alias("items"))
     each = found.select(F.explode(zipped).alias("d"))
     return each.select(
-        F.col("d.doc_ids").alias("doc_id"), F.col("d.text_hashes").alias("text_hash"), F.col("d.n_words").cast("long").alias("n_words"), "d.n_hit", "d.items"
+        F.col("d.doc_ids").alias("doc_id"),
+        F.col("d.text_hashes").alias("text_hash"),
+        F.col("d.n_words").cast("long").alias("n_words"),
+        "d.n_hit",
+        "d.items",
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from reelmetrics.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, tools
-from reelmetrics.llm.shared import tokenizer_path
+from reelmetrics.llm.shared import appended, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 # Entries of the table of words that were encoded before.
@@ -184,14 +184,8 @@ def encode(docs: DataFrame, model: str = MODEL, marks: bool = True) -> DataFrame
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 found = [encoder.encode(t or "") for t in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(part.schema.get_field_index(c)) for c in kept),
-                        pa.array([head + i.tobytes() + tail for i, _ in found], pa.binary()),
-                        pa.array([p.tobytes() for _, p in found], pa.binary()),
-                    ],
-                    names=[*kept, "ids", "places"],
-                )
+                ids = pa.array([head + i.tobytes() + tail for i, _ in found], pa.binary())
+                yield appended(part, kept, {"ids": ids, "places": pa.array([p.tobytes() for _, p in found], pa.binary())})
 
     return docs.mapInArrow(run, schema)
 
@@ -209,7 +203,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = [decoder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(texts, pa.string())], names=[*kept, "decoded"])
+                yield appended(part, kept, {"decoded": pa.array(texts, pa.string())})
 
     return encoded.mapInArrow(run, schema)
 

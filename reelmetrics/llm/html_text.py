@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from reelmetrics.llm.shared import appended
+
 # Names that the HTML standard fixes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript".split())
@@ -343,7 +345,9 @@ def table_lines(e: Element, rules: set, visible: bool) -> Iterator[str]:
         if loose and part.name != "tr":
             outside.append(lines_of(Element("div", {}, loose)))
         elif loose:
-            part = Element("tr", {}, [c if isinstance(c, Element) and c.name in ("td", "th") else Element("td", {}, [c]) for c in part.children if not (isinstance(c, str) and not c.strip())])
+            kept = [c for c in part.children if not isinstance(c, str) or c.strip()]
+            cell = [isinstance(c, Element) and c.name in ("td", "th") for c in kept]
+            part = Element("tr", {}, [c if own else Element("td", {}, [c]) for c, own in zip(kept, cell)])
         below = []
         cells = []
         for child in part.children:
@@ -355,7 +359,8 @@ def table_lines(e: Element, rules: set, visible: bool) -> Iterator[str]:
                 outside.append(lines_of(child))
             elif child.name in ("td", "th"):
                 a = child.attributes
-                cells.append((lines_of(child), min(max(_number(a.get("colspan"), 1), 1), 1000), min(max(_number(a.get("rowspan"), 1), 1), 65534)))
+                across = min(max(_number(a.get("colspan"), 1), 1), 1000)
+                cells.append((lines_of(child), across, min(max(_number(a.get("rowspan"), 1), 1), 65534)))
         if cells:
             rows.append(cells)
         waiting.extend(reversed(below))
@@ -376,7 +381,8 @@ def table_lines(e: Element, rules: set, visible: bool) -> Iterator[str]:
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         placed.append(here)
     used = sorted({c for here in placed for c, (lines, _) in here.items() if lines})
-    widths = {c: max((width(x) for here in placed if c in here and here[c][1] == 1 for x in here[c][0]), default=0) for c in used}
+    alone = {c: [x for here in placed if c in here and here[c][1] == 1 for x in here[c][0]] for c in used}
+    widths = {c: max(map(width, lines), default=0) for c, lines in alone.items()}
     for here in placed:
         for i in range(max((len(lines) for lines, _ in here.values()), default=0)):
             cells = [here[c][0][i] if c in here and i < len(here[c][0]) else "" for c in used]
@@ -406,7 +412,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = [visible_text(p) for p in part.column(part.schema.get_field_index(column)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+                yield appended(part, kept, {"text": pa.array(texts, pa.string())})
 
     return pages.select(*kept, column).mapInArrow(run, schema)
 

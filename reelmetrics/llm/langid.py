@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from reelmetrics.llm.shared import apart, below_share, fold
+from reelmetrics.llm.shared import apart, appended, below_share, fold
 
 # Bounds of the sample that the trees are fitted on: expected texts of a language, and UTF-8 bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 32_768
@@ -58,14 +58,21 @@ def fitted(texts: dict[str, list[bytes]], order: int = ORDER, contexts: int = CO
     # Of every byte: its symbol, and the code of the k symbols before it, the nearest in the lowest place.
     streams = []
     for x in languages:
-        padded = np.concatenate([np.concatenate([np.zeros(order, np.int64), symbol[np.frombuffer(t, np.uint8)]]) for t in texts[x]] or [np.zeros(0, np.int64)])
-        real = np.concatenate([np.concatenate([np.zeros(order, bool), np.ones(len(t), bool)]) for t in texts[x]] or [np.zeros(0, bool)])
-        at = np.flatnonzero(real)
+        raw = symbol[np.frombuffer(b"".join(texts[x]), np.uint8)].astype(np.int64)
+        size = np.array([len(t) for t in texts[x]], np.int64)
+        # Each text stands behind ``order`` symbols 0, its start.
+        at = np.arange(len(raw)) + order * (1 + np.repeat(np.arange(len(size)), size))
+        padded = np.zeros(len(raw) + order * len(size), np.int64)
+        padded[at] = raw
         codes = [np.zeros(len(at), np.int64)]
         for k in range(1, order + 1):
             codes.append(codes[-1] + padded[at - k] * s ** (k - 1))
         streams.append((padded[at], codes))
-    levels = [np.unique(np.concatenate([np.zeros(0, np.int64), *(codes[k] for _, codes in streams)]), return_counts=True) for k in range(1, order + 1)]
+    none = np.zeros(0, np.int64)
+    levels = [
+        np.unique(np.concatenate([none, *(codes[k] for _, codes in streams)]), return_counts=True)
+        for k in range(1, order + 1)
+    ]
     counts = np.concatenate([c for _, c in levels]) if levels else np.zeros(0, int)
     if len(counts) > contexts - 2:  # a context is at least as frequent as any longer one, so its parent is kept too
         least = np.sort(counts)[-(contexts - 2)] + 1
@@ -91,7 +98,8 @@ def fitted(texts: dict[str, list[bytes]], order: int = ORDER, contexts: int = CO
                 continue
             at = np.minimum(np.searchsorted(kept[k], codes[k]), len(kept[k]) - 1)
             hit = kept[k][at] == codes[k]
-            count[first[k] : first[k + 1]] = np.bincount(at[hit] * s + symbols[hit], minlength=len(kept[k]) * s).reshape(-1, s)
+            seen_here = np.bincount(at[hit] * s + symbols[hit], minlength=len(kept[k]) * s)
+            count[first[k] : first[k + 1]] = seen_here.reshape(-1, s)
         p = np.zeros((total, s))
         uniform = width / 256
         for k in range(order + 1):
@@ -190,17 +198,19 @@ def _utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), offsets
 
 
+ADDED = StructType([
+    StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("bits_per_byte", DoubleType())
+])
+
+
 def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     """The rows with lang_pred, lang_score (0 to 1) and bits_per_byte; columns of these names are replaced.
 
     The score is the probability of the language, all being equally likely before. A null text, or one without a
     letter, is ``und`` with score 0, as is every text where no language was learned. Equal texts score alike.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "bits_per_byte")]
-    schema = StructType(
-        [docs.schema[c] for c in kept]
-        + [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("bits_per_byte", DoubleType())]
-    )
+    kept = [c for c in docs.columns if c not in ADDED.names]
+    schema = StructType([docs.schema[c] for c in kept] + ADDED.fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trees
@@ -218,11 +228,8 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
                 best, low, probability = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
                 letters = np.zeros(len(n), bool)
             names = [t.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names, pa.string()), pa.array(np.where(letters, probability, 0.0)), pa.array(low / n)],
-                names=[*kept, "lang_pred", "lang_score", "bits_per_byte"],
-            )
+            found = (pa.array(names, pa.string()), pa.array(np.where(letters, probability, 0.0)), pa.array(low / n))
+            yield appended(batch, kept, dict(zip(ADDED.names, found)))
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.select(*kept, letters.alias("_letters")).mapInArrow(score, schema)

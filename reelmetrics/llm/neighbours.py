@@ -43,7 +43,9 @@ def step_sets(projections: int, probes: int) -> np.ndarray:
     """
     m = projections
     j = np.arange(1, 2 * m + 1)
-    cost = np.where(j <= m, j * (j + 1), 4 * (m + 1) * (m + 2) - 4 * (2 * m + 1 - j) * (m + 2) + (2 * m + 1 - j) * (2 * m + 2 - j)) / (4 * (m + 1) * (m + 2))
+    other = 2 * m + 1 - j
+    near, far = j * (j + 1) / (4 * (m + 1) * (m + 2)), other * (other + 1) / (4 * (m + 1) * (m + 2))
+    cost = np.where(j <= m, near, 1 - other / (m + 1) + far)
     chosen: list[tuple[int, ...]] = [()]
     queue = [(float(cost[0]), (0,))]
     while queue and len(chosen) < probes:
@@ -163,7 +165,8 @@ def usable(vectors: DataFrame, dimension: int) -> DataFrame:
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     kept = F.col("vec_id").isNotNull() & (F.size("embedding") == dimension) & ~bad & some
-    return vectors.filter(kept).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    return vectors.filter(kept).select(F.col("vec_id").cast("long").alias("vec_id"), vector)
 
 
 def fitted(vectors: DataFrame, dimension: int) -> Hashes:

@@ -6,6 +6,7 @@ import os
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,12 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+def appended(batch: pa.RecordBatch, kept: list[str], added: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The kept columns of a batch, and new ones."""
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+    return pa.RecordBatch.from_arrays([*columns, *added.values()], names=[*kept, *added])
+
+
 def below_share(h: Column, share: Column) -> Column:
     """Whether a 64-bit hash lies in the least ``share`` of its range."""
     return h.cast("double") <= share * 2.0**64 - 2.0**63

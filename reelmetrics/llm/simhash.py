@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from reelmetrics.llm.components import components
-from reelmetrics.llm.shared import apart, written
+from reelmetrics.llm.shared import apart, appended, written
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 BITS = 64
@@ -54,7 +54,8 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
         k = min(shingle, len(words))
         starts = np.concatenate([[0], ends[: len(words) - k] + 1])
         hashed = xxhash.xxh64_intdigest
-        hashes = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())), np.uint64, len(starts))
+        spans = zip(starts.tolist(), ends[k - 1 :].tolist())
+        hashes = np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, len(starts))
         pending.append((i, hashes))
         held += len(hashes)
         if held >= SPREAD:
@@ -92,9 +93,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 found = fingerprints(part.column(text).to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(found.view(np.int64))], names=[*kept, "fingerprint"]
-                )
+                yield appended(part, kept, {"fingerprint": pa.array(found.view(np.int64))})
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmetrics.llm.pieces import SPACE, Transducer, normalized_text, tools
-from reelmetrics.llm.shared import tokenizer_path
+from reelmetrics.llm.shared import appended, tokenizer_path
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 # Characters of a chunk; entries of the table of segments that were counted before.
@@ -121,10 +121,12 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
     normalizer = tools(data)[1]
     text = F.coalesce(F.col("text"), F.lit(""))
     # Cutting is safe where each character is normalised by itself; else texts stay whole.
-    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int")), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
+    cuts = F.transform(places, lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))
     parts = F.when(F.lit(normalizer.plain) & (F.length("text") > chunk), cuts).otherwise(F.array("text"))
     rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode(parts).alias("chunk", "part"), F.size(parts).alias("n_chunks"))
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
+    rows = rows.select("row", "doc_id", n_bytes, F.posexplode(parts).alias("chunk", "part"), F.size(parts).alias("n_chunks"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normalizer, counter = tools(data)[1], counter_of(data)
@@ -141,16 +143,16 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
                     heads.append(m.head)
                     pieces.append(m.pieces)
                     tails.append(m.tail)
-                yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(i) for i in range(4)), pa.array(heads, pa.string()), pa.array(pieces, pa.int64()), pa.array(tails, pa.string())],
-                    names=["row", "doc_id", "n_bytes", "chunk", "head", "pieces", "tail"],
-                )
+                found = {"head": pa.array(heads, pa.string()), "pieces": pa.array(pieces, pa.int64()), "tail": pa.array(tails, pa.string())}
+                yield appended(rows, ["row", "doc_id", "n_bytes", "chunk"], found)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     maps = rows.mapInArrow(read, f"row long, doc_id {id_type}, n_bytes long, chunk int, head string, pieces long, tail string")
     # The chunks of one text meet, as maps; a text itself is one row already.
     texts = maps.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("chunk", "head", "pieces", "tail"))).alias("maps")
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_bytes").alias("n_bytes"),
+        F.sort_array(F.collect_list(F.struct("chunk", "head", "pieces", "tail"))).alias("maps"),
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,7 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
             for maps in batch.column(2).to_pylist():
                 found = [ChunkMap(m["head"], m["pieces"], m["tail"]) for m in maps]
                 totals.append(counter.total(scan(found, counter.compose)[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield appended(batch, ["doc_id", "n_bytes"], {"n_tokens": pa.array(totals, pa.int64())})
 
     counted = texts.select("doc_id", "n_bytes", "maps").mapInArrow(join, f"doc_id {id_type}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

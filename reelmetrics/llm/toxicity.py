@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from reelmetrics.llm.shared import apart, below_share, fold, written
+from reelmetrics.llm.shared import apart, appended, below_share, fold, written
 
 # Bounds of the fit: expected labelled documents of each class, bytes of a text in the sample, and entries of the lexicon.
 SAMPLE_ROWS, SAMPLE_BYTES, LEXICON = 6000, 65_536, 50_000
@@ -35,6 +35,7 @@ PRIOR, LEAST_Z, DRIFT = 2.0, 3.0, 0.25
 # Passages are reported up to this expected number of clean ones in a text of the same length.
 MOST_EXPECTED = 0.05
 EULER = 0.5772156649015329
+RIDGE = 0.01
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -150,11 +151,10 @@ def counted(sample: DataFrame) -> DataFrame:
                 found.update(("word", w, toxic) for w in own)
                 found.update(("stem", s, toxic) for s in {w[:STEM] for w in own if len(w) > STEM})
                 found["all", "", toxic] += len(own)
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))), pa.array([found[k] for k in keys], pa.int64())],
-            names=["kind", "token", "toxic", "n"],
-        )
+        kinds, tokens, classes = zip(*found) if found else ((), (), ())
+        columns = [pa.array(kinds, pa.string()), pa.array(tokens, pa.string()), pa.array(classes, pa.bool_())]
+        columns.append(pa.array(list(found.values()), pa.int64()))
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "token", "toxic", "n"])
 
     each = sample.filter("part = 0").select("toxic", "text").mapInArrow(count, schema)
     return each.groupBy("kind", "token").agg(
@@ -195,12 +195,13 @@ def scored_tokens(counts: DataFrame, size: int = LEXICON) -> tuple[Lexicon, floa
     return lexicon, b
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve, by Newton's steps with a small ridge."""
     beta, design = np.zeros(2), np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2), design.T @ (weight * (y - p)) - 1e-2 * beta)
+        bend = (design * (p * (1 - p))[:, None]).T @ design + RIDGE * np.eye(2)
+        step = np.linalg.solve(bend, design.T @ (y - p) - RIDGE * beta)
         beta += step
         if abs(step).max() < 1e-8:
             break
@@ -220,9 +221,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
             for text in batch.column(1).to_pylist():
                 words = WORD.findall(text.lower())
                 rows.append((len(words), [s.score for s in segments(hits(words, lexicon))][:1000]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["toxic", "n", "scores"]
-            )
+            n, scores = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))
+            yield appended(batch, ["toxic"], {"n": n, "scores": scores})
 
     held = sample.filter("part = 1").select("toxic", "text").mapInArrow(measure, "toxic boolean, n long, scores array<double>").collect()
     clean = [scale * max(r.scores, default=0.0) - math.log(max(r.n, 1)) for r in held if not r.toxic]
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
     y = np.array([float(r.toxic) for r in held])
     if len(set(y.tolist())) < 2:
         return Lexicon(lexicon.words, lexicon.stems, scale, density)
-    slope, shift = _logistic(x, y, np.ones_like(y))
+    slope, shift = _logistic(x, y)
     return Lexicon(lexicon.words, lexicon.stems, scale, density, max(slope, 0.0), shift)
 
 
@@ -239,10 +239,14 @@ def _statistic(x: float) -> float:
     return math.log1p(x)
 
 
+PASSAGES = pa.list_(
+    pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
+)
 ADDED = StructType([
     StructField("toxicity", DoubleType()),
     StructField("passages", ArrayType(StructType([
-        StructField("begin", LongType()), StructField("end", LongType()), StructField("score", DoubleType()), StructField("expected", DoubleType())
+        StructField("begin", LongType()), StructField("end", LongType()),
+        StructField("score", DoubleType()), StructField("expected", DoubleType()),
     ]))),
 ])
 
@@ -279,17 +283,12 @@ def score(docs: DataFrame, lexicon: Lexicon, column: str = "text") -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 rows = [of(t, m) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], PASSAGES)],
-                    names=[*kept, *ADDED.names],
-                )
+                scores, passages = pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], PASSAGES)
+                yield appended(part, kept, {"toxicity": scores, "passages": passages})
 
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-PASSAGES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
-
-
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the number of passages of every document."""
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))

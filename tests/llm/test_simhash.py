@@ -43,7 +43,7 @@ def flipped(rng, value, bits):
 
 def clustered(seed, n):
     rng = random.Random(seed)
-    found = [rng.getrandbits(64) for _ in range(n // 4)]
+    found = [rng.getrandbits(64) for _ in range(max(n // 4, 1))]
     while len(found) < n:
         found.append(flipped(rng, rng.choice(found), rng.randint(0, 5)))
     return found
