@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from reelmetrics.llm.shared import appended, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 # Entries of the table of words that were encoded before.
-SEEN = 700_000
+SEEN = 500_000
 
 
 class Encoder:
@@ -36,6 +35,11 @@ class Encoder:
         self.byte = np.full(len(names), -1)
         self.byte[self.model.byte_ids] = np.arange(256)
 
+    def clear(self) -> None:
+        """Give the tables' memory back; a worker may go on to other work."""
+        self.seen.clear()
+        self.transducer.clear()
+
     def segment(self, text: str) -> bytes:
         """Ids of normalised text, as bytes."""
         ids: list[int] = []
@@ -80,12 +84,6 @@ class Encoder:
         return ids, places.astype("<u4")
 
 
-@lru_cache(maxsize=2)
-def encoder_of(data: bytes) -> Encoder:
-    """A model's encoder, kept for later tasks of a Python worker."""
-    return Encoder(data)
-
-
 def _plain_places(text: str, ends: np.ndarray, prefix: int) -> np.ndarray:
     """Places in the text for places in a normalised text whose only changes are a first mark and marked spaces.
 
@@ -166,26 +164,36 @@ def _model_bytes(model: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, model: str = MODEL, marks: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, marks: bool = True, decoded: bool = False) -> DataFrame:
     """The rows with ``ids`` and ``places``, little-endian unsigned 32-bit numbers; columns of these names go.
 
     ``ids`` has begin and end ids around if ``marks``. ``places`` has one number more than pieces: piece i spans the
-    bytes from place i to place i + 1 of the text. A null text is an empty one: no pieces, the one place 0.
+    bytes from place i to place i + 1 of the text. A null text is an empty one: no pieces, the one place 0. With
+    ``decoded`` the text of the ids is added, as ``decode`` gives it, without another pass through Python.
     """
     data = _model_bytes(model)
-    kept = [c for c in docs.columns if c not in ("ids", "places")]
-    schema = StructType([docs.schema[c] for c in kept] + [StructField("ids", BinaryType()), StructField("places", BinaryType())])
+    added = {"ids": BinaryType(), "places": BinaryType()} | ({"decoded": StringType()} if decoded else {})
+    kept = [c for c in docs.columns if c not in added]
+    schema = StructType([docs.schema[c] for c in kept] + [StructField(n, t) for n, t in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(data)
-        head, tail = (np.array([i], "<u4").tobytes() if marks else b"" for i in (encoder.model.begin, encoder.model.end))
+        encoder = Encoder(data)
+        decoder = Decoder(encoder.model)
+        head, tail = ([i] if marks else [] for i in (encoder.model.begin, encoder.model.end))
         for batch in batches:
             text = batch.schema.get_field_index("text")
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 found = [encoder.encode(t or "") for t in part.column(text).to_pylist()]
-                ids = pa.array([head + i.tobytes() + tail for i, _ in found], pa.binary())
-                yield appended(part, kept, {"ids": ids, "places": pa.array([p.tobytes() for _, p in found], pa.binary())})
+                ids = [np.concatenate([head, i, tail]).astype("<u4") for i, _ in found]
+                columns = {
+                    "ids": pa.array([i.tobytes() for i in ids], pa.binary()),
+                    "places": pa.array([p.tobytes() for _, p in found], pa.binary()),
+                }
+                if decoded:
+                    columns["decoded"] = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
+                yield appended(part, kept, columns)
+        encoder.clear()
 
     return docs.mapInArrow(run, schema)
 
@@ -214,13 +222,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     ``n_mapped`` is the number of bytes of the text under its pieces' spans: all of them. Null texts are empty ones;
     repeated rows and null ids are rows of their own.
     """
-    encoded = encode(docs.select("doc_id", "text"), model)
+    encoded = encode(docs.select("doc_id", "text"), model, decoded=True)
     last = F.concat(*(F.substring("places", -i, 1) for i in range(1, 5)))  # big-endian
-    spans = encoded.select("doc_id", "ids", F.conv(F.hex(last), 16, 10).cast("long").alias("n_mapped"))
-    return decode(spans, model).select(
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        "n_mapped",
+        F.conv(F.hex(last), 16, 10).cast("long").alias("n_mapped"),
     )

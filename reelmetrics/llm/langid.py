@@ -29,7 +29,7 @@ from reelmetrics.llm.shared import apart, appended, below_share, fold
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 32_768
 ORDER, CONTEXTS = 4, 16_384
 # Bytes that are scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 UNKNOWN = "und"
 
 

@@ -178,9 +178,12 @@ class Transducer:
         one = f"[{solo}]|" if solo else ""
         self.segment = re.compile(f"{one}{SPACE}+[^{SPACE}{solo}]*|[^{SPACE}{solo}]+" if self.splits else r"(?s).+")
         self.parts: dict[int, tuple[int, int] | None] = {}
+        self.states = {}
         self.clear()
 
     def clear(self) -> None:
+        for state in self.states.values():  # they hold one another
+            state.clear()
         self.states: dict[tuple, State] = {}
         self.fits: dict[int, bool] = {}
         self.made = 0

@@ -121,6 +121,12 @@ def test_encode_documents(documents):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_decoding_apart_gives_the_same(documents):
+    encoded = encoding.encode(documents(rows()), marks=False, decoded=True).withColumnRenamed("decoded", "at_once")
+    got = encoding.decode(encoded).collect()
+    assert all(r.decoded == r.at_once == LIBRARY.decode(LIBRARY.encode(r.text or "")) for r in got)
+
+
 def test_empty_table(documents):
     assert token_counts.count_documents(documents([])).collect() == []
     assert encoding.encode_documents(documents([])).collect() == []
