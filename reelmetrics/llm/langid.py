@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from reelmetrics.llm.shared import apart, appended, below_share, fold
 
 # Bounds of the sample that the trees are fitted on: expected texts of a language, and UTF-8 bytes of each.
-SAMPLE_ROWS, SAMPLE_BYTES = 300, 32_768
+SAMPLE_ROWS, SAMPLE_BYTES = 250, 32_768
 ORDER, CONTEXTS = 4, 16_384
 # Bytes that are scored at once.
 BLOCK = 1 << 18
@@ -55,22 +55,29 @@ def fitted(texts: dict[str, list[bytes]], order: int = ORDER, contexts: int = CO
     symbol[seen] = np.arange(1, len(seen) + 1)
     symbol[65:91] = symbol[97:123]
     s = len(seen) + 1
-    # Of every byte: its symbol, and the code of the k symbols before it, the nearest in the lowest place.
+    # Each language's symbols, each text behind ``order`` symbols 0 (its start), and the places of its bytes.
     streams = []
     for x in languages:
-        raw = symbol[np.frombuffer(b"".join(texts[x]), np.uint8)].astype(np.int64)
+        raw = symbol[np.frombuffer(b"".join(texts[x]), np.uint8)].astype(np.int16)
         size = np.array([len(t) for t in texts[x]], np.int64)
-        # Each text stands behind ``order`` symbols 0, its start.
-        at = np.arange(len(raw)) + order * (1 + np.repeat(np.arange(len(size)), size))
-        padded = np.zeros(len(raw) + order * len(size), np.int64)
+        at = np.arange(len(raw), dtype=np.int32)
+        at += (order * (1 + np.repeat(np.arange(len(size)), size))).astype(np.int32)
+        padded = np.zeros(len(raw) + order * len(size), np.int16)
         padded[at] = raw
-        codes = [np.zeros(len(at), np.int64)]
-        for k in range(1, order + 1):
-            codes.append(codes[-1] + padded[at - k] * s ** (k - 1))
-        streams.append((padded[at], codes))
+        streams.append((padded, at))
+
+    def codes(stream: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+        """Of each byte, the number that the k symbols before it make, the nearest in the lowest place."""
+        padded, at = stream
+        code = np.zeros(len(at), np.int64)
+        for j in range(k, 0, -1):
+            code *= s
+            code += padded[at - j]
+        return code
+
     none = np.zeros(0, np.int64)
     levels = [
-        np.unique(np.concatenate([none, *(codes[k] for _, codes in streams)]), return_counts=True)
+        np.unique(np.concatenate([none, *(codes(x, k) for x in streams)]), return_counts=True)
         for k in range(1, order + 1)
     ]
     counts = np.concatenate([c for _, c in levels]) if levels else np.zeros(0, int)
@@ -78,7 +85,7 @@ def fitted(texts: dict[str, list[bytes]], order: int = ORDER, contexts: int = CO
         least = np.sort(counts)[-(contexts - 2)] + 1
     else:
         least = 1
-    kept = [np.zeros(1, np.int64)] + [codes[c >= least] for codes, c in levels]
+    kept = [np.zeros(1, np.int64)] + [found[c >= least] for found, c in levels]
     first = 1 + np.cumsum([0] + [len(k) for k in kept])
     total = int(first[-1])
     child = np.zeros(total * s, np.int32)
@@ -91,13 +98,15 @@ def fitted(texts: dict[str, list[bytes]], order: int = ORDER, contexts: int = CO
     # A class of several bytes shares its symbol's probability evenly.
     width = np.bincount(symbol, minlength=s).astype(float)
     cost = np.zeros((total * s + 1, len(languages)), np.float32)
-    for x, (symbols, codes) in enumerate(streams):
-        count = np.zeros((total, s))
+    for x, stream in enumerate(streams):
+        symbols = stream[0][stream[1]].astype(np.int64)
+        count = np.zeros((total, s), np.float32)
         for k in range(order + 1):
             if not len(kept[k]):
                 continue
-            at = np.minimum(np.searchsorted(kept[k], codes[k]), len(kept[k]) - 1)
-            hit = kept[k][at] == codes[k]
+            code = codes(stream, k)
+            at = np.minimum(np.searchsorted(kept[k], code), len(kept[k]) - 1)
+            hit = kept[k][at] == code
             seen_here = np.bincount(at[hit] * s + symbols[hit], minlength=len(kept[k]) * s)
             count[first[k] : first[k + 1]] = seen_here.reshape(-1, s)
         p = np.zeros((total, s))
