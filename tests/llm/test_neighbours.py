@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelmetrics.llm import neighbours
 
@@ -64,6 +65,42 @@ def test_recall_and_scores(vectors):
     assert hits / 300 >= 0.9
 
 
+def recall(rows, got, queries):
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    hits = 0
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == ids[q]} & set(ids[np.argsort(d)[:10]].tolist()))
+    return hits / (10 * len(queries))
+
+
+@pytest.mark.parametrize("share", [3, 50])
+def test_a_denser_source_first_in_the_file(llm, share):
+    """The first rows, or all but the last fiftieth, lie closer than the others; both are found alike."""
+    rng = np.random.default_rng(8)
+    n = 9000
+    dense = n // 3 if share == 3 else n - n // share
+    centres = 3 * rng.normal(size=(40, 32))
+    spread = np.where(np.arange(n) < dense, 0.5, 1.0 if share == 3 else 2.0)
+    x = (centres[rng.integers(0, 40, n)] + spread[:, None] * rng.normal(size=(n, 32))).astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    queries = [*range(0, dense, 100), *range(dense, n, 10 if share == 50 else 100)]
+    got = neighbours.search(df, df.filter(F.col("vec_id").isin(queries))).collect()
+    assert recall(rows, got, queries[-10:]) >= 0.9
+    assert recall(rows, got, [q for q in queries if q >= dense]) >= 0.9
+    assert recall(rows, got, [q for q in queries if q < dense]) >= 0.9
+
+
+def test_all_rows_are_searched_without_a_fit(vectors, monkeypatch):
+    monkeypatch.setattr(neighbours, "RECALL", 1.1)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).astype(np.float32).astype(float).tolist()) for i in range(500)]
+    got = neighbours.nearest_of_table(vectors(rows)).collect()
+    assert recall(rows, got, range(0, 500, 100)) == 1
+
+
 def test_ties_bad_vectors_and_few_rows(vectors):
     rows = [(0, [1.0, 0.0]), (5, [0.0, 1.0]), (4, [0.0, 1.0]), (9, [2.0, 0.0]), (9, [2.0, 0.0])]
     bad = [(1, None), (2, [0.0, 0.0]), (3, [NAN, 1.0]), (6, [INF, 1.0]), (7, [1.0, None]), (8, [1.0, 1.0, 1.0]), (10, []), (None, [1.0, 0.1]), (100, None), (200, [0.0, 0.0])]
