@@ -25,12 +25,13 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from reelmetrics.llm.shared import apart, appended, below_share, fold
 
-# Bounds of the sample that the trees are fitted on: expected texts of a language, and UTF-8 bytes of each.
+# Bounds of the sample that the trees are fitted on: expected texts of a language, and UTF-8 bytes taken of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 250, 32_768
 ORDER, CONTEXTS = 4, 16_384
 # Bytes that are scored at once.
 BLOCK = 1 << 18
 UNKNOWN = "und"
+LETTER = r"\p{L}"
 
 
 @dataclass(frozen=True)
@@ -75,11 +76,16 @@ def fitted(texts: dict[str, list[bytes]], order: int = ORDER, contexts: int = CO
             code += padded[at - j]
         return code
 
-    none = np.zeros(0, np.int64)
-    levels = [
-        np.unique(np.concatenate([none, *(codes(x, k) for x in streams)]), return_counts=True)
-        for k in range(1, order + 1)
-    ]
+    def counted(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of k bytes and how often they occur, a language's bytes at a time."""
+        found, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for stream in streams:
+            own, n = np.unique(codes(stream, k), return_counts=True)
+            found, place = np.unique(np.concatenate([found, own]), return_inverse=True)
+            count = np.bincount(place, np.concatenate([count, n]), len(found)).astype(np.int64)
+        return found, count
+
+    levels = [counted(k) for k in range(1, order + 1)]
     counts = np.concatenate([c for _, c in levels]) if levels else np.zeros(0, int)
     if len(counts) > contexts - 2:  # a context is at least as frequent as any longer one, so its parent is kept too
         least = np.sort(counts)[-(contexts - 2)] + 1
@@ -174,19 +180,22 @@ def code_lengths(trees: Trees, data: np.ndarray, offsets: np.ndarray, block: int
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """(lang, text): about ``rows`` ids of each language, those whose hash is least.
+    """(lang, text): about ``rows`` ids of each language, those whose hash is least, with their texts' bytes.
 
-    Only rows with a language and an id whose crc32 modulo 3 is not 1; texts over ``size`` bytes are left out.
+    Only rows with a language, a text with a letter, and an id whose crc32 modulo 3 is not 1; a language's ids are
+    counted among these. Of a text over ``size`` bytes a stretch of that size is taken, at a hashed place.
     """
-    learn = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    shares = learn.groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
-    fits = F.col("text").isNotNull() & (F.octet_length("text") <= size)
+    usable = F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (fold(F.col("doc_id"), 3) != 1)
+    learn = docs.filter(usable).select("lang", "text", F.xxhash64("doc_id").alias("_h"))
+    shares = learn.groupBy("lang").agg((F.lit(float(rows)) / F.approx_count_distinct("_h")).alias("_share"))
+    n = F.octet_length("text")
+    at = F.pmod(F.xxhash64("_h", n), F.greatest(n - size + 1, F.lit(1))).cast("int") + 1
+    stretch = F.substring(F.col("text").cast("binary"), at, F.lit(size))
     return (
-        learn.select("lang", "text", F.xxhash64(F.col("doc_id")).alias("_h"))
-        .join(F.broadcast(shares), "lang")  # a row for each language
-        .filter(below_share(F.col("_h"), F.col("_share")) & fits)
+        learn.join(F.broadcast(shares), "lang")  # a row for each language
+        .filter(below_share(F.col("_h"), F.col("_share")))
         .groupBy("lang", "_h")
-        .agg(F.max("text").alias("text"))
+        .agg(F.max(stretch).alias("text"))
         .select("lang", "text")
     )
 
@@ -195,7 +204,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) ->
     """Trees fitted on the bounded sample, whose rows are all that reaches the driver."""
     texts: dict[str, list[bytes]] = {}
     for lang, text in sample(docs, rows, size).orderBy("lang", "text").collect():
-        texts.setdefault(lang, []).append(text.encode())
+        whole = bytes(text).decode(errors="ignore").encode()  # without the characters that a stretch cuts
+        texts.setdefault(lang, []).append(whole)
     return fitted(texts)
 
 
@@ -240,7 +250,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
             found = (pa.array(names, pa.string()), pa.array(np.where(letters, probability, 0.0)), pa.array(low / n))
             yield appended(batch, kept, dict(zip(ADDED.names, found)))
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
     return docs.select(*kept, letters.alias("_letters")).mapInArrow(score, schema)
 
 

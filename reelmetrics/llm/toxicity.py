@@ -28,8 +28,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from reelmetrics.llm.shared import apart, appended, below_share, fold, written
 
-# Bounds of the fit: expected labelled documents of each class, bytes of a text in the sample, and entries of the lexicon.
-SAMPLE_ROWS, SAMPLE_BYTES, LEXICON = 6000, 65_536, 50_000
+# Bounds of the fit: expected labelled texts of each class, and entries of the lexicon.
+SAMPLE_ROWS, LEXICON = 6000, 50_000
 STEM = 5
 PRIOR, LEAST_Z, DRIFT = 2.0, 3.0, 0.25
 # Passages are reported up to this expected number of clean ones in a text of the same length.
@@ -119,22 +119,24 @@ def surprise(scores: list[float], n: int, scale: float, density: float) -> float
     return best
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """(toxic, part, text): distinct texts of about ``rows`` labelled ids a class, those whose hash is least.
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(toxic, part, text): about ``rows`` distinct labelled texts a class, those whose hash is least.
 
-    Only ids whose crc32 modulo 5 is not 0. An id with several labels is toxic if one is. Texts over ``size`` bytes
-    are left out. Every fourth text is in part 1, which calibrates, the others in part 0, which is counted.
+    Only ids whose crc32 modulo 5 is not 0, and texts with a word, of any length: a stretch might miss the passage
+    that the label is for. A class's texts are counted among these. An id with several labels, and a text with
+    several ids, is toxic if one is. Every fourth text is in part 1, which calibrates, the others in part 0, which
+    is counted.
     """
     known = labels.filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    shares = known.groupBy("toxic").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
-    ids = known.join(F.broadcast(shares), "toxic").filter(below_share(F.xxhash64("doc_id"), F.col("_share"))).drop("_share")
-    ids = F.broadcast(ids)  # two classes of about ``rows`` ids
-    fits = F.col("text").isNotNull() & (F.octet_length("text") <= size)
-    texts = docs.filter(fits).select("doc_id", "text").join(ids, "doc_id")
+    texts = docs.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", "text", F.xxhash64("text").alias("_h"))
     # One text for each id and one id for each text: copies would count a passage many times.
-    texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
-    texts = texts.groupBy(F.xxhash64("text").alias("_h")).agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    each = texts.groupBy("doc_id").agg(F.min("_h").alias("_h")).join(known, "doc_id")
+    each = each.groupBy("_h").agg(F.max("toxic").alias("toxic"))
+    shares = each.groupBy("toxic").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
+    chosen = each.join(F.broadcast(shares), "toxic").filter(below_share(F.col("_h"), F.col("_share"))).drop("_share")
+    texts = texts.join(F.broadcast(chosen), "_h")  # two classes of about ``rows`` hashes
+    texts = texts.groupBy("_h").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
     return texts.select("toxic", (F.pmod(F.col("_h"), F.lit(4)) == 0).cast("int").alias("part"), "text")
 
 

@@ -117,3 +117,28 @@ def test_nothing_to_learn_from(documents):
     assert langid.predict_documents(documents([])).collect() == []
     docs = documents([(1, "the thing", "en")]).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")
     assert [(r.lang_pred, r.score) for r in langid.predict_documents(docs).collect()] == [("und", 0.0)]
+
+
+def test_every_language_is_learned_from(documents):
+    """One has only long texts; one few texts among many null, empty and letterless ones, and copies of an id."""
+    docs = [(i, text_of("en", i), "en") for i in range(60)]
+    docs += [(100 + i, text_of("de", i, 9000), "de") for i in range(9)]
+    docs += [(10_000 + i, (None, "", " 12 ")[i % 3], "fr") for i in range(3000)]
+    docs += [(20_000, text_of("fr", 0), "fr")] * 3000
+    docs += [(200 + i, text_of("fr", i), "fr") for i in range(9)]
+    assert all(len(t.encode()) > langid.SAMPLE_BYTES for _, t, x in docs if x == "de")
+    df = documents(docs)
+    found = langid.sample(df).collect()
+    assert all(len(r.text) <= langid.SAMPLE_BYTES for r in found)
+    usable = {(x, i) for i, t, x in docs if t and t.strip(" 12") and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert sorted(r.lang for r in found) == sorted(x for x, _ in usable)
+    pred = {r.doc_id: r.lang_pred for r in langid.predict_documents(df).collect()}
+    assert all(pred[i] == x for i, t, x in docs if i < 1000)
+
+
+def test_stretches_of_long_texts_lie_apart_and_hold_whole_characters(documents):
+    docs = [(i, "".join(chr(0x4E00 + j) for j in range(20_000)), "zh") for i in range(30)]
+    found = [bytes(r.text) for r in langid.sample(documents(docs), size=1000).collect()]
+    assert all(len(t) == 1000 for t in found) and len(set(found)) > 10
+    trees = langid.train(documents(docs), size=1000)
+    assert trees.languages == ["zh"]

@@ -116,3 +116,23 @@ def test_words_follow_their_stems():
     words = ["vile", "scummer", "scumm", "clean"]
     assert toxicity.hits(words, lexicon) == [(0, 3.0), (1, 2.0)]
     assert len(list(itertools.chain(toxicity.segments(toxicity.hits(words, lexicon))))) == 1
+
+
+def test_a_class_of_long_documents_is_learned_from(documents, labels):
+    """Toxic texts are long; most labelled toxic ids have no text, no document, or copies of one text."""
+    rng = np.random.default_rng(3)
+    rows, marks = [], []
+    for i in range(200):
+        words = rng.choice(CLEAN, 60 if i % 5 else 14_000).tolist()
+        if i % 5 == 0:
+            words[7_000:7_008] = rng.choice(BAD, 8).tolist()
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, int(i % 5 == 0)))
+    assert all(len(t) > 65_536 for i, t in rows if i % 5 == 0)
+    rows += [(1000 + i, (None, "", "vile scum trash")[i % 3]) for i in range(3000)]
+    marks += [(1000 + i, 1, 1) for i in range(6000)]
+    found = toxicity.labelled(documents(rows), labels(marks), rows=60).collect()
+    usable = {i for i in range(0, 200, 5) if zlib.crc32(str(i).encode()) % 5}
+    assert sum(r.toxic for r in found) == len(usable) + 1
+    pred = {r.doc_id: r.predicted for r in toxicity.score_documents(documents(rows), labels(marks)).collect()}
+    assert np.mean([pred[i] == (i % 5 == 0) for i in range(200)]) > 0.95
