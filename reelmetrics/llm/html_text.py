@@ -2,9 +2,10 @@
 
 A page is read tag by tag into a tree, with the end tags that HTML leaves out (a paragraph ends where a block
 begins, a list item or cell where the next begins, and so on). Elements that a browser does not show are left out:
-heads, scripts and the like, ``hidden``, ``display:none`` and ``visibility:hidden`` (inline or by a style sheet's
-plain selectors), closed details and dialogs, and the options of a list that are not chosen. The rest is rendered
-in one walk; everything visible is kept.
+heads, scripts and the like, ``hidden``, ``display:none`` and ``visibility:hidden`` (inline or by the style sheets'
+cascade, html_style.py), closed details and dialogs, and the options of a list that are not chosen. Of a drawing its
+text elements and foreign objects are shown, of a formula all but annotations, of a button input its value. The rest
+is rendered in one walk; everything visible is kept.
 """
 
 from __future__ import annotations
@@ -20,13 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from reelmetrics.llm.html_style import Value, apply_sheets, declarations
 from reelmetrics.llm.shared import appended
 
 # Names that the HTML standard fixes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript".split())
 ESCAPED_RAW = {"title", "textarea"}
-UNSEEN = set("head script style template noscript title iframe noembed noframes datalist object video audio canvas svg math rp param".split())
+UNSEEN = set("head script style template noscript title iframe noembed noframes datalist object video audio canvas rp param annotation annotation-xml".split())
+# Parts of a drawing that are not shown where they stand.
+UNDRAWN = set("defs symbol desc title metadata clippath mask marker pattern lineargradient radialgradient filter style script".split())
+BUTTONS = {"submit", "reset", "button"}
+# HTML may stand in these parts of formulas and drawings; elsewhere in them, the elements of BREAKOUT end them.
+INTEGRATION = set("mi mo mn ms mtext annotation-xml foreignobject desc title".split())
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote table pre hr figure fieldset address xmp menu dir".split())
 LINES = set("html body div section article aside header footer main nav form li dt dd tr caption thead tbody tfoot figcaption details summary legend center hgroup search dialog option optgroup select".split())
 ENDS_PARAGRAPH = SPACED | set("div section article aside header footer main nav form li dt dd details summary figcaption center hgroup search dialog".split())
@@ -54,9 +62,6 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]*))?""")
 TAG_END = re.compile(r"[\s/]*>?")
 BLANK = re.compile(r"[ \t\n\r\f]+")
-SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?$", re.I)
-NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 FIXED_SPACE = "\N{NO-BREAK SPACE}"
 
 
@@ -65,13 +70,14 @@ class Element:
     name: str
     attributes: dict[str, str]
     children: list = field(default_factory=list)  # elements and texts
+    styles: dict[str, Value] = field(default_factory=dict)  # what the style sheets set
 
 
 def parsed(source: str) -> tuple[Element, list[str]]:
     """The tree of a page, and its style sheets."""
     root = Element("html", {})
     stack, sheets = [root], []
-    at, end = 0, len(source)
+    at, end, embedded = 0, len(source), False
 
     def add_text(text: str) -> None:
         if text:
@@ -88,6 +94,11 @@ def parsed(source: str) -> tuple[Element, list[str]]:
         if cut is not None:
             del stack[cut:]
 
+    def in_foreign() -> bool:
+        """Whether the open element is part of a formula or drawing, and not one that holds HTML."""
+        names = (e.name for e in reversed(stack))
+        return next((n for n in names if n in ("svg", "math") or n in INTEGRATION), "") in ("svg", "math")
+
     while at < end:
         tag = source.find("<", at)
         if tag < 0:
@@ -115,7 +126,8 @@ def parsed(source: str) -> tuple[Element, list[str]]:
                 value = value[1:].removesuffix(value[0])
             attributes.setdefault(a[1].lower(), html.unescape(value))
             at = a.end()
-        at = TAG_END.match(source, at).end()
+        tag_end = TAG_END.match(source, at)
+        at = tag_end.end()
         if closing:
             if name == "br":
                 stack[-1].children.append(Element("br", {}))
@@ -129,6 +141,11 @@ def parsed(source: str) -> tuple[Element, list[str]]:
         if name == "html":
             root.attributes = attributes | root.attributes
             continue
+        foreign = embedded and in_foreign()
+        if foreign and name in BREAKOUT:
+            while in_foreign():
+                stack.pop()
+            foreign = False
         if name in ENDS_PARAGRAPH:
             close({"p"}, SCOPES)
         if name in HEADINGS and stack[-1].name in HEADINGS:
@@ -137,9 +154,10 @@ def parsed(source: str) -> tuple[Element, list[str]]:
             close(*IMPLIED[name])
         if stack[-1].name == "head" and name in ENDS_PARAGRAPH | {"span", "a", "b", "i"}:
             stack.pop()
+        embedded = embedded or name in ("svg", "math")
         element = Element(name, attributes)
         stack[-1].children.append(element)
-        if name in VOID:
+        if name in VOID or (foreign or name in ("svg", "math")) and tag_end[0].endswith("/>"):
             continue
         if name in RAW or name in ESCAPED_RAW:
             stop = re.compile(f"</{name}(?=[\\s/>])", re.I).search(source, at)
@@ -159,31 +177,33 @@ def parsed(source: str) -> tuple[Element, list[str]]:
     return root, sheets
 
 
-def hiding_rules(sheets: list[str]) -> set[tuple[str, str, str]]:
-    """(tag or '', '.' or '#' or '', name) of the plain selectors that a style sheet sets to display:none."""
-    found = set()
-    for sheet in sheets:
-        for rule in re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S).split("}"):
-            selectors, _, body = rule.rpartition("{")
-            if NO_DISPLAY.search(body):
-                for s in selectors.split(","):
-                    m = SIMPLE.match(s.strip())
-                    if m and s.strip():
-                        found.add(((m[1] or "").lower(), m[2] or "", m[3] or ""))
-    return found
+def style(e: Element, name: str) -> str | None:
+    """The display or visibility that an element is given, inline or by the style sheets."""
+    sheet, own = e.styles.get(name), None
+    if "style" in e.attributes:
+        own = declarations(e.attributes["style"]).get(name)
+    if own is None or sheet is not None and sheet[0] and not own[0]:
+        own = sheet
+    return own[1] if own is not None else None
 
 
-def shown(e: Element, rules: set[tuple[str, str, str]]) -> bool:
+def shown(e: Element) -> bool:
     """Whether an element takes part in the layout."""
     a = e.attributes
-    if e.name in UNSEEN or "hidden" in a or e.name == "dialog" and "open" not in a:
+    if e.name in UNSEEN or e.name == "input" and a.get("type", "").strip().lower() not in BUTTONS:
         return False
-    if e.name == "input" or NO_DISPLAY.search(a.get("style", "")):
+    display = style(e, "display")
+    if display is None or display in ("revert", "revert-layer"):  # as the browser's own sheet has it
+        return not ("hidden" in a or e.name == "dialog" and "open" not in a)
+    return display != "none"
+
+
+def seen_in(e: Element, inherited: bool) -> bool:
+    """Whether an element's own text is visible, given whether that of the element around it is."""
+    value = style(e, "visibility")
+    if e.name == "mphantom":
         return False
-    if rules:
-        marks = [("", "")] + [(".", c) for c in a.get("class", "").split()] + ([("#", a["id"])] if "id" in a else [])
-        return not any((tag, *mark) in rules for tag in ("", e.name) for mark in marks)
-    return True
+    return inherited if value not in ("visible", "initial", "hidden", "collapse") else value in ("visible", "initial")
 
 
 class Page:
@@ -229,23 +249,33 @@ class Page:
         return "\n".join(self.lines).strip("\n").replace(FIXED_SPACE, " ")
 
 
-def render(e: Element, page: Page, rules: set, pre: bool = False, visible: bool = True, level: int = 0) -> None:
+def render(e: Element, page: Page, pre: bool = False, visible: bool = True, level: int = 0) -> None:
     for child in e.children:
         if isinstance(child, str):
             if visible:
                 page.words(child, pre)
             continue
-        if not shown(child, rules):
+        if not shown(child):
             continue
-        m = VISIBILITY.search(child.attributes.get("style", ""))
-        seen = visible if m is None else m[1].lower() == "visible"
+        seen = seen_in(child, visible)
         name = child.name
+        if name == "input":
+            if seen:
+                page.words(child.attributes.get("value", ""), pre)
+            continue
+        if name == "svg":
+            render_drawing(child, page, seen)
+            continue
+        if name in ("mtr", "mlabeledtr"):
+            page.space(1)
+        if name == "mtd":
+            page.words(" ", False)
         if name == "br":
             page.flush(always=True)
             continue
         if name == "table":
             page.space(2)
-            for line in table_lines(child, rules, seen):
+            for line in table_lines(child, seen):
                 page.line = line
                 page.flush(always=True)
             page.space(2)
@@ -261,39 +291,59 @@ def render(e: Element, page: Page, rules: set, pre: bool = False, visible: bool
         if gap:
             page.space(gap)
         if name in ("ul", "ol", "menu", "dir"):
-            render_list(child, page, rules, seen, level + 1)
+            render_list(child, page, seen, level + 1)
         elif name in ("blockquote", "dd"):
             before, page.indent = page.indent, page.indent + "  "
-            render(child, page, rules, pre, seen, level)
+            render(child, page, pre, seen, level)
             page.flush()
             page.indent = before
         elif name == "q":
             page.words("“", pre)
-            render(child, page, rules, pre, seen, level)
+            render(child, page, pre, seen, level)
             page.words("”", pre)
         else:
-            render(child, page, rules, pre or name in ("pre", "textarea", "xmp"), seen, level)
+            render(child, page, pre or name in ("pre", "textarea", "xmp"), seen, level)
         if gap:
             page.space(gap)
 
 
-def render_list(e: Element, page: Page, rules: set, visible: bool, level: int) -> None:
+def render_drawing(e: Element, page: Page, visible: bool) -> None:
+    """The text elements of a drawing, set apart by spaces, and its foreign objects."""
+    for child in e.children:
+        if isinstance(child, str) or child.name in UNDRAWN or not shown(child):
+            continue
+        if "display" not in child.attributes or style(child, "display") is not None or child.attributes["display"].strip() != "none":
+            seen = seen_in(child, visible)
+            if style(child, "visibility") is None and child.attributes.get("visibility", "").strip() in ("hidden", "collapse"):
+                seen = False
+            if child.name == "text":
+                page.words(" ", False)
+                render(Element("text", {}, [c for c in child.children if isinstance(c, str) or c.name not in UNDRAWN]), page, False, seen)
+                page.words(" ", False)
+            elif child.name == "foreignobject":
+                page.space(1)
+                render(child, page, False, seen)
+                page.space(1)
+            else:
+                render_drawing(child, page, seen)
+
+
+def render_list(e: Element, page: Page, visible: bool, level: int) -> None:
     items = sum(isinstance(c, Element) and c.name == "li" for c in e.children)
     step = -1 if "reversed" in e.attributes else 1
     number = _number(e.attributes.get("start"), items if step < 0 else 1)
     for child in e.children:
         if isinstance(child, str) or child.name != "li":
-            render(Element("li", {}, [child]), page, rules, False, visible, level)
+            render(Element("li", {}, [child]), page, False, visible, level)
             continue
-        if not shown(child, rules):
+        if not shown(child):
             continue
         number = _number(child.attributes.get("value"), number)
         page.space(1)
         before = page.indent
         page.mark = f"{number}. " if e.name == "ol" else "- "
         number += step
-        m = VISIBILITY.search(child.attributes.get("style", ""))
-        render(child, page, rules, False, visible if m is None else m[1].lower() == "visible", level)
+        render(child, page, False, seen_in(child, visible), level)
         page.space(1)
         page.indent, page.mark = before, ""
 
@@ -320,21 +370,20 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def table_lines(e: Element, rules: set, visible: bool) -> Iterator[str]:
+def table_lines(e: Element, visible: bool) -> Iterator[str]:
     """A table's lines: its captions, then its rows with columns padded to one width and set apart by ' | '."""
     rows: list[list[tuple[list[str], int, int]]] = []
 
-    def lines_of(cell: Element) -> list[str]:
+    def lines_of(cell: Element, inherited: bool) -> list[str]:
         page = Page()
-        m = VISIBILITY.search(cell.attributes.get("style", ""))
-        render(cell, page, rules, False, visible if m is None else m[1].lower() == "visible")
+        render(cell, page, False, seen_in(cell, inherited))
         text = page.text()
         return text.split("\n") if text else []
 
     outside: list[list[str]] = []
-    waiting = [e]
+    waiting = [(e, visible)]
     while waiting:
-        part = waiting.pop()
+        part, seen = waiting.pop()
         loose = []
         for child in part.children:
             if isinstance(child, Element) and child.name in ("thead", "tbody", "tfoot", "tr", "caption", "td", "th"):
@@ -343,7 +392,7 @@ def table_lines(e: Element, rules: set, visible: bool) -> Iterator[str]:
                 continue
             loose.append(child)
         if loose and part.name != "tr":
-            outside.append(lines_of(Element("div", {}, loose)))
+            outside.append(lines_of(Element("div", {}, loose), seen))
         elif loose:
             kept = [c for c in part.children if not isinstance(c, str) or c.strip()]
             cell = [isinstance(c, Element) and c.name in ("td", "th") for c in kept]
@@ -351,16 +400,16 @@ def table_lines(e: Element, rules: set, visible: bool) -> Iterator[str]:
         below = []
         cells = []
         for child in part.children:
-            if not isinstance(child, Element) or not shown(child, rules):
+            if not isinstance(child, Element) or not shown(child):
                 continue
             if child.name in ("thead", "tbody", "tfoot", "tr"):
-                below.append(child)
+                below.append((child, seen_in(child, seen)))
             elif child.name == "caption":
-                outside.append(lines_of(child))
+                outside.append(lines_of(child, seen))
             elif child.name in ("td", "th"):
                 a = child.attributes
                 across = min(max(_number(a.get("colspan"), 1), 1), 1000)
-                cells.append((lines_of(child), across, min(max(_number(a.get("rowspan"), 1), 1), 65534)))
+                cells.append((lines_of(child, seen), across, min(max(_number(a.get("rowspan"), 1), 1), 65534)))
         if cells:
             rows.append(cells)
         waiting.extend(reversed(below))
@@ -394,8 +443,10 @@ def table_lines(e: Element, rules: set, visible: bool) -> Iterator[str]:
 def visible_text(source: str | None) -> str:
     """The visible text of a page; that of a null page is empty."""
     root, sheets = parsed(source or "")
+    apply_sheets(root, sheets)
     page = Page()
-    render(root, page, hiding_rules(sheets))
+    if shown(root):
+        render(root, page, visible=seen_in(root, True))
     return page.text()
 
 

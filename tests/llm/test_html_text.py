@@ -49,6 +49,33 @@ def test_layout(source):
     assert html_text.visible_text(source) == CASES[source]
 
 
+STYLED = {
+    "<style>@media print{.a{color:red}.b{display:none}} @media (max-width:600px){.a{x:y} .c{display:none}}</style><p class=b>1<p class=c>2": "1\n\n2",
+    "<style>@media screen and (min-width:600px){.x{color:red}.b{display:none}}</style><p class=b>1<p>2": "2",
+    "<style>.tab{display:none} .tab.on{display:block}</style><p class=tab>1<p class='tab on'>2": "2",
+    "<style>.t{display:none} .open > .t, .no:hover{display:block}</style><p class=t>1<div class=open><p class=t>2</div>": "2",
+    "<style>.t{display:none}</style><p class=t style='display:block'>1<p class=t>2": "1",
+    "<style>.t{display:none!important}</style><p class=t style='display:block'>1<p>2": "2",
+    "<style>.t{display:none} .t{display:block}#i{display:none}</style><p class=t>1<p class=t id=i>2": "1",
+    "<style>.h{visibility:hidden} .h b{visibility:visible}</style><p class=h>1<b>2</b>": "2",
+    "<style>tr.h{visibility:hidden}</style><table><tr class=h><td>1<tr><td>2</table>": "2",
+    "<style>.m\\:h{display:none} a[href^='x']{display:none} p:not(.k) i{display:none}</style><b class='m:h'>1</b><a href=xy>2</a><p><i>3</i><p class=k><i>4</i>": "4",
+    "<style>p{content:'}'} .b{background:url(a);display:none}</style><p class=b>1<p>2": "2",
+    "<style>.b{display:none</style><p class=b>1<p>2": "2",
+    "<style>.a,.b{display:none}@media (width >= 50em){.a{display:block}}@media not print{.b{display:BLOCK}}</style><p class=a>1<p class=b>2": "1\n\n2",
+    "<style>.b:is(p,i),q{display:none} .c{display:none;display:bogus}</style><p class=b>1<p class=c>2<p>3": "3",
+    "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>": "x=2",
+    "<svg viewBox=x><title>no</title><defs><text>no</text></defs><path d='M0'/><g><text x=1>a<tspan>b</tspan></text></g><text>c</text>no</svg><p>d": "ab c\n\nd",
+    "<svg><path><p>out": "out",
+    "<input type=submit value=Go> <input type=BUTTON value=b><input type=text value=no><input type=hidden value=no>": "Go b",
+}
+
+
+@pytest.mark.parametrize("source", STYLED)
+def test_style_sheets_and_embedded_text(source):
+    assert html_text.visible_text(source) == STYLED[source]
+
+
 def test_wide_characters_keep_columns_aligned():
     assert html_text.visible_text("<table><tr><td>日本<td>a<tr><td>abcd<td>b</table>") == "日本 | a\nabcd | b"
 
