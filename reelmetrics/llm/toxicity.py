@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
             rows = []
             for text in batch.column(1).to_pylist():
                 words = WORD.findall(text.lower())
-                rows.append((len(words), [s.score for s in segments(hits(words, lexicon))][:1000]))
+                rows.append((len(words), [s.score for s in segments(hits(words, lexicon))]))
             n, scores = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))
             yield appended(batch, ["toxic"], {"n": n, "scores": scores})
 

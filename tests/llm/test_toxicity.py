@@ -136,3 +136,14 @@ def test_a_class_of_long_documents_is_learned_from(documents, labels):
     assert sum(r.toxic for r in found) == len(usable) + 1
     pred = {r.doc_id: r.predicted for r in toxicity.score_documents(documents(rows), labels(marks)).collect()}
     assert np.mean([pred[i] == (i % 5 == 0) for i in range(200)]) > 0.95
+
+
+def test_calibration_sees_every_segment(documents, labels, monkeypatch):
+    rows, marks = corpus()
+    for i in range(1000, 1016):
+        rows.append((i, f"n{i} " + " ".join(f"vile {' '.join(CLEAN * 2)}" for _ in range(1500))))
+        marks.append((i, 1, 1))
+    seen, own = [], toxicity.surprise
+    monkeypatch.setattr(toxicity, "surprise", lambda scores, *rest: seen.append(len(scores)) or own(scores, *rest))
+    toxicity.train(documents(rows), labels(marks))
+    assert max(seen) >= 1500
