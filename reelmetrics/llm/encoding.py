@@ -9,7 +9,9 @@ character without a piece gives its bytes, of which the last has the character's
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from reelmetrics.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, to
 from reelmetrics.llm.shared import appended, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
-# Entries of the table of words that were encoded before.
-SEEN = 500_000
+# Words that were encoded before are kept in two tables of so many entries, a newer and an older one: some 50 MB each.
+SEEN = 300_000
 
 
 class Encoder:
@@ -30,16 +32,14 @@ class Encoder:
         self.model, self.normalizer, self.transducer = tools(data)
         self.fast = self.normalizer.plain and self.model.dummy_prefix
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # Characters that stand side by side in some piece; between two others nothing is ever merged.
+        self.joined = {a + b for piece in self.model.ids for a, b in zip(piece, piece[1:])}
         names, kinds = self.model.names, self.model.kinds
         self.sizes = np.array([0 if k == BYTE else len(n.encode()) for n, k in zip(names, kinds)], np.int64)
         self.byte = np.full(len(names), -1)
         self.byte[self.model.byte_ids] = np.arange(256)
 
-    def clear(self) -> None:
-        """Give the tables' memory back; a worker may go on to other work."""
-        self.seen.clear()
-        self.transducer.clear()
-
     def segment(self, text: str) -> bytes:
         """Ids of normalised text, as bytes."""
         ids: list[int] = []
@@ -51,6 +51,17 @@ class Encoder:
                 ids.extend([self.model.byte_ids[b] for b in piece.encode()])
         return np.array(ids, "<u4").tobytes()
 
+    def word(self, key: str) -> bytes:
+        """Ids of a word; its last marks are cut off where no piece reaches over, so that the rest may be known."""
+        head = key.rstrip(string.punctuation)
+        n = len(head)
+        if not n or n == len(key) or key[n - 1 : n + 1] in self.joined:
+            return self.segment(self.transducer.normalized_word(key))
+        known = self.seen.get(head) or self.older.get(head)
+        if known is None:
+            known = self.seen[head] = self.segment(self.transducer.normalized_word(head))
+        return known + self.segment(key[n:])
+
     def covered(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of normalised text that each piece covers; of a character's byte pieces the last covers all."""
         sizes, byte = self.sizes[ids], self.byte[ids]
@@ -65,14 +76,12 @@ class Encoder:
         n, align = self.normalizer, None
         words = self.transducer.words(text) if self.fast and text else None
         if words is not None:
-            seen = self.seen
-            new = {w for w in words if w not in seen}
-            if len(seen) + len(new) > SEEN:
-                seen.clear()
-                new = set(words)
-            for w in new:
-                seen[w] = self.segment(self.transducer.normalized_word(w))
+            seen, older = self.seen, self.older
+            for w in {w for w in words if w not in seen}:
+                seen[w] = older.get(w) or self.word(w)
             ids = np.frombuffer(b"".join([seen[w] for w in words]), "<u4")
+            if len(seen) > SEEN:
+                self.older, self.seen = seen, {}
         else:
             if n.plain:
                 norm = n.prefix(text) + text.replace(" ", SPACE)
@@ -84,6 +93,12 @@ class Encoder:
         return ids, places.astype("<u4")
 
 
+@lru_cache(maxsize=1)
+def encoder_of(data: bytes) -> Encoder:
+    """A model's encoder, kept with its tables for later tasks of a Python worker."""
+    return Encoder(data)
+
+
 def _plain_places(text: str, ends: np.ndarray, prefix: int) -> np.ndarray:
     """Places in the text for places in a normalised text whose only changes are a first mark and marked spaces.
 
@@ -177,7 +192,7 @@ def encode(docs: DataFrame, model: str = MODEL, marks: bool = True, decoded: boo
     schema = StructType([docs.schema[c] for c in kept] + [StructField(n, t) for n, t in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(data)
+        encoder = encoder_of(data)
         decoder = Decoder(encoder.model)
         head, tail = ([i] if marks else [] for i in (encoder.model.begin, encoder.model.end))
         for batch in batches:
@@ -193,7 +208,6 @@ def encode(docs: DataFrame, model: str = MODEL, marks: bool = True, decoded: boo
                 if decoded:
                     columns["decoded"] = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
                 yield appended(part, kept, columns)
-        encoder.clear()
 
     return docs.mapInArrow(run, schema)
 
