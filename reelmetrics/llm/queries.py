@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import alignment, chat, decontamination, encoding, html_text, langid, neighbours, sharding, simhash, token_counts, toxicity
+from reelmetrics.llm import alignment, chat, decontamination, encoding, html_text, langid, neighbours, quality, sharding, simhash, token_counts, toxicity
 from reelmetrics.llm.shared import table
 
 
@@ -60,6 +60,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
+    "op11_quality_classifier": op11_quality_classifier,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
