@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from reelmetrics.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, tools
+from reelmetrics.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, merged_short, tools
 from reelmetrics.llm.shared import appended, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 # Words that were encoded before are kept in two tables of so many entries, a newer and an older one: some 50 MB each.
 SEEN = 300_000
+# Characters of a segment that is merged step by step; longer ones are read off the trie, in linear time.
+SHORT = 24
 
 
 class Encoder:
@@ -33,6 +35,7 @@ class Encoder:
         self.fast = self.normalizer.plain and self.model.dummy_prefix
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.rank = {piece: -score for piece, score in self.model.scores.items()}
         # Characters that stand side by side in some piece; between two others nothing is ever merged.
         self.joined = {a + b for piece in self.model.ids for a, b in zip(piece, piece[1:])}
         names, kinds = self.model.names, self.model.kinds
@@ -43,7 +46,7 @@ class Encoder:
     def segment(self, text: str) -> bytes:
         """Ids of normalised text, as bytes."""
         ids: list[int] = []
-        for piece in self.transducer.pieces(text):
+        for piece in merged_short(text, self.rank) if len(text) <= SHORT else self.transducer.pieces(text):
             known = self.model.ids.get(piece)
             if known is not None:
                 ids.append(known)

@@ -13,6 +13,7 @@ States and transitions are made when first met and kept for the texts that follo
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from dataclasses import dataclass
@@ -131,6 +132,28 @@ def merged(text: str, scores: dict[str, float]) -> tuple[list[str], tuple[str, s
     return [s for s in symbols if s is not None], final
 
 
+def merged_short(text: str, rank: dict[str, float]) -> list[str]:
+    """The pieces of a short text by merging; the work is quadratic, but in few and simple steps.
+
+    ``rank`` has minus the score of each piece.
+    """
+    symbols = list(text)
+    none = math.inf
+    ranks = [rank.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+    while ranks:
+        best = min(ranks)
+        if best == none:
+            break
+        i = ranks.index(best)
+        pair = symbols[i] = symbols[i] + symbols[i + 1]
+        del symbols[i + 1], ranks[i]
+        if i < len(ranks):
+            ranks[i] = rank.get(pair + symbols[i + 1], none)
+        if i:
+            ranks[i - 1] = rank.get(symbols[i - 1] + pair, none)
+    return symbols
+
+
 class State(dict):
     """Transitions by character: (next state, change in the number of pieces).
 
