@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import alignment, chat, decontamination, encoding, html_text, langid, neighbours, quality, sharding, simhash, token_counts, toxicity
+from reelmetrics.llm import alignment, chat, decontamination, encoding, html_text, langid, negatives, neighbours, quality, sharding, simhash, token_counts, toxicity
 from reelmetrics.llm.shared import table
 
 
@@ -64,6 +64,12 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are moved by one where vec_id is divisible by 7, as the task has it."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
     "op11_quality_classifier": op11_quality_classifier,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
