@@ -7,63 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import SLICE, day_slice, join_null_safe
+from reelmetrics.operators.ranges import RANGE, border_keys, ranged, with_borders
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], order: str, identifier: str, previous: str = "previous", following: str = "following"
+    df: DataFrame, keys: Sequence[str], order: str, identifier: str | None = None,
+    previous: str = "previous", following: str = "following",
 ) -> DataFrame:
     """keys, order, and the ``order`` value of the row before and after, per key; NULL is a key like others.
 
-    Rows of the same moment follow each other in the order of ``identifier``. Neighbours are found
-    by way of the distinct moments, so that no window sees the raw rows: of the rows that share a
-    moment only the first looks back to an earlier moment and only the last looks ahead to a later
-    one; all others see their own. Rows that agree in key, moment and identifier are counted and
-    written out again.
+    Rows of the same moment follow each other in the order of ``identifier``, where there is one. Inside a range of
+    (key, moment, identifier) neighbours are found by a window; of a key that is open at a border, a range hands on
+    its first and its last moment only.
     """
     keys = list(keys)
-    rows = df.groupBy(*keys, order, identifier).agg(F.count(F.lit(1)).alias("__copies"))
-    moments = rows.groupBy(*keys, order).agg(
-        F.min(identifier).alias("__first"), F.max(identifier).alias("__last")
-    )
-    placed = join_null_safe(
-        rows, moment_neighbours(moments, keys, order, previous, following), [*keys, order]
-    )
-    copies = placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    is_first = (F.col(identifier) == F.col("__first")) & (F.col("__copy") == 1)
-    is_last = (F.col(identifier) == F.col("__last")) & (F.col("__copy") == F.col("__copies"))
-    return copies.select(
+    ordered = [order, identifier] if identifier else [order]
+    rows = ranged(df.select(*keys, *ordered), keys, ordered)
+    within = Window.partitionBy(RANGE, *keys)
+    w = within.orderBy(*ordered)
+    moment = F.struct(F.col(order).alias("moment"))  # NULL is a moment too
+    borders = border_keys(rows, keys, {"__first": F.min(moment), "__last": F.max(moment)})
+    along = Window.partitionBy(*keys).orderBy(RANGE)
+    borders = borders.withColumn("__before", F.lag("__last").over(along)).withColumn("__after", F.lead("__first").over(along))
+    joined = with_borders(rows, borders, keys, within, ["__before", "__after"])
+    is_first, is_last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+    return joined.select(
         *keys,
         order,
-        F.when(is_first, F.col(previous)).otherwise(F.col(order)).alias(previous),
-        F.when(is_last, F.col(following)).otherwise(F.col(order)).alias(following),
-    )
-
-
-def moment_neighbours(
-    moments: DataFrame, keys: Sequence[str], order: str, previous: str, following: str
-) -> DataFrame:
-    """The moment before and after each distinct moment of a key, cut by day."""
-    keys = list(keys)
-    rows = moments.withColumn(SLICE, day_slice(order))
-    w = Window.partitionBy(*keys, SLICE).orderBy(order)
-    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
-    edges = (
-        rows.groupBy(*keys, SLICE)
-        .agg(F.min(order).alias("__min"), F.max(order).alias("__max"))
-        .select(
-            *keys,
-            SLICE,
-            F.lag("__max").over(by_slice).alias("__before"),
-            F.lead("__min").over(by_slice).alias("__after"),
-        )
-    )
-    inside = rows.withColumn(previous, F.lag(order).over(w)).withColumn(following, F.lead(order).over(w))
-    return (
-        join_null_safe(inside, edges, [*keys, SLICE])
-        .withColumn(previous, F.coalesce(previous, "__before"))
-        .withColumn(following, F.coalesce(following, "__after"))
-        .drop(SLICE, "__before", "__after")
+        F.when(is_first, F.col("__before.moment")).otherwise(F.lag(order).over(w)).alias(previous),
+        F.when(is_last, F.col("__after.moment")).otherwise(F.lead(order).over(w)).alias(following),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelmetrics.functions import dates as d
 from reelmetrics.operators import period
-from reelmetrics.operators.gaps import latest, moment_neighbours, neighbours
+from reelmetrics.operators.gaps import latest, neighbours
 from reelmetrics.operators.ranking import top, top_by_value
 from reelmetrics.plans.periods import mean_days
 from reelmetrics.plans.rankings import film_counts, with_titles
@@ -268,7 +268,7 @@ QUALIFY rank() OVER (ORDER BY max(gap) DESC) = 1""")
 def staff_with_longest_gap(shop):
     # Equal dates add no gap, so distinct moments are enough and far fewer.
     moments = shop.staffed_rentals.select("staff_id", "rental_date").distinct()
-    gaps = moment_neighbours(moments, ["staff_id"], "rental_date", "prev", "next").withColumn(
+    gaps = neighbours(moments, ["staff_id"], "rental_date", previous="prev").withColumn(
         "gap", d.days_between("rental_date", "prev")
     )
     longest = gaps.groupBy("staff_id").agg(F.max("gap").alias("longest_gap_days"))
