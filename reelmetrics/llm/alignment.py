@@ -15,7 +15,9 @@ back shuffle a link once for each block that has it.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -96,11 +98,22 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+# Fixed: how a byte-level vocabulary cuts a text before merging.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The faster library fails on a run of spaces of some hundred thousand; texts with such runs go to the other one.
+LONG_SPACE = re.compile(r"\s{4096}")
+
+
 class Tokenizers:
-    """Both tokenizers, the bytes of their ids, and the ids as text followed by each of the three marks."""
+    """Both tokenizers, the bytes of their ids, and the ids as text followed by each of the three marks.
+
+    The byte-level file is read by two libraries that give the same ids (a test compares them for every character):
+    the one for its format, and a faster one where ids are the order of merges, as they are in this file.
+    """
 
     def __init__(self, first: bytes, second: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -108,6 +121,15 @@ class Tokenizers:
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
         alphabet = _byte_alphabet()
+        spec = json.loads(first)
+        words, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        joined = (m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in merges)
+        cutting = spec["pre_tokenizer"]
+        plain = cutting["type"] == "ByteLevel" and cutting["use_regex"] and not cutting["add_prefix_space"] and not spec["normalizer"]
+        self.fast = None
+        if plain and all(words.get(m) == 256 + i for i, m in enumerate(joined)):
+            ranks = {bytes(alphabet[c] for c in name): i for name, i in words.items() if i < 256 + len(merges)}
+            self.fast = tiktoken.Encoding("byte level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         vocabulary = self.first.get_vocab()
         names = [b""] * (max(vocabulary.values()) + 1)
         for name, i in vocabulary.items():
@@ -120,9 +142,14 @@ class Tokenizers:
         n = max(len(names), len(other))
         self.marked = np.array([[f"{i}{mark}" for i in range(n)] for mark in ",|;"], object)
 
+    def first_ids(self, text: str) -> list[int]:
+        if self.fast is not None and not LONG_SPACE.search(text):
+            return self.fast.encode_ordinary(text)
+        return self.first.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both tokenizers; none where the bytes of either differ from a space and the text."""
-        a = [x.ids for x in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = [self.first_ids(" " + t) for t in texts]
         b = self.second.encode(texts, num_threads=1)
         first, second = self.bytes
         found = []

@@ -118,6 +118,19 @@ def test_other_types_of_id(llm):
     assert {r.doc_id for r in alignment.align_documents(df).collect()} == {"a", None}
 
 
+def test_both_libraries_cut_every_character_alike(libraries):
+    with open(tokenizer_path(alignment.FIRST), "rb") as first, open(tokenizer_path(alignment.SECOND), "rb") as second:
+        tools = alignment.Tokenizers(first.read(), second.read())
+    assert tools.fast is not None
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(characters), 50_000):
+        texts = [f" x{c}y1{c}2 {c}!{c}'s{c} \n{c}" for c in characters[at : at + 50_000]]
+        want = libraries[0].encode_batch_fast(texts, add_special_tokens=False)
+        assert [tools.fast.encode_ordinary(t) for t in texts] == [x.ids for x in want]
+    for text in (" " * 300_000 + "x", "\n" * 5000, "ab" * 20_000):
+        assert tools.first_ids(text) == libraries[0].encode(text, add_special_tokens=False).ids
+
+
 ENDS = st.lists(st.integers(1, 300), min_size=1, max_size=60, unique=True).map(sorted)
 
 
