@@ -41,18 +41,16 @@ def dense_calendar(df: DataFrame, by: Sequence[str], index: str, values: dict[st
 
 
 def streaks(df: DataFrame, by: Sequence[str], index: str, at_least: int) -> DataFrame:
-    """Runs of consecutive ``index`` values (unique per key): first, last and length."""
-    by = list(by)
-    island = F.col(index) - F.row_number().over(series(by, index))
-    return (
-        df.select(*by, index)
-        .withColumn("__island", island)
-        .groupBy(*by, "__island")
-        .agg(
-            F.min(index).alias("first_index"),
-            F.max(index).alias("last_index"),
-            F.count(F.lit(1)).alias("length"),
-        )
-        .filter(F.col("length") >= at_least)
-        .drop("__island")
-    )
+    """Runs of consecutive ``index`` values: first, last and length; repeated and null values do not matter.
+
+    A key's periods are gathered as a set, on each map task first, and its runs read off the sorted set: a run
+    begins where the period before is absent and ends where the next one is. One shuffle, and no window.
+    """
+    sets = df.groupBy(*by).agg(F.sort_array(F.collect_set(index)).alias("__set"))
+    every = F.col("__set")
+    first = F.filter(every, lambda x, i: (i == 0) | (x - F.get(every, i - 1) > 1))
+    last = F.filter(every, lambda x, i: (i == F.size(every) - 1) | (F.get(every, i + 1) - x > 1))
+    runs = F.arrays_zip(first.alias("first_index"), last.alias("last_index"))
+    length = (F.col("last_index") - F.col("first_index") + 1).alias("length")
+    found = sets.select(*by, F.inline(runs)).toDF(*by, "first_index", "last_index")
+    return found.select("*", length).filter(F.col("length") >= at_least)

@@ -19,7 +19,7 @@ RANGE = "__range"
 SIGN, ROWS, SEEN = "__sign", "__rows", "__seen"
 
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The rows with the number of their range, each range in one partition.
 
     Rows that are equal in keys and order may be cut apart too, by a number of their own.
@@ -31,10 +31,15 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
 
 def border_keys(rows: DataFrame, keys: Sequence[str], stats: dict[str, Column]) -> DataFrame:
-    """(range, keys, stats): of every range its first and its last key, with aggregates of their rows in it."""
+    """(range, keys, stats): of every range its first and its last key, with aggregates of their rows in it.
+
+    Without keys it is one row for each range.
+    """
     each = rows.groupBy(RANGE, *keys).agg(
         *(c.alias(n) for n, c in stats.items()), F.count(F.lit(1)).alias(ROWS), F.max(SIGN).alias(SEEN)
     )
+    if not keys:
+        return each
     row = F.struct(*keys, *stats, ROWS, SEEN)
     ends = each.groupBy(RANGE).agg(F.array_distinct(F.array(F.min(row), F.max(row))).alias("__ends"))
     return ends.select(RANGE, F.inline("__ends"))

@@ -7,10 +7,10 @@ Three situations, three plans:
 * the best few by a count, where very many rows may tie: the best distinct values are found first
   and the rows that have them are kept (:func:`top_by_value`);
 * every row gets a rank: places are computed once per distinct value, over ranges of the value, and
-  joined back (:func:`ranked`, :func:`numbered`); for tiles most rows need no place at all
-  (:func:`tiled`).
+  joined back (:func:`ranked`, :func:`numbered`);
+* tiles over the whole table: rows are numbered inside even ranges, after the rows of the ranges before (:func:`tiled`).
 
-Nothing is broadcast by a hint but the value ranges of one group, whose number is bounded.
+Nothing is broadcast by a hint but one row for each range, whose number is that of the shuffle partitions.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmetrics.operators.slices import COARSE, FINE, SLICE, join_null_safe, number_slice
+from reelmetrics.operators.ranges import RANGE, ROWS, border_keys, ranged, with_borders
+from reelmetrics.operators.slices import SLICE, join_null_safe, number_slice
 
-RANGE = "__range"
 KINDS = {"rank": F.rank, "dense": F.dense_rank, "row": F.row_number}
 
 
@@ -65,12 +65,12 @@ def top_by_value(
     return join_null_safe(df, best, [*by, value])
 
 
-def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool, bins: int) -> DataFrame:
+def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool) -> DataFrame:
     """One row per (by, value): rows in it, rows before it, distinct values before it.
 
     ``by`` has few groups, each of any size, so every group is cut into slices of its value range.
     """
-    values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn(SLICE, number_slice(value, bins))
+    values = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn(SLICE, number_slice(value))
 
     def ordered(column):
         return F.col(column).desc() if descending else F.col(column).asc()
@@ -101,9 +101,9 @@ def _value_positions(df: DataFrame, by: list[str], value: str, descending: bool,
     )
 
 
-def _with_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool, bins: int = COARSE) -> DataFrame:
+def _with_positions(df: DataFrame, by: Sequence[str], value: str, descending: bool) -> DataFrame:
     """Rows joined with their value's position. An empty ``by`` means one group over everything."""
-    return join_null_safe(df, _value_positions(df, list(by), value, descending, bins), [*by, value])
+    return join_null_safe(df, _value_positions(df, list(by), value, descending), [*by, value])
 
 
 def ranked(
@@ -142,10 +142,9 @@ def numbered(
     identifier: str,
     name: str = "rank",
     descending: bool = True,
-    bins: int = COARSE,
 ) -> DataFrame:
     """ROW_NUMBER by ``value``, ties in the order of a unique ``identifier``."""
-    joined = _with_positions(df, by, value, descending, bins)
+    joined = _with_positions(df, by, value, descending)
     return (
         _number_ties(joined, [*by, value], identifier)
         .withColumn(name, (F.col("__rows_before") + F.col("__tie")).cast("long"))
@@ -166,33 +165,23 @@ def _tile(position: Column, total: Column, tiles: int) -> Column:
 def tiled(
     df: DataFrame, value: str, identifier: str, tiles: int, name: str, descending: bool = True
 ) -> DataFrame:
-    """NTILE over the whole table without a global sort.
+    """NTILE over the whole table: ties in the order of ``identifier``, then of any.
 
-    A range of values whose first and last row fall in the same tile decides the tile of all its
-    rows, so they are not shuffled at all. Only the rows of the few ranges across a tile border
-    are numbered.
+    Rows are numbered inside even ranges of (value, identifier), so a value that very many rows share is cut too. A
+    row's place is its number and the rows of the ranges before, which are one count for each range.
     """
-    rows = df.withColumn(RANGE, number_slice(value))
-    order = F.col(RANGE).desc() if descending else F.col(RANGE).asc()
-    # One group: some hundred thousand ranges at most, by the width of a range.
-    sizes = rows.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__size"))
-    sizes = sizes.select(
-        RANGE,
-        "__size",
-        F.coalesce(F.sum("__size").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__size").over(Window.partitionBy()).alias("__total"),
-    )
-    total = F.col("__total")
-    first = _tile(F.col("__before") + 1, total, tiles)
-    last = _tile(F.col("__before") + F.col("__size"), total, tiles)
-    decided = sizes.withColumn(name, F.when(first == last, first).cast("long"))
-    marked = join_null_safe(rows, F.broadcast(decided), [RANGE])
-    inside = marked.filter(F.col(name).isNotNull())
-    border = marked.filter(F.col(name).isNull())
-    placed = numbered(border, [RANGE], value, identifier, "__position", descending, bins=FINE)
-    tile = _tile(F.col("__before") + F.col("__position"), total, tiles).cast("long")
-    columns = [*df.columns, name]
-    return inside.select(*columns).unionByName(placed.withColumn(name, tile).select(*columns))
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(identifier).asc()]
+    rows = ranged(df, [], order)
+    within = Window.partitionBy(RANGE)
+    numbers = rows.withColumn("__number", F.row_number().over(within.orderBy(*order)))
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = border_keys(rows, [], {}).withColumns({
+        "__before": F.coalesce(F.sum(ROWS).over(before), F.lit(0)),
+        "__total": F.sum(ROWS).over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    placed = with_borders(numbers, sizes, [], within, ["__before", "__total"])
+    tile = _tile(F.col("__before") + F.col("__number"), F.col("__total"), tiles).cast("long")
+    return placed.withColumn(name, tile).select(*df.columns, name)
 
 
 def first_against_second(

@@ -18,19 +18,12 @@ SLICE = "__slice"
 LOWEST = -(2**40)
 
 
-def day_slice(order: str) -> Column:
-    """Days since 1970; rows without a moment come before all others, as in the sort order."""
-    day = F.datediff(F.col(order), F.lit("1970-01-01").cast("date")).cast("long")
-    return F.coalesce(day, F.lit(LOWEST))
+# Bins per factor of e. A 64-bit number has under 44 factors of e, so no column has more than 720,000 bins, however
+# its values are spread.
+BINS = 2**13
 
 
-# Bins per factor of e. Fine bins split a coarse one into at most 4,096. A 64-bit number has under 44 factors of e,
-# so no column has more than 720,000 coarse bins, however its values are spread.
-COARSE = 2**13
-FINE = 2**25
-
-
-def number_slice(value: str, bins: int = COARSE) -> Column:
+def number_slice(value: str, bins: int = BINS) -> Column:
     """Monotone bins of relative width 1/bins: no statistics needed, so every branch agrees.
 
     NULL has a bin below all others, as in the sort order.

@@ -198,7 +198,7 @@ SELECT customer_id, strftime(make_date(min(i) // 12, min(i) % 12 + 1, 1), '%Y-%m
        strftime(make_date(max(i) // 12, max(i) % 12 + 1, 1), '%Y-%m') AS last_month, count(*) AS months
 FROM s GROUP BY customer_id, island HAVING count(*) >= 3""")
 def customers_active_in_consecutive_months(shop, months=3):
-    active = shop.rentals.select("customer_id", d.month_index("rental_date").alias("i")).distinct()
+    active = shop.rentals.select("customer_id", d.month_index("rental_date").alias("i"))
     return period.streaks(active, ["customer_id"], "i", months).select(
         "customer_id",
         d.year_month(d.index_month("first_index")).alias("first_month"),

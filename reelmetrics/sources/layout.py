@@ -1,4 +1,4 @@
-"""Table layouts that let Spark skip data: month partitions, sorted files, buckets.
+"""Table layouts that let Spark skip data: month partitions, sorted files, Bloom filters, buckets.
 
 Spark has no indexes; these layouts do the work an index would. They are written below the folder named by
 ``spark.checkpoint.dir``, once for each state of their source files: a layout is used again only while the files it
@@ -40,10 +40,14 @@ def written_once(df: DataFrame, name: str, write: Callable[[str], None]) -> str:
 
 
 def partition_by_month(df: DataFrame, timestamp: str, identifier: str, path: str) -> None:
-    """Folders ym=200003; the range shuffle gives even tasks and few files per folder."""
+    """Folders ym=200003 below rows, and below days the calendar: a row (ym, day) for each day that has rows.
+
+    The range shuffle gives even tasks and few files per folder.
+    """
     month = (F.year(timestamp) * 100 + F.month(timestamp)).alias("ym")
     rows = df.select("*", month).repartitionByRange(timestamp, identifier)
-    rows.write.partitionBy("ym").parquet(path)
+    rows.write.partitionBy("ym").parquet(f"{path}/rows")
+    df.select(month, F.to_date(timestamp).alias("day")).distinct().coalesce(1).write.parquet(f"{path}/days")
 
 
 def sort_files(df: DataFrame, column: str, identifier: str, path: str) -> None:
@@ -52,6 +56,20 @@ def sort_files(df: DataFrame, column: str, identifier: str, path: str) -> None:
     rows.write.parquet(path)
 
 
+def bloom_files(df: DataFrame, column: str, distinct: int, path: str) -> None:
+    """Files in the order they come, with a Bloom filter of ``column`` for each row group.
+
+    Equality on a column that files are not sorted by skips the row groups whose filter lacks the value. ``distinct``
+    is the number of different values that a row group is expected to hold; it sizes the filter.
+    """
+    options = {"enabled": "true", "expected.ndv": str(distinct)}
+    rows = df.write
+    for name, value in options.items():
+        rows = rows.option(f"parquet.bloom.filter.{name}#{column}", value)
+    # A column that a dictionary covers gets no filter, and needs none.
+    rows.parquet(path)
+
+
 def bucket(df: DataFrame, keys: list[str], buckets: int, table: str, path: str) -> None:
     """Bucketed and sorted table: joins and aggregates on the keys need no shuffle."""
     rows = df.repartition(buckets, *keys)

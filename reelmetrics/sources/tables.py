@@ -67,10 +67,30 @@ RENTAL_REFERENCES = [
 ]
 
 
+_checked: set[tuple[str, str, str]] = set()
+
+
 def load(spark: SparkSession, folder: str, name: str, schemas: dict[str, str] = SCHEMAS) -> DataFrame:
+    """The table, after a look at its files' schema: a missing column, or one of another type, raises ValueError.
+
+    With the schema given, a column that a file lacks would read as NULL. An application looks once at each table.
+    """
+    key = (spark.sparkContext.applicationId, f"{folder}/{name}", schemas[name])
+    if key not in _checked:
+        wrong = differences(spark, folder, name, schemas[name])
+        if wrong:
+            raise ValueError("; ".join(wrong))
+        _checked.add(key)
     return spark.read.schema(schemas[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def differences(spark: SparkSession, folder: str, name: str, schema: str) -> list[str]:
+    """What columns of the schema the table's files lack or hold with another type."""
+    found = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{folder}/{name}.parquet").schema}
+    columns = (c.split() for c in schema.split(", "))
+    return [f"{name}.{c} is {found.get(c, 'missing')}, not {kind}" for c, kind in columns if found.get(c) != kind]
+
+
 def orphans(spark: SparkSession, folder: str, schemas=SCHEMAS, references=REFERENCES) -> DataFrame:
     """Rows whose parent is missing, counted per reference.
 
@@ -89,16 +109,8 @@ def orphans(spark: SparkSession, folder: str, schemas=SCHEMAS, references=REFERE
 
 
 def verify(spark: SparkSession, folder: str, schemas: dict[str, str], references=()) -> None:
-    """Raise ValueError for a missing column, a column of another type, or a reference without its parent.
-
-    ``load`` gives the schema itself, and a column that a file lacks would read as NULL.
-    """
-    wrong = []
-    for name, schema in schemas.items():
-        found = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{folder}/{name}.parquet").schema}
-        for column, kind in (c.split() for c in schema.split(", ")):
-            if found.get(column) != kind:
-                wrong.append(f"{name}.{column} is {found.get(column, 'missing')}, not {kind}")
+    """Raise ValueError for a missing column, a column of another type, or a reference without its parent, in any table."""
+    wrong = [x for name, schema in schemas.items() for x in differences(spark, folder, name, schema)]
     if not wrong and references:
         rows = orphans(spark, folder, schemas, list(references)).filter("orphans > 0").collect()
         wrong = [f"{r.reference} has {r.orphans} rows without a parent" for r in rows]

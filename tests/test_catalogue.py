@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as app
 import check
+from pyspark.sql import functions as F
+
 from conftest import SMALL, rows
 from reelmetrics.plans import catalogue
 from reelmetrics.sources import tables
@@ -68,6 +70,16 @@ def test_a_missing_column_raises(spark, tmp_path):
     with pytest.raises(ValueError, match="orders.o_orderdate is missing"):
         OrderShop(spark, str(tmp_path)).verify()
     OrderShop(spark, SMALL).verify(references=True)
+    with pytest.raises(ValueError, match="orders.o_orderdate is missing"):  # also of a query by itself
+        app.queries()["q2"](spark, str(tmp_path))
+    assert app.queries()["q51"](spark, str(tmp_path)).columns  # which reads no orders
+
+
+def test_a_column_of_another_type_raises_on_load(spark, tmp_path):
+    df = tables.load(spark, SMALL, "region")
+    df.withColumn("r_regionkey", F.col("r_regionkey").cast("string")).write.parquet(f"{tmp_path}/region.parquet")
+    with pytest.raises(ValueError, match="region.r_regionkey is string, not int"):
+        tables.load(spark, str(tmp_path), "region")
 
 
 def test_an_orphan_raises(spark, tmp_path):

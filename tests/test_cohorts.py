@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import line, order, rows
-from reelmetrics.operators import cohort
+from reelmetrics.operators import cohort, pairs
 from reelmetrics.operators.pairs import frequent_pairs
 from reelmetrics.plans import customers, films, staff
 
@@ -30,6 +30,25 @@ def test_pairs_same_as_brute_force(frame, support, block):
     assert rows(frequent_pairs(df, "c", "i", support, block)) == brute_pairs(baskets, support)
 
 
+@pytest.mark.parametrize("cells", [None, 1, 64, 4096])
+def test_any_number_of_cells_gives_the_same_pairs(frame, cells):
+    rng = random.Random(4)
+    baskets = {c: set(rng.sample(range(30), 12)) for c in range(40)}
+    df = frame("c bigint, i bigint", [(c, i) for c, b in baskets.items() for i in b])
+    assert rows(frequent_pairs(df, "c", "i", 9, cells=cells)) == brute_pairs(baskets, 9)
+
+
+def test_cells_leave_few_candidates(frame):
+    """Each pair of items 0 to 4 is in all baskets; the other items are frequent, their pairs are not."""
+    rng = random.Random(6)
+    baskets = {c: set(range(5)) | set(rng.sample(range(5, 400), 40)) for c in range(60)}
+    df = frame("c bigint, i bigint", [(c, i) for c, b in baskets.items() for i in b])
+    every = pairs._pairs(df, "c", "i", 5, pairs.BLOCK)
+    kept = every.filter(pairs._in_cells(pairs._full_cells(every, 20, pairs.CELLS), pairs.CELLS))
+    assert rows(frequent_pairs(df, "c", "i", 20, cells=pairs.CELLS)) == brute_pairs(baskets, 20)
+    assert kept.count() == 600 and every.count() > 40_000
+
+
 def test_every_category_and_every_store(shop):
     s = shop(
         orders=[order(1, 1, "2000-01-01"), order(2, 2, "2000-01-01")],

@@ -98,7 +98,7 @@ def final_plan(spark, name):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize(("name", "most", "scans"), [("q2", 5, 1), ("q3", 5, 2), ("q5", 5, 2), ("q23", 5, 2), ("q21", 6, 2), ("q71", 6, 1), ("q93", 6, 2), ("q100", 6, 2)])
+@pytest.mark.parametrize(("name", "most", "scans"), [("q2", 5, 1), ("q3", 5, 2), ("q5", 5, 2), ("q23", 5, 2), ("q21", 6, 2), ("q71", 6, 1), ("q93", 6, 2), ("q100", 6, 2), ("q78", 6, 2), ("q91", 6, 2), ("q95", 1, 1)])
 def test_shuffles_and_scans_of_facts(spark, name, most, scans):
     lines = final_plan(spark, name).splitlines()
     exchanges = [x for x in lines if "Exchange " in x and "Reused" not in x and "BroadcastExchange" not in x]

@@ -65,6 +65,22 @@ def test_tiles_same_as_plain_window(frame):
         assert rows(ranking.tiled(df, "v", "id", 4, "tile"), "id", "tile") == rows(want, "id", "tile")
 
 
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_tile_borders_inside_ties_that_many_ranges_share(spark, frame, ranges):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        data = [(1, i, 7 if i < 380 else i % 3) for i in range(401)] + [(1, 401 + i, None) for i in range(5)]
+        df = frame(SCHEMA, data)
+        for descending in (True, False):
+            v = F.col("v").desc() if descending else F.col("v").asc()
+            want = df.withColumn("tile", F.ntile(3).over(Window.orderBy(v, "id")))
+            assert rows(ranking.tiled(df, "v", "id", 3, "tile", descending), "id", "tile") == rows(want, "id", "tile")
+        assert ranking.tiled(df.limit(0), "v", "id", 3, "tile").collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_long_ties_are_numbered_across_identifier_ranges(frame):
     # Identifiers three ranges apart, all with the same value.
     df = frame(SCHEMA, [(1, i * 1_500_000, 7) for i in range(20)])
