@@ -1,11 +1,12 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The transducer of pieces.py reads a text and changes a running number of pieces. A long text is cut into chunks that
-are read apart. What a chunk does depends on the state it is entered in only up to the first place where a segment
-begins, since there the state is always the start. So a chunk's map from entry state to (exit state, pieces) is
-written down as the text before that place (read once the entry state is known), the pieces of its whole segments,
-and the text after the last such place, which stands for the exit state. Maps compose, in any grouping, and a
-prefix scan over them gives the pieces up to each chunk's end.
+The transducer of pieces.py reads a text and changes a running number of pieces. Every text is cut into chunks, short
+ones into a single one, that are read apart. What a chunk does depends on the state it is entered in only up to the
+first place where a segment begins, since there the state is always the start. So a chunk's map from entry state to
+(exit state, pieces) is written down as the text before that place (read once the entry state is known), the pieces
+of its whole segments, and the text after the last such place, which stands for the exit state. Maps compose, in any
+grouping: neighbours are composed in pairs, level by level, as the up-sweep of a prefix scan does, so a text that has
+no such place is copied once a level and held once.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from reelmetrics.llm.pieces import SPACE, Transducer, normalized_text, tools
 from reelmetrics.llm.shared import appended, tokenizer_path
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
-# Characters of a chunk; entries of the table of segments that were counted before.
-CHUNK, SEEN = 1 << 18, 1_200_000
+# Characters of a chunk; entries of the table of segments that were counted before, and characters of such a one.
+CHUNK, SEEN, KEPT = 1 << 16, 800_000, 64
 BORDER = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
@@ -46,21 +47,17 @@ class Counter:
 
     def count(self, text: str) -> int:
         """Pieces of a normalised text."""
-        return sum(map(self.transducer.count, self.transducer.segment.findall(text)))
-
-    def count_plain(self, text: str) -> int:
-        """Pieces of a text whose normalisation only marks spaces."""
-        words = self.transducer.words(text) if text else []
-        if words is None:
-            return self.count(SPACE + text.replace(" ", SPACE))
-        get = self.seen.get
-        new = {w for w in words if w not in self.seen}
-        if len(self.seen) + len(new) > SEEN:
-            self.seen.clear()
-            new = set(words)
-        for w in new:
-            self.seen[w] = self.transducer.count(self.transducer.normalized_word(w))
-        return sum(map(get, words))
+        total, get = 0, self.seen.get
+        for segment in self.transducer.segment.findall(text):
+            n = get(segment)
+            if n is None:
+                n = self.transducer.count(segment)
+                if len(segment) <= KEPT:
+                    if len(self.seen) >= SEEN:
+                        self.seen.clear()
+                    self.seen[segment] = n
+            total += n
+        return total
 
     def chunk_map(self, text: str) -> ChunkMap:
         """The map of a chunk of normalised text."""
@@ -69,7 +66,7 @@ class Counter:
         first = BORDER.search(text)
         if first is None:
             return ChunkMap(text)
-        a = first.start()
+        a = first.start()  # a text's own first mark is no border, as nothing stands before it
         b = len(text)
         while True:  # the last place where a space follows another character
             b = text.rindex(SPACE, a, b)
@@ -100,20 +97,19 @@ def counter_of(data: bytes) -> Counter:
     return Counter(tools(data)[2])
 
 
-def scan(maps: list[ChunkMap], compose: Callable[[ChunkMap, ChunkMap], ChunkMap]) -> list[ChunkMap]:
-    """The maps of all prefixes, with a logarithmic number of sweeps over neighbours that double their distance."""
-    step = 1
-    while step < len(maps):
-        maps = [m if i < step else compose(maps[i - step], m) for i, m in enumerate(maps)]
-        step *= 2
-    return maps
+def composed(maps: list[ChunkMap], compose: Callable[[ChunkMap, ChunkMap], ChunkMap]) -> ChunkMap:
+    """The map of all chunks together, by composing neighbours in a logarithmic number of sweeps."""
+    while len(maps) > 1:
+        odd = maps[-1:] if len(maps) % 2 else []
+        maps = [compose(x, y) for x, y in zip(maps[::2], maps[1::2])] + odd
+    return maps[0]
 
 
 def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document; begin, end and other marks are not counted.
 
-    A null text counts as empty (no bytes, no tokens). Long texts are cut into chunks, which other tasks may read;
-    the maps of a text's chunks are composed where they meet. Repeated rows and null ids are rows of their own, and
+    A null text counts as empty (no bytes, no tokens). Texts are cut into chunks, which become maps; the maps of a
+    text's chunks are composed where they meet. Repeated rows and null ids are rows of their own, and
     only doc_id and text are read.
     """
     with open(tokenizer_path(model), "rb") as file:
@@ -121,25 +117,21 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
     normalizer = tools(data)[1]
     text = F.coalesce(F.col("text"), F.lit(""))
     # Cutting is safe where each character is normalised by itself; else texts stay whole.
-    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
+    places = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / chunk).cast("int"))
     cuts = F.transform(places, lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))
-    parts = F.when(F.lit(normalizer.plain) & (F.length("text") > chunk), cuts).otherwise(F.array("text"))
+    parts = cuts if normalizer.plain else F.array("text")
     rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
-    rows = rows.select("row", "doc_id", n_bytes, F.posexplode(parts).alias("chunk", "part"), F.size(parts).alias("n_chunks"))
+    rows = rows.select("row", "doc_id", n_bytes, F.posexplode(parts).alias("chunk", "part"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normalizer, counter = tools(data)[1], counter_of(data)
-        fast = normalizer.plain and normalizer.model.dummy_prefix
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 rows = batch.slice(a, 512)
                 heads, pieces, tails = [], [], []
-                for part, place, n in zip(*(rows.column(i).to_pylist() for i in (4, 3, 5))):
-                    if n == 1:
-                        m = ChunkMap("", counter.count_plain(part) if fast else counter.count(normalized_text(normalizer, part)), "")
-                    else:
-                        m = counter.chunk_map((normalizer.prefix(part) if place == 0 else "") + part.replace(" ", SPACE))
+                for part, place in zip(*(rows.column(i).to_pylist() for i in (4, 3))):
+                    m = counter.chunk_map(normalized_text(normalizer, part) if place == 0 else part.replace(" ", SPACE))
                     heads.append(m.head)
                     pieces.append(m.pieces)
                     tails.append(m.tail)
@@ -161,7 +153,7 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
             totals = []
             for maps in batch.column(2).to_pylist():
                 found = [ChunkMap(m["head"], m["pieces"], m["tail"]) for m in maps]
-                totals.append(counter.total(scan(found, counter.compose)[-1]))
+                totals.append(counter.total(composed(found, counter.compose)))
             yield appended(batch, ["doc_id", "n_bytes"], {"n_tokens": pa.array(totals, pa.int64())})
 
     counted = texts.select("doc_id", "n_bytes", "maps").mapInArrow(join, f"doc_id {id_type}, n_bytes long, n_tokens long")

@@ -40,7 +40,9 @@ def test_ids_spans_and_text_equal_the_library(text):
     assert surfaces(text, ids, places) == [p.surface.encode() for p in want]
     assert decoder.decode(ids.tolist()) == LIBRARY.decode(ids.tolist())
     counter = token_counts.Counter(pieces.tools(DATA)[2])
-    assert counter.count_plain(text) == len(want)
+    norm = pieces.normalized_text(pieces.tools(DATA)[1], text)
+    whole = token_counts.composed([counter.chunk_map(norm[a : a + 7]) for a in range(0, max(len(norm), 1), 7)], counter.compose)
+    assert counter.total(whole) == counter.total(counter.chunk_map(norm)) == len(want)
 
 
 @given(st.lists(st.one_of(st.integers(1, 258), st.integers(259, 31_999), st.sampled_from([1, 2, 29_871])), max_size=8))
@@ -81,14 +83,30 @@ def test_chunk_maps_compose_in_any_grouping(chunk):
         norm = "▁" + text.replace(" ", "▁")
         maps = [counter.chunk_map(norm[a : a + chunk]) for a in range(0, len(norm), chunk)]
         want = len(LIBRARY.encode(text)) if text else counter.count("▁")
-        prefixes = token_counts.scan(maps, counter.compose)
-        assert counter.total(prefixes[-1]) == want
+        if maps:
+            assert counter.total(token_counts.composed(maps, counter.compose)) == want
         one_by_one = maps[0]
         for m in maps[1:]:
             one_by_one = counter.compose(one_by_one, m)
         assert counter.total(one_by_one) == want
 
 
+def test_a_long_text_without_spaces_is_held_once_a_level():
+    """Its chunks' maps are texts; composing all of them neither keeps prefixes nor counts anything twice."""
+    counter = token_counts.Counter(pieces.tools(DATA)[2])
+    text = "".join(random.Random(1).choices("abcdefgh0123+/", k=400_000))
+    maps = [counter.chunk_map(("▁" if a == 0 else "") + text[a : a + 1000]) for a in range(0, len(text), 1000)]
+    held = []
+
+    def compose(x, y):
+        made = counter.compose(x, y)
+        held.append(len(made.head) + len(made.tail or ""))
+        return made
+
+    assert counter.total(token_counts.composed(maps, compose)) == len(LIBRARY.encode(text))
+    assert sum(held) <= 10 * len(text) and len(held) == len(maps) - 1
+
+
 def test_tables_are_made_anew_beyond_their_limit(monkeypatch):
     machine = pieces.Transducer(pieces.loaded(DATA))
     monkeypatch.setattr(machine, "LIMIT", 5)
