@@ -28,14 +28,17 @@ from reelmetrics.llm.shared import appended
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript".split())
 ESCAPED_RAW = {"title", "textarea"}
-UNSEEN = set("head script style template noscript title iframe noembed noframes datalist object video audio canvas rp param annotation annotation-xml".split())
+UNSEEN = set("head script style template noscript title iframe noembed noframes datalist video audio canvas progress meter rp param annotation annotation-xml".split())
 # Parts of a drawing that are not shown where they stand.
 UNDRAWN = set("defs symbol desc title metadata clippath mask marker pattern lineargradient radialgradient filter style script".split())
-BUTTONS = {"submit", "reset", "button"}
+# Kinds of input that show no text, and those of the others that show a placeholder while they are empty.
+TEXTLESS_INPUTS = set("hidden checkbox radio file color range image".split())
+PLACEHOLDERS = set("text search url tel email password number".split())
+INPUTS = PLACEHOLDERS | TEXTLESS_INPUTS | set("submit reset button date month week time datetime-local".split())
 # HTML may stand in these parts of formulas and drawings; elsewhere in them, the elements of BREAKOUT end them.
 INTEGRATION = set("mi mo mn ms mtext annotation-xml foreignobject desc title".split())
 BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote table pre hr figure fieldset address xmp menu dir".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote table pre hr figure fieldset address xmp plaintext menu dir".split())
 LINES = set("html body div section article aside header footer main nav form li dt dd tr caption thead tbody tfoot figcaption details summary legend center hgroup search dialog option optgroup select".split())
 ENDS_PARAGRAPH = SPACED | set("div section article aside header footer main nav form li dt dd details summary figcaption center hgroup search dialog".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -170,6 +173,9 @@ def parsed(source: str) -> tuple[Element, list[str]]:
             close_at = source.find(">", stop.end())
             at = end if close_at < 0 else close_at + 1
             continue
+        if name == "plaintext":  # all that follows is text
+            element.children.append(source[at:])
+            break
         if name == "pre" and source.startswith("\n", at):
             at += 1  # a line end right after the tag is not part of the text
         if len(stack) < DEPTH:
@@ -187,10 +193,25 @@ def style(e: Element, name: str) -> str | None:
     return own[1] if own is not None else None
 
 
+def kind_of(e: Element) -> str:
+    """The kind of an input; unknown ones are plain text."""
+    kind = e.attributes.get("type", "").strip().lower()
+    return kind if kind in INPUTS else "text"
+
+
+def field_text(e: Element) -> str:
+    """What an input shows: its value, or while it is empty its placeholder. A password's value is not shown."""
+    kind = kind_of(e)
+    value, hint = e.attributes.get("value", ""), e.attributes.get("placeholder", "") if kind in PLACEHOLDERS else ""
+    if kind == "password":
+        return "" if value else hint
+    return value or hint
+
+
 def shown(e: Element) -> bool:
     """Whether an element takes part in the layout."""
     a = e.attributes
-    if e.name in UNSEEN or e.name == "input" and a.get("type", "").strip().lower() not in BUTTONS:
+    if e.name in UNSEEN or e.name == "input" and kind_of(e) in TEXTLESS_INPUTS or e.name == "object" and "data" in a:
         return False
     display = style(e, "display")
     if display is None or display in ("revert", "revert-layer"):  # as the browser's own sheet has it
@@ -260,8 +281,9 @@ def render(e: Element, page: Page, pre: bool = False, visible: bool = True, leve
         seen = seen_in(child, visible)
         name = child.name
         if name == "input":
-            if seen:
-                page.words(child.attributes.get("value", ""), pre)
+            text = field_text(child) if seen else ""
+            if text:  # a box of its own, apart from the words beside it
+                page.words(f" {text} ", pre)
             continue
         if name == "svg":
             render_drawing(child, page, seen)
@@ -286,6 +308,8 @@ def render(e: Element, page: Page, pre: bool = False, visible: bool = True, leve
             child = Element(name, {}, [c for c in child.children if isinstance(c, Element) and c.name == "summary"][:1])
         if name == "select":
             child = Element(name, {}, chosen(child))
+        if name == "textarea" and not any(child.children):
+            child = Element(name, {}, [child.attributes.get("placeholder", "")])
         inner_list = name in ("ul", "ol", "menu", "dir", "dl") and level > 0
         gap = 1 if inner_list or name in LINES else 2 if name in SPACED else 0
         if gap:
@@ -302,7 +326,7 @@ def render(e: Element, page: Page, pre: bool = False, visible: bool = True, leve
             render(child, page, pre, seen, level)
             page.words("”", pre)
         else:
-            render(child, page, pre or name in ("pre", "textarea", "xmp"), seen, level)
+            render(child, page, pre or name in ("pre", "textarea", "xmp", "plaintext"), seen, level)
         if gap:
             page.space(gap)
 

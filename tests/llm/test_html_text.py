@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,7 +31,7 @@ CASES = {
     "<title>T</title><p>b": "b",
     "<script>if (a < b) '</p>'</script>x<noscript>n</noscript><template>t</template>": "x",
     "a<!-- c --> b<!-- open": "a b",
-    "<p hidden>h</p><p style='display: none'>h</p>s<input value=h><span style='visibility:hidden'>h<b style='visibility:visible'>v</b></span>": "sv",
+    "<p hidden>h</p><p style='display: none'>h</p>s<input value=h><span style='visibility:hidden'>h<b style='visibility:visible'>v</b></span>": "s h v",
     "<style>/* x */ .gone, #no, aside{display:none} p.red{color:red}</style><p class='a gone'>1<p id=no>2<aside>3</aside><p class=red>4": "4",
     "<details><summary>S</summary>closed</details><details open><summary>S</summary>open</details>": "S\nS\nopen",
     "<dialog>no</dialog><dialog open>yes</dialog>": "yes",
@@ -67,7 +70,7 @@ STYLED = {
     "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>": "x=2",
     "<svg viewBox=x><title>no</title><defs><text>no</text></defs><path d='M0'/><g><text x=1>a<tspan>b</tspan></text></g><text>c</text>no</svg><p>d": "ab c\n\nd",
     "<svg><path><p>out": "out",
-    "<input type=submit value=Go> <input type=BUTTON value=b><input type=text value=no><input type=hidden value=no>": "Go b",
+    "<input type=submit value=Go> <input type=BUTTON value=b><input type=text value=yes><input type=hidden value=no>": "Go b yes",
 }
 
 
@@ -108,3 +111,73 @@ def test_pages(llm):
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract(pages).columns == ["page_id", "url", "text"]
     assert html_text.extract_pages(pages.limit(0)).collect() == []
+
+
+FIELDS = {
+    "Name:<input value=Ada>!": "Name: Ada !",
+    "a<input type=TEXT placeholder='Your name'>b": "a Your name b",
+    "a<input type=email value=x@y placeholder=p>": "a x@y",
+    "a<input type=password value=secret placeholder=hint>b": "ab",
+    "a<input type=password placeholder=hint>": "a hint",
+    "a<input type=hidden value=h><input type=checkbox value=c><input type=radio value=r><input type=range value=3>b": "ab",
+    "a<input type=strange value=v>": "a v",
+    "a<input type=date value=2001-01-01 placeholder=p><input type=date placeholder=p>": "a 2001-01-01",
+    "<input type=submit value=Go><input value=x hidden>": "Go",
+    "<p>a<textarea placeholder=hint></textarea><p>b<textarea placeholder=hint>own</textarea>": "ahint\n\nbown",
+    "a <object>fallback <b>text</b></object> b": "a fallback text b",
+    "a <object data=movie.swf>fallback</object> b": "a b",
+    "a <progress value=3>30 %</progress> <meter>1 of 2</meter> b": "a b",
+    "a<plaintext><b>not a tag</b>\n & no &amp; end</plaintext>": "a\n\n<b>not a tag</b>\n & no &amp; end</plaintext>",
+}
+
+
+@pytest.mark.parametrize("source", FIELDS)
+def test_fields_fallbacks_and_plain_text(source):
+    assert html_text.visible_text(source) == FIELDS[source]
+
+
+class Naive(HTMLParser):
+    """Words outside hidden elements of well-formed pages without style sheets, in order, ignoring all layout."""
+
+    VOID = {"br", "hr", "img", "meta", "link", "wbr", "col", "area", "source", "embed", "base", "param", "track", "input"}
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        plain = (given.get("style") or "").replace(" ", "").lower()
+        gone = tag in html_text.UNSEEN or "hidden" in given or "display:none" in plain or "visibility:hidden" in plain
+        if tag not in self.VOID:
+            self.open.append((tag, gone))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.open):
+            self.words += data.split()
+
+
+def letters(words):
+    """Letters and digits only: marks of lists and columns, and borders of words, are layout."""
+    return "".join(c for w in words for c in w if c.isalnum())
+
+
+def test_given_pages_have_the_words_of_a_naive_reader(llm):
+    pages = llm.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    compared = 0
+    for r in pages.collect():
+        source = r.html or ""
+        if re.search(r"<(svg|math|select|details|dialog|input|textarea|ol)\b|display:|visibility:", source, re.I):
+            continue  # beyond the naive reader
+        naive = Naive()
+        naive.feed(source)
+        naive.close()
+        compared += 1
+        assert sorted(letters(got[r.page_id].split())) == sorted(letters(naive.words)), r.page_id
+    assert compared > 100
