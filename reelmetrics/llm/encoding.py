@@ -1,9 +1,10 @@
 """Encoding to pieces with the place of every piece in the original text, and decoding.
 
-A text is normalised by longest prefixes of the compiled character map; each byte of the result remembers the byte
-of the text it came from. The pieces of the normalised text are read off the transducer, segment by segment, and
-their ends are carried back over that record, so the spans of a text's pieces lie end to end over all its bytes. A
-character without a piece gives its bytes, of which the last has the character's span.
+A text is normalised by longest prefixes of the compiled character map, with a record of the stretches that this
+changed and of their source bytes; under an empty map these are the spaces. The normalised text is cut into segments,
+whose pieces are merged and kept for when they come again. The ends of all pieces are carried back over the record, so
+the spans of a text's pieces lie end to end over all its bytes. A character without a piece gives its bytes, of which
+the last has the character's span.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ SHORT = 24
 class Encoder:
     def __init__(self, data: bytes):
         self.model, self.normalizer, self.transducer = tools(data)
-        self.fast = self.normalizer.plain and self.model.dummy_prefix
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.rank = {piece: -score for piece, score in self.model.scores.items()}
@@ -59,10 +59,10 @@ class Encoder:
         head = key.rstrip(string.punctuation)
         n = len(head)
         if not n or n == len(key) or key[n - 1 : n + 1] in self.joined:
-            return self.segment(self.transducer.normalized_word(key))
+            return self.segment(self.transducer.word(key))
         known = self.seen.get(head) or self.older.get(head)
         if known is None:
-            known = self.seen[head] = self.segment(self.transducer.normalized_word(head))
+            known = self.seen[head] = self.segment(self.transducer.word(head))
         return known + self.segment(key[n:])
 
     def covered(self, ids: np.ndarray) -> np.ndarray:
@@ -76,8 +76,8 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text's pieces, and n + 1 places in its UTF-8 bytes: piece i spans from place i to place i + 1."""
-        n, align = self.normalizer, None
-        words = self.transducer.words(text) if self.fast and text else None
+        norm, record = self.normalizer.recorded(text)
+        words = self.transducer.words(norm)
         if words is not None:
             seen, older = self.seen, self.older
             for w in {w for w in words if w not in seen}:
@@ -86,14 +86,9 @@ class Encoder:
             if len(seen) > SEEN:
                 self.older, self.seen = seen, {}
         else:
-            if n.plain:
-                norm = n.prefix(text) + text.replace(" ", SPACE)
-            else:
-                norm, align = n.normalized(text)
             ids = np.frombuffer(b"".join(map(self.segment, self.transducer.segment.findall(norm))), "<u4")
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.covered(ids))])
-        places = np.array(align, np.int64)[ends] if align is not None else _plain_places(text, ends, len(n.prefix(text)))
-        return ids, places.astype("<u4")
+        return ids, record.places(ends).astype("<u4")
 
 
 @lru_cache(maxsize=1)
@@ -102,18 +97,6 @@ def encoder_of(data: bytes) -> Encoder:
     return Encoder(data)
 
 
-def _plain_places(text: str, ends: np.ndarray, prefix: int) -> np.ndarray:
-    """Places in the text for places in a normalised text whose only changes are a first mark and marked spaces.
-
-    Every space became a mark of three bytes. Pieces hold whole characters, so with the n-th space at byte s of the
-    text its mark is at byte s + 2 n of the normalised one, behind the first mark.
-    """
-    raw = np.frombuffer(text.encode(), np.uint8)
-    spaces = np.flatnonzero(raw == 32)
-    marks = spaces + 2 * np.arange(len(spaces)) + 3 * prefix
-    return np.maximum(ends - 3 * prefix - 2 * np.searchsorted(marks, ends, "left"), 0)
-
-
 class Decoder:
     """Pieces back to text, as the piece format's library does it."""
 

@@ -19,6 +19,8 @@ import struct
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+
 SPACE = "▁"
 # Kinds of pieces and the model type, as the format numbers them.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -330,20 +332,41 @@ class Transducer:
         return out[::-1]
 
     def words(self, text: str) -> list[str] | None:
-        """Keys of the segments of a plain text before normalisation, or None where it must be split with care.
+        """Keys of the segments of a normalised text, or None where it must be split with care.
 
-        A key is a word after a space or the text's start, or a line end with the word that follows it at once.
-        Runs of spaces belong together and marks may stand in the text itself; such texts are left to ``segment``.
+        A key is a word without the mark before it, or a line end with the word that follows it at once. Runs of
+        marks belong together; texts that have some are left to ``segment``.
         """
-        if not self.splits or "  " in text or text[:1] == " " or SPACE in text:
+        if not self.splits or text[:1] != SPACE or SPACE + SPACE in text:
             return None
-        return (text.replace("\n", " \n") if "\n" in self.solo else text).split(" ")
+        return (text.replace("\n", SPACE + "\n") if "\n" in self.solo else text).split(SPACE)[1:]
 
-    def normalized_word(self, key: str) -> str:
+    def word(self, key: str) -> str:
         """The normalised text of a key of ``words``."""
         return key if key[:1] == "\n" and "\n" in self.solo else SPACE + key
 
 
+class Record:
+    """Where the bytes of a normalised text come from: the stretches that normalising changed, in order.
+
+    A stretch has its first and end place in the normalised text and in the source. A place inside one is that of
+    the whole stretch; between two of them places run on together.
+    """
+
+    def __init__(self, stretches: np.ndarray):
+        """[stretch, (first, end, first in the source, end in the source)]"""
+        self.first, self.end, self.source, self.source_end = stretches.reshape(-1, 4).T
+
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """Places in the source's bytes of places in the normalised text's bytes."""
+        if not len(self.first):
+            return at
+        i = np.searchsorted(self.first, at, "right") - 1
+        k = np.maximum(i, 0)
+        after = self.source_end[k] + at - self.end[k]
+        return np.where(i < 0, at, np.where(at < self.end[k], self.source[k], after))
+
+
 class Normalizer:
     """Text before merging: longest prefixes replaced by the compiled character map, spaces marked.
 
@@ -386,9 +409,24 @@ class Normalizer:
     def prefix(self, text: str) -> str:
         return SPACE if text and self.model.dummy_prefix else ""
 
-    def normalized(self, text: str) -> tuple[str, list[int]]:
-        """The normalised text, and for each of its bytes and its end the place in the UTF-8 bytes of ``text``."""
-        data, m = text.encode(), self.model
+    def recorded(self, text: str) -> tuple[str, Record]:
+        """The normalised text, and the record of its source.
+
+        Under an empty map only the first mark and the spaces are changed, each space into a mark.
+        """
+        if not text:
+            return "", Record(np.zeros((0, 4), np.int64))
+        if self.plain:
+            lead = len(SPACE.encode()) if self.model.dummy_prefix else 0
+            spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+            first = spaces + (len(SPACE.encode()) - 1) * np.arange(len(spaces)) + lead
+            marks = np.stack([first, first + len(SPACE.encode()), spaces, spaces + 1], 1)
+            return self.prefix(text) + text.replace(" ", SPACE), Record(np.concatenate([[[0, lead, 0, 0]], marks]))
+        return self._walked(text.encode())
+
+    def _walked(self, data: bytes) -> tuple[str, Record]:
+        """As ``recorded``, by the longest prefixes that the map replaces, one after another."""
+        m = self.model
         mark = SPACE.encode() if m.escape_spaces else b" "
         at = 0
         if m.trim_spaces:
@@ -398,11 +436,9 @@ class Normalizer:
                     break
                 at += size
         if at >= len(data):
-            return "", [0]
-        out, align = bytearray(), []
-        if m.dummy_prefix:
-            out += mark
-            align += [at] * len(mark)
+            return "", Record(np.zeros((0, 4), np.int64))
+        out = bytearray(mark if m.dummy_prefix else b"")
+        stretches = [(0, len(out), at, at)]
         after_space = m.trim_spaces
         while at < len(data):
             new, size = self.longest(data, at)
@@ -411,15 +447,21 @@ class Normalizer:
             if new:
                 after_space = m.trim_spaces and new.endswith(b" ")
                 new = new.replace(b" ", mark)
-                out += new
-                align += [at] * len(new)
+            if new != data[at : at + size]:
+                stretches.append((len(out), len(out) + len(new), at, at + size))
+            out += new
             at += size
-        end = len(data)
-        if m.trim_spaces:
+        if m.trim_spaces and out.endswith(mark):
             while out.endswith(mark):
-                end = align[len(out) - len(mark)]
-                del out[-len(mark) :], align[-len(mark) :]
-        return out.decode(), [*align, end]
+                del out[-len(mark) :]
+            end = int(Record(np.array(stretches)).places(np.array([len(out)]))[0])
+            stretches = [s for s in stretches if s[0] < len(out)] + [(len(out), len(out), end, end)]
+        return out.decode(), Record(np.array(stretches))
+
+    def normalized(self, text: str) -> tuple[str, list[int]]:
+        """The normalised text, and for each of its bytes and its end the place in the UTF-8 bytes of ``text``."""
+        new, record = self.recorded(text)
+        return new, record.places(np.arange(len(new.encode()) + 1)).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -427,9 +469,3 @@ def tools(data: bytes) -> tuple[PieceModel, Normalizer, Transducer]:
     """A model with its normalizer and transducer, kept for later tasks of a Python worker."""
     model = loaded(data)
     return model, Normalizer(model), Transducer(model)
-
-
-def normalized_text(normalizer: Normalizer, text: str) -> str:
-    if normalizer.plain:
-        return normalizer.prefix(text) + text.replace(" ", SPACE)
-    return normalizer.normalized(text)[0]

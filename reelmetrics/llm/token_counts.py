@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmetrics.llm.pieces import SPACE, Transducer, normalized_text, tools
+from reelmetrics.llm.pieces import SPACE, Transducer, tools
 from reelmetrics.llm.shared import appended, tokenizer_path
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
@@ -131,7 +131,7 @@ def count_documents(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chu
                 rows = batch.slice(a, 512)
                 heads, pieces, tails = [], [], []
                 for part, place in zip(*(rows.column(i).to_pylist() for i in (4, 3))):
-                    m = counter.chunk_map(normalized_text(normalizer, part) if place == 0 else part.replace(" ", SPACE))
+                    m = counter.chunk_map(normalizer.recorded(part)[0] if place == 0 else part.replace(" ", SPACE))
                     heads.append(m.head)
                     pieces.append(m.pieces)
                     tails.append(m.tail)

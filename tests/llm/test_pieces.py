@@ -40,7 +40,7 @@ def test_ids_spans_and_text_equal_the_library(text):
     assert surfaces(text, ids, places) == [p.surface.encode() for p in want]
     assert decoder.decode(ids.tolist()) == LIBRARY.decode(ids.tolist())
     counter = token_counts.Counter(pieces.tools(DATA)[2])
-    norm = pieces.normalized_text(pieces.tools(DATA)[1], text)
+    norm = pieces.tools(DATA)[1].recorded(text)[0]
     whole = token_counts.composed([counter.chunk_map(norm[a : a + 7]) for a in range(0, max(len(norm), 1), 7)], counter.compose)
     assert counter.total(whole) == counter.total(counter.chunk_map(norm)) == len(want)
 
@@ -66,6 +66,25 @@ def test_normalisation_by_a_compiled_map_equals_the_library(rule):
         assert len(align) == len(got.encode()) + 1 and align == sorted(align) and align[-1] <= len(text.encode())
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "identity"])
+@pytest.mark.parametrize("trim", [True, False])
+def test_spans_under_any_map_lie_end_to_end(rule, trim):
+    """One path for all models: pieces of a normalised text have the source bytes that the library gives them."""
+    charsmap = b""
+    if rule != "identity":
+        normal = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+        charsmap = dict(pieces._fields(dict(pieces._fields(normal.serialized_model_proto()))[3]))[2]
+    encoder = encoding.Encoder(DATA)
+    encoder.normalizer = pieces.Normalizer(pieces.PieceModel(**{**vars(encoder.model), "charsmap": charsmap, "trim_spaces": trim}))
+    for seed in range(200):
+        text = mixed(seed) + random.Random(seed).choice(["", "Ａｂｃ", "ﷺ x", "㌔", "①②", "  é ", "　", "ｶﾞ"])
+        norm, align = encoder.normalizer.normalized(text)
+        ids, places = encoder.encode(text)
+        assert len(places) == len(ids) + 1 and (np.diff(places.astype(int)) >= 0).all()
+        ends = np.concatenate([[0], np.cumsum(encoder.covered(ids))])
+        assert ends[-1] == len(norm.encode()) and [align[e] for e in ends] == places.tolist()
+
+
 def test_trimming_normalisation():
     base = pieces.tools(DATA)[0]
     model = pieces.PieceModel(**{**vars(base), "trim_spaces": True})
