@@ -168,7 +168,8 @@ def tiled(
     """NTILE over the whole table: ties in the order of ``identifier``, then of any.
 
     Rows are numbered inside even ranges of (value, identifier), so a value that very many rows share is cut too. A
-    row's place is its number and the rows of the ranges before, which are one count for each range.
+    row's place is its number and the rows of the ranges before, which are one count for each range. The result comes in the
+    order of value and identifier.
     """
     order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(identifier).asc()]
     rows = ranged(df, [], order)

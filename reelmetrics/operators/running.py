@@ -1,4 +1,7 @@
-"""Running totals: rows with equal sort keys are peers and share one value."""
+"""Running totals: rows with equal sort keys are peers and share one value.
+
+The results come in the order of keys and moment, range after range, so that order needs no sort of its own.
+"""
 
 from __future__ import annotations
 
