@@ -24,8 +24,8 @@ from reelmetrics.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, me
 from reelmetrics.llm.shared import appended, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
-# Words that were encoded before are kept in two tables of so many entries, a newer and an older one: some 50 MB each.
-SEEN = 300_000
+# Words that were encoded before are kept in two tables of so many entries, a newer and an older one: some 40 MB each.
+SEEN = 220_000
 # Characters of a segment that is merged step by step; longer ones are read off the trie, in linear time.
 SHORT = 24
 
@@ -43,6 +43,11 @@ class Encoder:
         self.byte = np.full(len(names), -1)
         self.byte[self.model.byte_ids] = np.arange(256)
 
+    def clear(self) -> None:
+        """Give the tables' memory back; a worker may go on to other work."""
+        self.seen, self.older = {}, {}
+        self.transducer.clear()
+
     def segment(self, text: str) -> bytes:
         """Ids of normalised text, as bytes."""
         ids: list[int] = []
@@ -93,7 +98,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder_of(data: bytes) -> Encoder:
-    """A model's encoder, kept with its tables for later tasks of a Python worker."""
+    """A model's encoder, kept for later tasks of a Python worker."""
     return Encoder(data)
 
 
@@ -194,6 +199,7 @@ def encode(docs: DataFrame, model: str = MODEL, marks: bool = True, decoded: boo
                 if decoded:
                     columns["decoded"] = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
                 yield appended(part, kept, columns)
+        encoder.clear()
 
     return docs.mapInArrow(run, schema)
 

@@ -195,11 +195,6 @@ class Transducer:
                     self.piece.append(-1)
                 node = below
             self.piece[node] = i
-        # The same trie as one table a node, {} below a leaf: (table below, piece) by character.
-        below = [{} for _ in self.kids]
-        for table, kids in zip(below, self.kids):
-            table.update((char, (below[node], self.piece[node])) for char, node in kids.items())
-        self.trie: dict[str, tuple[dict, int]] = below[0]
         longer = [p for p in model.ids if len(p) > 1]
         inside = set("".join(longer))
         self.inside = inside
@@ -307,18 +302,18 @@ class Transducer:
 
         Follows the last pieces of all prefixes by themselves, without the states that count.
         """
-        trie, fits, end = self.trie, self.fits, len(text)
+        kids, piece, fits, end = self.kids, self.piece, self.fits, len(text)
         if len(fits) > self.PAIRS:
             fits.clear()
         last, size = [-1] * (end + 1), [1] * (end + 1)
         for start in range(end):
-            node, at, before = trie, start, last[start]
-            while at < end and node:
-                step = node.get(text[at])
-                if step is None:
+            node, at, before = 0, start, last[start]
+            while at < end:
+                node = kids[node].get(text[at])
+                if node is None:
                     break
                 at += 1
-                node, found = step
+                found = piece[node]
                 if found >= 0 and last[at] < 0:
                     if before >= 0:
                         known = fits.get(before << 32 | found)
