@@ -11,21 +11,26 @@ BLOCK = 1000
 CELLS = 2**22
 
 
-def frequent_pairs(df: DataFrame, basket: str, item: str, min_support: int, block: int = BLOCK, cells: int | None = None) -> DataFrame:
+def frequent_pairs(
+    df: DataFrame, basket: str, item: str, min_support: int, block: int = BLOCK, cells: int | None = None, slices: int | None = None
+) -> DataFrame:
     """Pairs (item_a < item_b) found in at least ``min_support`` baskets, with the exact count.
 
     Items below the support are dropped first: they cannot be part of a frequent pair. With ``cells`` (say CELLS),
     pairs are then counted by the cell they hash to, and only pairs whose cell reaches the support are counted
     themselves: a pair has no more baskets than its cell (after Park, Chen and Yu). That is a second pass over the
     pairs, which pays where the support is far above the pairs there are for each cell; the answer is the same.
+
+    ``slices`` is the number of tasks in which blocks meet. A task holds the counts of its own pairs, which are many
+    times the items that it reads, and adaptive execution merges tasks by what they read.
     """
-    pairs = _pairs(df, basket, item, min_support, block)
+    pairs = _pairs(df, basket, item, min_support, block, slices)
     if cells:
         pairs = pairs.filter(_in_cells(_full_cells(pairs, min_support, cells), cells))
     return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
 
 
-def _pairs(df: DataFrame, basket: str, item: str, min_support: int, block: int) -> DataFrame:
+def _pairs(df: DataFrame, basket: str, item: str, min_support: int, block: int, slices: int | None = None) -> DataFrame:
     """(item_a, item_b) for each basket that holds both.
 
     A basket of n items is cut by the items' hash into ceil(n / block) blocks, and every two of its blocks meet by
@@ -40,7 +45,10 @@ def _pairs(df: DataFrame, basket: str, item: str, min_support: int, block: int)
     every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     a = cut.select(basket, F.col("__own").alias("__row"), every.alias("__column"), F.col(item).alias("item_a"))
     b = cut.select(basket, F.col("__own").alias("__column"), every.alias("__row"), F.col(item).alias("item_b"))
-    return a.join(b, [basket, "__row", "__column"]).filter(F.col("item_a") < F.col("item_b")).select("item_a", "item_b")
+    place = [basket, "__row", "__column"]
+    if slices:
+        a, b = a.repartition(slices, *place), b.repartition(slices, *place)
+    return a.join(b, place).filter(F.col("item_a") < F.col("item_b")).select("item_a", "item_b")
 
 
 def _cell(cells: int) -> Column:

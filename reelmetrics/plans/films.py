@@ -211,7 +211,8 @@ SELECT x.film_id AS film_a, y.film_id AS film_b, count(*) AS customers
 FROM b x JOIN b y ON x.customer_id = y.customer_id AND x.film_id < y.film_id
 GROUP BY ALL HAVING count(*) >= 5""")
 def films_rented_together(shop, min_support=5):
-    pairs = frequent_pairs(shop.rented, "customer_id", "film_id", min_support)
+    # A customer's row makes a pair with every other film of theirs, so pairs get more tasks than rows.
+    pairs = frequent_pairs(shop.rented, "customer_id", "film_id", min_support, slices=shop.slices(parts=4))
     return pairs.select(
         F.col("item_a").alias("film_a"), F.col("item_b").alias("film_b"), F.col("support").alias("customers")
     )

@@ -6,7 +6,9 @@
 Views are lazy and wide; Catalyst prunes unused columns down to the Parquet scan. A view joins no
 more tables than its columns need, so a query without order dates never shuffles the orders.
 Nothing is hinted here: small dimensions broadcast by their file size, large ones sort-merge, and
-adaptive execution splits skewed partitions.
+adaptive execution splits skewed partitions. Large facts meet other rows in slices whose number follows
+the size of their files (:meth:`Shop.meet`): an aggregate that follows a join in the same stage holds
+the groups of a whole task, and adaptive execution sizes tasks by shuffled bytes, not by those groups.
 
 "Per store" has three meanings and they stay apart: ``store_payments`` (who took the money),
 ``staffed_rentals`` and ``rented_staff`` (who rented it out), ``shelf_*`` (where the copy stands).
@@ -58,9 +60,14 @@ MONEY = "decimal(18,2)"
 
 
 class Shop:
-    """``year``, ``before`` and ``last_day`` are the defaults of the questions' open terms."""
+    """``year``, ``before`` and ``last_day`` are the defaults of the questions' open terms.
+
+    ``slice_bytes`` is how much of a fact's files one task of a join gets.
+    """
 
     schemas: dict[str, str]
+    fact: str
+    slice_bytes = 2 * 2**20
     references: list[tuple[str, str, str, str]]
     year: int
     before: str
@@ -81,6 +88,16 @@ class Shop:
     def table(self, name: str) -> DataFrame:
         return tables.load(self.spark, self.folder, name, self.schemas)
 
+    def slices(self, parts: int = 1) -> int | None:
+        """Tasks over the facts, ``parts`` for each slice of their files; None if every core gets all it can hold."""
+        n = parts * -(-tables.stored_bytes(self.spark, self.folder, self.fact) // self.slice_bytes)
+        return n if n > self.spark.sparkContext.defaultParallelism else None
+
+    def meet(self, facts: DataFrame, other: DataFrame, key: str) -> DataFrame:
+        """Inner join of facts on ``key``, both sides dealt into as many tasks as the facts have slices."""
+        n = self.slices()
+        return facts.join(other, key) if n is None else facts.repartition(n, key).join(other.repartition(n, key), key)
+
     @property
     def today(self):
         """The reporting date: a parameter, never the clock."""
@@ -96,6 +113,7 @@ class RentalDatabase(Shop):
 
     schemas = tables.RENTAL_SCHEMAS
     references = tables.RENTAL_REFERENCES
+    fact = "rental"
     year, before, last_day = 2005, "2006-01-01", "2006-02-14"
 
     @cached_property
@@ -157,7 +175,7 @@ class RentalDatabase(Shop):
     @cached_property
     def rented(self) -> DataFrame:
         films = self._inventory.select("copy_id", "film_id")
-        return self._rental.join(films, "copy_id")
+        return self.meet(self._rental, films, "copy_id")
 
     @property
     def rented_copies(self) -> DataFrame:
@@ -240,6 +258,7 @@ class OrderShop(Shop):
 
     schemas = tables.SCHEMAS
     references = tables.REFERENCES
+    fact = "lineitem"
     year, before, last_day = 2000, "2001-01-01", "2001-08-01"
 
     @cached_property
@@ -333,7 +352,7 @@ class OrderShop(Shop):
 
     @cached_property
     def rented(self) -> DataFrame:
-        return self.rented_copies.join(self.rentals, "rental_id")
+        return self.meet(self.rented_copies, self.rentals, "rental_id")
 
     @cached_property
     def rented_staff(self) -> DataFrame:

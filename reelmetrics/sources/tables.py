@@ -84,6 +84,12 @@ def load(spark: SparkSession, folder: str, name: str, schemas: dict[str, str] =
     return spark.read.schema(schemas[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def stored_bytes(spark: SparkSession, folder: str, name: str) -> int:
+    """Length of the table's files, off their listing; no job runs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def differences(spark: SparkSession, folder: str, name: str, schema: str) -> list[str]:
     """What columns of the schema the table's files lack or hold with another type."""
     found = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{folder}/{name}.parquet").schema}
