@@ -187,7 +187,7 @@ class RentalDatabase(Shop):
 
     @cached_property
     def shelf_rented(self) -> DataFrame:
-        return self._rental.drop("staff_id").join(self._inventory, "copy_id")
+        return self.meet(self._rental.drop("staff_id"), self._inventory, "copy_id")
 
     @property
     def shelf_copies(self) -> DataFrame:
@@ -368,11 +368,11 @@ class OrderShop(Shop):
 
     @cached_property
     def shelf_copies(self) -> DataFrame:
-        return self.rented_copies.join(self._shelves, "copy_id")
+        return self.meet(self.rented_copies, self._shelves, "copy_id")
 
     @cached_property
     def shelf_rented(self) -> DataFrame:
-        return self.rented.join(self._shelves, "copy_id")
+        return self.meet(self.rented, self._shelves, "copy_id")
 
     def _known_film(self, rows: DataFrame, *columns: str) -> DataFrame:
         known = self.films.select("film_id", F.col("film_id").alias("known"))
@@ -389,7 +389,7 @@ class OrderShop(Shop):
 
     @cached_property
     def shelf_stock(self) -> DataFrame:
-        return self.stock.join(self._shelves, "copy_id")
+        return self.meet(self.stock, self._shelves, "copy_id")
 
     @cached_property
     def timed_rentals(self) -> DataFrame:
