@@ -190,10 +190,9 @@ def store_with_most_repeat_revenue(shop, repeat=2):
 SELECT customer_id, actor, count(*) AS rental_count FROM rented JOIN film_actor USING (film_id)
 GROUP BY ALL HAVING count(*) > 1""")
 def customers_returning_to_an_actor(shop):
+    films = shop.rented.groupBy("customer_id", "film_id").agg(F.count("*").alias("n"))
     return (
-        shop.rented.groupBy("customer_id", "film_id")
-        .agg(F.count("*").alias("n"))
-        .join(shop.film_actor, "film_id")
+        shop.meet(films, shop.film_actor, "film_id")
         .groupBy("customer_id", "actor")
         .agg(F.sum("n").alias("rental_count"))
         .filter(F.col("rental_count") > 1)

@@ -17,7 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(("name", "joins", "parts"), [("q52", 1, 1), ("q53", 1, 1), ("q99", 1, 4)])
+@pytest.mark.parametrize(("name", "joins", "parts"), [("q52", 1, 1), ("q53", 1, 1), ("q66", 2, 1), ("q99", 1, 4)])
 def test_facts_meet_in_slices_of_their_files(shop, name, joins, parts):
     whole = shop(orders=ORDERS, lineitem=LINES)
     assert whole.slices() is None  # every core can hold its share
