@@ -134,26 +134,104 @@ def merged(text: str, scores: dict[str, float]) -> tuple[list[str], tuple[str, s
     return [s for s in symbols if s is not None], final
 
 
-def merged_short(text: str, rank: dict[str, float]) -> list[str]:
-    """The pieces of a short text by merging; the work is quadratic, but in few and simple steps.
+class Merges:
+    """Merging of many short texts at once: a row of symbols each, one merge a row in every round.
 
-    ``rank`` has minus the score of each piece.
+    Symbols are numbers of pieces; after them come characters that only longer pieces hold, and one for all others.
+    For each two symbols whose joined text is a piece, ``made`` has that piece and ``rank`` the place of its score
+    from the best, equal ones alike.
     """
-    symbols = list(text)
-    none = math.inf
-    ranks = [rank.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
-    while ranks:
-        best = min(ranks)
-        if best == none:
-            break
-        i = ranks.index(best)
-        pair = symbols[i] = symbols[i] + symbols[i + 1]
-        del symbols[i + 1], ranks[i]
-        if i < len(ranks):
-            ranks[i] = rank.get(pair + symbols[i + 1], none)
-        if i:
-            ranks[i - 1] = rank.get(symbols[i - 1] + pair, none)
-    return symbols
+
+    GONE, NEVER = -1, np.iinfo(np.int32).max
+
+    def __init__(self, model: PieceModel):
+        symbols = dict(model.ids)
+        for char in sorted(set("".join(model.ids)) - symbols.keys()):
+            symbols[char] = len(model.names) + len(symbols) - len(model.ids)
+        self.pieces, self.other = len(model.names), len(model.names) + len(symbols) - len(model.ids)
+        self.byte_ids = np.array(model.byte_ids, np.int32)
+        self.of_char = np.full(0x110000, self.other, np.int32)
+        self.of_char[[ord(c) for c in symbols if len(c) == 1]] = [i for c, i in symbols.items() if len(c) == 1]
+        ranks = np.unique([-x for x in model.scores.values()], return_inverse=True)[1]
+        found = [(-1, 0, self.NEVER)]
+        for (piece, i), rank in zip(model.ids.items(), ranks.tolist()):
+            for n in range(1, len(piece)):
+                left, right = symbols.get(piece[:n]), symbols.get(piece[n:])
+                if left is not None and right is not None:
+                    found.append((left * (self.other + 1) + right, i, rank))
+        keys, made, rank = np.array(found, np.int64).T
+        self.made, self.rank = made.astype(np.int32), rank.astype(np.int32)
+        # An open hash table, at most a quarter full: a key, -1 in empty slots, and its place; 0 in empty slots.
+        self.bits = np.uint64(64 - (len(keys) * 4).bit_length())
+        self.keys, self.place = np.full(1 << (64 - int(self.bits)), -1, np.int64), np.zeros(1 << (64 - int(self.bits)), np.int32)
+        left = np.arange(1, len(keys))
+        slot = self._slot(keys[left])
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[left[free]]  # of several the last one stays
+            took = self.keys[slot] == keys[left]
+            self.place[slot[took]] = left[took]
+            left, slot = left[~took], (slot[~took] + 1) % len(self.keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.bits).view(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places in ``made`` and ``rank`` of pairs of symbols; 0 where they never merge."""
+        wanted = left * np.int64(self.other + 1) + right
+        slot = self._slot(wanted)
+        held, found = self.keys[slot], self.place[slot]
+        more = np.flatnonzero((held != wanted) & (held != -1))
+        while len(more):
+            slot[more] = (slot[more] + 1) % len(self.keys)
+            held = self.keys[slot[more]]
+            found[more] = self.place[slot[more]]
+            more = more[(held != wanted[more]) & (held != -1)]
+        return found
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts' pieces, and how many each text has; a character without a piece gives its bytes."""
+        n, size = len(texts), max(map(len, texts), default=0)
+        sizes = np.fromiter(map(len, texts), np.int64, n)
+        inside = np.arange(size + 1) < sizes[:, None]
+        chars = np.zeros((n, size + 1), np.uint32)
+        chars[inside] = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        left = np.where(inside, self.of_char[chars], self.other)  # the last column stands for both ends
+        self._merge(left)
+        kept = inside & (left != self.GONE)
+        ids, counts = left[kept], kept.sum(1)
+        bare = np.flatnonzero(ids >= self.pieces)
+        if not len(bare):
+            return ids, counts
+        code = chars[kept][bare]
+        raw = np.frombuffer("".join(map(chr, code.tolist())).encode(), np.uint8)
+        many = np.ones(len(ids), np.int64)
+        many[bare] = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        whole = np.repeat(ids, many)
+        whole[whole >= self.pieces] = self.byte_ids[raw]
+        return whole, np.bincount(np.repeat(np.arange(n), counts), many, n).astype(np.int64)
+
+    def _merge(self, left: np.ndarray) -> None:
+        """Merges each row of symbols in place, the pair of best score first and the leftmost of equal ones."""
+        n, end = left.shape[0], left.shape[1] - 1
+        after, before = np.tile(np.arange(1, end + 2), (n, 1)), np.tile(np.arange(-1, end), (n, 1))
+        before[:, 0] = end
+        after[:, end] = end
+        ranks = np.full(left.shape, self.NEVER, np.int32)
+        ranks[:, :end] = self.rank[self.pairs(left[:, :end].ravel(), left[:, 1:].ravel())].reshape(n, end)
+        rows = np.arange(n)
+        while len(rows):
+            at = ranks[rows].argmin(1)
+            going = ranks[rows, at] != self.NEVER
+            rows, at = rows[going], at[going]
+            second = after[rows, at]
+            third, first = after[rows, second], before[rows, at]
+            made = self.made[self.pairs(left[rows, at], left[rows, second])]
+            left[rows, at], left[rows, second], ranks[rows, second] = made, self.GONE, self.NEVER
+            after[rows, at] = third
+            before[rows, third] = np.where(third < end, at, end)
+            ranks[rows, at] = self.rank[self.pairs(made, left[rows, third])]
+            ranks[rows, first] = np.where(first < end, self.rank[self.pairs(left[rows, first], made)], self.NEVER)
 
 
 class State(dict):
@@ -464,3 +542,9 @@ def tools(data: bytes) -> tuple[PieceModel, Normalizer, Transducer]:
     """A model with its normalizer and transducer, kept for later tasks of a Python worker."""
     model = loaded(data)
     return model, Normalizer(model), Transducer(model)
+
+
+@lru_cache(maxsize=1)
+def merges_of(data: bytes) -> Merges:
+    """A model's merges, kept likewise."""
+    return Merges(loaded(data))

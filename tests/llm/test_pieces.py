@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,6 +138,38 @@ def test_tables_are_made_anew_beyond_their_limit(monkeypatch):
             assert len(machine.pieces(norm)) <= machine.count(norm)
 
 
+def test_different_words_of_a_block_are_merged_once_and_together(monkeypatch):
+    """Before, each word met for the first time was merged by itself."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("etaoinsé日😀\x00'.", k=rng.randint(1, 30))) for _ in range(3000)})
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(30)] + [t or "" for t in TEXTS] + [mixed(s) for s in range(60)]
+    merged, inner = [], pieces.Merges.ids
+    monkeypatch.setattr(pieces.Merges, "ids", lambda self, texts: merged.append(texts) or inner(self, texts))
+    got = encoding.Encoder(DATA).encode_all(texts)
+    assert [ids.tolist() for ids, _ in got] == [LIBRARY.encode(t) for t in texts]
+    assert all(places[-1] == len(t.encode()) and len(places) == len(ids) + 1 for t, (ids, places) in zip(texts, got))
+    assert len(merged) <= len(encoding.SHORT)
+    assert max(Counter(sum(merged, [])).values()) <= 2  # as a word, and in texts with runs of marks
+    decoder = encoding.Decoder(pieces.tools(DATA)[0])
+    marked = [np.array([1, *ids, 2], "<u4") for ids, _ in got] + [np.array(x, "<u4") for x in ([], [2], [2, 5, 1, 300], [29_871, 229, 153, 132])]
+    assert decoder.decode_all(marked) == [LIBRARY.decode(x.tolist()) for x in marked]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_merging_together_equals_merging_one_by_one(seed):
+    """Also with equal scores, with scores that don't fall with length, and with a character that only longer pieces hold."""
+    rng = random.Random(seed)
+    names = ["a", "b", *sorted({"".join(rng.choices("abc", k=rng.randint(2, 4))) for _ in range(25)})]
+    base = pieces.tools(DATA)[0]
+    scores = {n: float(-rng.randint(0, 12)) for n in names}
+    ids = {n: i + 256 for i, n in enumerate(names)}
+    model = pieces.PieceModel(**{**vars(base), "ids": ids, "scores": scores, "names": [""] * 256 + names, "byte_ids": list(range(256))})
+    texts = ["".join(rng.choices("abcdé", [6, 6, 6, 1, 1], k=rng.randint(1, 20))) for _ in range(200)]
+    got, many = pieces.Merges(model).ids(texts)
+    want = [[i for p in pieces.merged(t, scores)[0] for i in ([ids[p]] if p in ids else p.encode())] for t in texts]
+    assert got.tolist() == sum(want, []) and many.tolist() == [len(w) for w in want]
+
+
 def rows():
     texts = TEXTS + [mixed(s) for s in range(60)]
     return [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (3, "again"), (3, "again")]
