@@ -26,6 +26,8 @@ from reelmetrics.llm.shared import apart, below_share, fold, written
 
 # Bound of the fit: expected labelled texts.
 SAMPLE_ROWS = 12_000
+# Partitions of the sample.
+PARTS = 8
 TREES, DEPTH, SEED = 20, 4, 11
 PENALTIES = (0.02, 0.005, 0.001)
 # A rule must hold for at least this share of the sample, and fail for as many.
@@ -118,13 +120,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: i
     known = labels.filter(F.col(label).isNotNull() & (fold(F.col("doc_id"), 5) != 0)).select("doc_id", F.col(label).alias("label"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = texts.select("doc_id", F.xxhash64("text").alias("_h")).join(known, "doc_id")
-    each = written(hashed.groupBy("_h").agg((F.avg("label") >= 0.5).cast("double").alias("label")), "quality-labels")
+    each = hashed.groupBy("_h").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     chosen = each.filter(below_share(F.xxhash64("_h"), F.lit(rows / max(each.count(), 1))))
     found = texts.withColumn("_h", F.xxhash64("text")).join(F.broadcast(chosen), "_h")  # about ``rows`` hashes
     found = found.groupBy("_h").agg(F.max("label").alias("label"), F.max("text").alias("text"))
     part = (F.pmod(F.col("_h"), F.lit(4)) == 0).cast("int").alias("part")
     found = with_statistics(found.select("_h", "label", part, "text")).drop("text")
-    return found.repartition(8, "_h").sortWithinPartitions("_h").drop("_h")
+    # So few rows make a few files, each of which costs every pass of the fit a task, also where a session deals keys wider.
+    return found.repartition(PARTS, "_h").coalesce(PARTS).sortWithinPartitions("_h").drop("_h")
 
 
 SPLIT = re.compile(r"^( *)(If|Else) \(feature (\d+) (<=|>) (\S+)\)$")

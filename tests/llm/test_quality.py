@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,16 @@ def test_equal_texts_are_one_in_the_sample(frames):
     docs, labels = frames([(i, "the same text", int(i % 3 > 0)) for i in range(30)] + [(40, "other", 0)])
     sample = quality.labelled(docs, labels).collect()
     assert sorted(r.label for r in sample) == [0.0, 1.0] or len(sample) == 1
+
+
+def test_the_sample_takes_few_files_however_wide_keys_are_dealt(frames, monkeypatch):
+    """Before, the sample had a file for each of 50 partitions, and another table was written to count its texts."""
+    docs, labels = frames(corpus())
+    frame, kept = type(docs), []
+    wide = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: wide(self, max(n, 50) if cols else n, *cols))
+    monkeypatch.setattr(quality, "written", lambda df, name, inner=quality.written: kept.append(name) or inner(df, name))
+    sample = quality.labelled(docs, labels)
+    assert kept == [] and sample.rdd.getNumPartitions() <= quality.PARTS
+    texts = {t: q for i, t, q in corpus() if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(r.label for r in sample.collect()) == sorted(texts.values())
