@@ -13,9 +13,9 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -45,19 +45,21 @@ def statistics(text: Column) -> dict[str, Column]:
     whole = F.greatest(n, F.lit(1))
     words, lines = F.split(text, r"\s+"), F.split(text, "\n")
 
-    def share(pattern: str) -> Column:
-        """The part of the characters that the pattern's matches take."""
-        return (n - F.length(F.regexp_replace(text, pattern, ""))) / whole
+    rest = F.regexp_replace(text, r"\p{L}+", "")  # of a text without its letters, which are most of it
+
+    def share(pattern: str, of: Column = text) -> Column:
+        """The part of the text's characters that the pattern's matches take; ``of`` has all that can match."""
+        return (F.length(of) - F.length(F.regexp_replace(of, pattern, ""))) / whole
 
     return {
         "log_chars": F.log1p(n),
-        "letters": share(r"\p{L}+"),
+        "letters": (n - F.length(rest)) / whole,
         "capitals": share(r"\p{Lu}+"),
-        "digits": share(r"\p{N}+"),
-        "stops": share("[.,;:]+"),
-        "exclamations": share("[!?]+"),
-        "symbols": share("[#$%&*+<=>@^_~/\\\\{}\\[\\]]+"),
-        "bars": share("[|]+"),
+        "digits": share(r"\p{N}+", rest),
+        "stops": share("[.,;:]+", rest),
+        "exclamations": share("[!?]+", rest),
+        "symbols": share("[#$%&*+<=>@^_~/\\\\{}\\[\\]]+", rest),
+        "bars": share("[|]+", rest),
         "word_length": n / F.size(words),
         "distinct_words": F.size(F.array_distinct(words)) / F.size(words),
         "repeats": share(r"\b(\p{L}++)\s++(?=\1\b)"),
@@ -73,11 +75,12 @@ class Rule:
     bounds: tuple[tuple[str, float, float], ...]
 
     def column(self) -> Column:
+        """Parsed as one text: a fit builds hundreds of these, and each step of a column made in Python is a call into the JVM."""
         found = []
         for name, low, high in self.bounds:
-            found += [F.col(PREFIX + name) > low] if low > -math.inf else []
-            found += [F.col(PREFIX + name) <= high] if high < math.inf else []
-        return reduce(and_, found)
+            found += [f"{PREFIX}{name} > {low!r}D"] if low > -math.inf else []
+            found += [f"{PREFIX}{name} <= {high!r}D"] if high < math.inf else []
+        return F.expr(" AND ".join(found))
 
     def __str__(self) -> str:
         return " and ".join(f"{low:g} < {name} <= {high:g}" for name, low, high in self.bounds)
@@ -192,13 +195,17 @@ def _penalty(lasso: LogisticRegression, matrix: DataFrame) -> float:
     parts = {(r.part, r.label) for r in matrix.select("part", "label").distinct().collect()}
     if len(parts) < 4:
         return PENALTIES[0]
-    losses = {}
-    for penalty in PENALTIES:
-        model = lasso.setRegParam(penalty).fit(matrix.filter("part = 0"))
+
+    def loss(penalty: float) -> float:
+        model = lasso.copy({lasso.regParam: penalty}).fit(matrix.filter("part = 0"))
         likely = vector_to_array("probability")[1]
         right = F.when(F.col("label") == 1, likely).otherwise(1 - likely)
         scored = model.transform(matrix.filter("part = 1"))
-        losses[penalty] = scored.agg(F.avg(-F.log(F.greatest(right, F.lit(1e-9))))).first()[0]
+        return scored.agg(F.avg(-F.log(F.greatest(right, F.lit(1e-9))))).first()[0]
+
+    # A fit is over a hundred small jobs, one after another, which leave most cores idle: the penalties are fitted side by side.
+    with ThreadPool(len(PENALTIES)) as pool:
+        losses = dict(zip(PENALTIES, pool.map(inheritable_thread_target(matrix.sparkSession)(loss), PENALTIES)))
     return min(losses, key=losses.get)
 
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import re
 import random
+import threading
+import unicodedata
 import zlib
 
 import pytest
@@ -153,3 +155,43 @@ def test_the_sample_takes_few_files_however_wide_keys_are_dealt(frames, monkeypa
     assert kept == [] and sample.rdd.getNumPartitions() <= quality.PARTS
     texts = {t: q for i, t, q in corpus() if zlib.crc32(str(i).encode()) % 5}
     assert sorted(r.label for r in sample.collect()) == sorted(texts.values())
+
+
+def test_penalties_are_fitted_side_by_side(frames, monkeypatch):
+    """Before, each of the fits that choose the penalty waited for the one before, and most cores were idle."""
+    docs, labels = frames(corpus())
+    plain, barrier, seen = quality.LogisticRegression.fit, threading.Barrier(len(quality.PENALTIES)), []
+
+    def fit(self, matrix):
+        seen.append(self.getRegParam())
+        if len(seen) <= len(quality.PENALTIES):
+            barrier.wait(60)  # breaks unless all are there at once
+        return plain(self, matrix)
+
+    monkeypatch.setattr(quality.LogisticRegression, "fit", fit)
+    model = quality.fit(docs, labels)
+    assert sorted(seen[:-1]) == sorted(quality.PENALTIES) and seen[-1] in quality.PENALTIES
+    assert model.rules
+
+
+def test_what_is_no_letter_is_counted_in_what_letters_leave(documents, monkeypatch):
+    """Before, eight patterns were each searched in whole texts."""
+    calls, plain = [], F.regexp_replace
+    monkeypatch.setattr(F, "regexp_replace", lambda of, *a: calls.append(str(of)) or plain(of, *a))
+    texts = ["a1b2c3 x.y,z;:", "é!ß?\U0001d49c٣\U0001f600½|Ⅷ|", "{a}[b]\\/<c>@d^_~#$%e&*+=", "..;;", "ǅ" * 9, "1a" * 500]
+    got = quality.with_statistics(documents(list(enumerate(texts)))).collect()
+    assert sum("regexp_replace" not in c for c in calls) == 3
+    for r in got:
+        kinds = {"letters": "L", "capitals": "Lu", "digits": "N"}  # of Unicode's categories
+        kinds = {name: sum(unicodedata.category(c).startswith(k) for c in r.text) / len(r.text) for name, k in kinds.items()}
+        wanted = brute_statistics(r.text) | kinds
+        for name in ("letters", "capitals", "digits", "stops", "exclamations", "symbols", "bars"):
+            assert r[quality.PREFIX + name] == pytest.approx(wanted[name]), (r.text, name)
+
+
+def test_bounds_of_a_rule_are_read_to_the_last_digit(documents):
+    rows = quality.with_statistics(documents([(0, "a b"), (1, "a  bc"), (2, "")]))
+    for at in (2 / 3, 0.1 + 0.2, 1e-05, -1e-300, 3 / 5):
+        rule = quality.Rule((("letters", -math.inf, at), ("log_chars", -0.5, math.inf)))
+        kept = rows.select(F.col(quality.PREFIX + "letters").alias("x"), rule.column().alias("held")).collect()
+        assert all(r.held == (r.x <= at) for r in kept)
