@@ -30,6 +30,8 @@ SAMPLE_ROWS = 12_000
 PARTS = 8
 TREES, DEPTH, SEED = 20, 4, 11
 PENALTIES = (0.02, 0.005, 0.001)
+# Numbers of the matrix of terms that one task takes in a pass of the fit, 32 MB.
+TASK_NUMBERS = 4_000_000
 # A rule must hold for at least this share of the sample, and fail for as many.
 SUPPORT = 0.002
 # Statistics are clipped at these quantiles where they are terms themselves.
@@ -178,6 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         return Model(prior)
     vector = array_to_vector(F.array(*terms)).alias("features")
     matrix = written(sample.select("label", "part", vector), "quality-terms")
+    # Hundreds of passes go over it. Between several partitions each is a shuffle more, and each stage costs the driver megabytes.
+    matrix = matrix.coalesce(math.ceil(n * len(terms) / TASK_NUMBERS))
     lasso = LogisticRegression(labelCol="label", elasticNetParam=1.0, maxIter=60, tol=1e-5)
     chosen = _penalty(lasso, matrix)
     model = lasso.setRegParam(chosen).fit(matrix)

@@ -195,3 +195,23 @@ def test_bounds_of_a_rule_are_read_to_the_last_digit(documents):
         rule = quality.Rule((("letters", -math.inf, at), ("log_chars", -0.5, math.inf)))
         kept = rows.select(F.col(quality.PREFIX + "letters").alias("x"), rule.column().alias("held")).collect()
         assert all(r.held == (r.x <= at) for r in kept)
+
+
+def test_a_small_matrix_is_passed_over_without_a_shuffle(frames, monkeypatch):
+    """Before, it had a partition for every few files, and each of hundreds of passes was a stage of tasks and a shuffle."""
+    docs, labels = frames(corpus())
+    plain, seen = quality.LogisticRegression.fit, []
+
+    def fit(self, matrix):
+        seen.append((matrix.rdd.getNumPartitions(), matrix.count()))
+        return plain(self, matrix)
+
+    monkeypatch.setattr(quality.LogisticRegression, "fit", fit)
+    one = quality.fit(docs, labels)
+    assert len(seen) == len(quality.PENALTIES) + 1 and {parts for parts, _ in seen} == {1}
+    monkeypatch.setattr(quality, "TASK_NUMBERS", 1000)  # a larger one is dealt to more tasks, all rows of it
+    rows, seen[:] = sorted(n for _, n in seen), []
+    many = quality.fit(docs, labels)
+    assert min(parts for parts, _ in seen) > 1 and sorted(n for _, n in seen) == rows
+    assert [r for r, _ in many.rules] == [r for r, _ in one.rules]
+    assert [w for _, w in many.rules] == pytest.approx([w for _, w in one.rules], abs=1e-6)
