@@ -325,7 +325,9 @@ def visited(anchors: DataFrame, tree: DataFrame, slabs: dict, same: bool, most:
     """
     blocks = written(_blocks(anchors, slabs), "anchor-blocks")
     kept = ["slab", "n", "ids", "labels", "rows", "leaves", "x"]
-    pairs = blocks.withColumn("slab", F.explode("slabs")).drop("slabs").withColumnRenamed("x", "ax").join(tree.select(*kept), ["slab", "n"])
+    # A block comes once for each of its slabs, of which no estimate of its size knows: a broadcast would gather all of them in the driver.
+    at_slabs = blocks.withColumn("slab", F.explode("slabs")).drop("slabs").withColumnRenamed("x", "ax")
+    pairs = at_slabs.hint("merge").join(tree.select(*kept), ["slab", "n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lowest: dict[int, dict] = {}  # of blocks met before in this task
@@ -389,7 +391,7 @@ def mined(
     windowed = written(windowed, "windows")
     hard = visited(windowed, tree, boxes_of, False, negatives).withColumnRenamed("vec_id", "negative_id").withColumnRenamed("score", "negative_score")
     each = windowed.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"), F.posexplode("positives").alias("window", "p"))
-    return hard.join(each, ["anchor", "window"]).select(
+    return hard.join(each.hint("merge"), ["anchor", "window"]).select(
         "anchor_id", F.col("p.vec_id").alias("positive_id"), "rank", "negative_id", F.col("p.score").alias("positive_score"), "negative_score"
     )
 

@@ -66,6 +66,15 @@ def test_nulls_ties_repeated_rows_lengths_and_signs(vectors):
     assert result(negatives.mined(vectors(rows))) == brute(rows)
 
 
+def test_blocks_are_not_gathered_in_the_driver(vectors):
+    """The blocks are small as files, but a row for each slab; neither they nor the positives may be broadcast."""
+    rows = random_rows(400, 4, 3)
+    df = negatives.mined(vectors(rows))
+    assert result(df) == brute(rows) != []
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("SortMergeJoin") >= 2 and "Broadcast" not in text
+
+
 def test_empty_table_and_no_anchor(vectors):
     assert negatives.mined(vectors([])).collect() == []
     assert negatives.mined(vectors([(1, [0.1], 1), (2, [0.2], 0)])).collect() == []
